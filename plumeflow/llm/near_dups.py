@@ -223,6 +223,24 @@ def _confirm_batches(threshold: int):
     return run
 
 
+def _agreeing(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, COORDINATES) for k in (2, 3))
+                near = pa.array((x == y).sum(axis=1) >= least * COORDINATES)
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(1).filter(near)], names=["a", "b"])
+
+    return run
+
+
+def _promising(pairs: DataFrame, narrow: DataFrame, least: float) -> DataFrame:
+    """The pairs whose sketches agree in a share ``least`` of tokens."""
+    x = pairs.join(narrow.select(F.col("cid").alias("a"), F.col("sketch").alias("x")), "a")
+    both = x.join(narrow.select(F.col("cid").alias("b"), F.col("sketch").alias("y")), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(_agreeing(least), "a binary, b binary")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int, per_task: int = 512) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough. A class with many partners is dealt over several groups."""
     salted = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("n")), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / per_task)).alias("salt"))
@@ -245,23 +263,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = settle(base.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")), "classes")
 
     # Depth 1 of all trees.
-    nodes = settle(_members(classes.select("cid", "sketch").mapInArrow(_root_nodes(trees, branch), "node long, cid binary").distinct()), "nodes")
-    candidates = settle(nodes.select("cid").distinct(), "candidates")
-    wanted = classes.join(candidates, "cid", "left_semi")
-    ids = settle(wanted.where("rep is not null").select(F.col("rep").alias("doc_id")).distinct(), "ids")
-    found = texts.join(small_or_shuffled(ids), "doc_id", "left_semi")
-    loose = texts.where("doc_id is null")
-    sets = found.union(loose).select("text").mapInArrow(_set_batches(size), "cid binary, members binary")
-    sets = settle(sets.join(candidates, "cid", "left_semi").dropDuplicates(["cid"]), "sets")
+    nodes = settle(_members(classes.select("cid", "sketch").mapInArrow(_root_nodes(trees, branch), "node long, cid binary")), "nodes")
+    narrow = settle(classes.select("cid", "sketch").join(nodes.select("cid").distinct(), "cid", "left_semi"), "narrow")
+    least = threshold / 100 - 0.25
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        used = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
+        reps = classes.join(used, "cid", "left_semi").select(F.col("rep").alias("doc_id"))
+        ids = settle(reps.where("doc_id is not null").distinct(), "ids")
+        # a class that has no row with an id is found among the rows without one; sets beyond those in use do no harm
+        found = texts.where("doc_id is not null").join(small_or_shuffled(ids), "doc_id", "left_semi")
+        if not reps.where("doc_id is null").isEmpty():
+            found = found.union(texts.where("doc_id is null"))
+        return _confirmed(pairs, settle(found.select("text").mapInArrow(_set_batches(size), "cid binary, members binary"), "sets"), threshold)
 
     # Each class against the leader that it shares most nodes with.
     by_leader = nodes.where("cid != leader").groupBy("cid", "leader").agg(F.count("*").alias("n"))
     best = by_leader.groupBy("cid").agg(F.max(F.struct("n", "leader")).alias("best")).select(F.col("best.leader").alias("a"), F.col("cid").alias("b"))
-    first = _confirmed(best, sets, threshold)
+    first = confirmed(settle(_promising(best, narrow, least), "best"))
     label = components(first)
 
     # What is still apart within a node.
-    narrow = classes.join(candidates, "cid", "left_semi").select("cid", "sketch")
     found_pairs, level = None, nodes.select("node", "cid", "size")
     for d in range(depth):
         marked = level.join(label.withColumnRenamed("id", "cid"), "cid", "left").select("node", "size", "cid", F.coalesce("component", "cid").alias("comp"))
@@ -269,20 +291,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_rows = settle(marked.join(apart, "node", "left_semi").join(narrow, "cid").select("node", "cid", "comp", "sketch", "size"), "open")
         final = d == depth - 1
         small = open_rows if final else open_rows.where(F.col("size") <= node_limit)
-        pairs = small.select("node", "cid", "comp", "sketch").repartition("node").sortWithinPartitions("node").mapInArrow(_pairs_in_nodes(threshold / 100 - 0.25), "a binary, b binary")
+        pairs = small.select("node", "cid", "comp", "sketch").repartition("node").sortWithinPartitions("node").mapInArrow(_pairs_in_nodes(least), "a binary, b binary")
         found_pairs = pairs if found_pairs is None else found_pairs.union(pairs)
         if final:
             break
         large = open_rows.where(F.col("size") > node_limit)
         if large.isEmpty():
             break
-        level = settle(_members(large.select("node", "cid", "sketch").mapInArrow(_child_nodes(branch), "node long, cid binary").distinct()).select("node", "cid", "size"), "children")
-    second = _confirmed(settle(found_pairs.distinct(), "pairs"), sets, threshold)
+        level = settle(_members(large.select("node", "cid", "sketch").mapInArrow(_child_nodes(branch), "node long, cid binary")).select("node", "cid", "size"), "children")
+    second = confirmed(settle(found_pairs.distinct(), "pairs"))
     label = components(first.union(second))
 
     linked = label.withColumnRenamed("id", "cid").join(classes.select("cid", "rep"), "cid")
-    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
-    whole = classes.select("cid", "rep").join(linked.join(least, "component").select("cid", "component_id"), "cid", "left").select("cid", F.coalesce("component_id", "rep").alias("component_id"))
+    lowest = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    whole = classes.select("cid", "rep").join(linked.join(lowest, "component").select("cid", "component_id"), "cid", "left").select("cid", F.coalesce("component_id", "rep").alias("component_id"))
     out = base.select("doc_id", "n_shingles", "cid").join(whole, "cid", "left")
     component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dups
+from . import decontaminate, near_dups, quality, secrets
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +15,26 @@ def op9_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(_docs(spark, sf_dir))
 
 
+def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_table(_docs(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_failed", "kept")
+
+
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_spans(_docs(spark, sf_dir))
+
+
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_docs(spark, sf_dir), _benchmark(spark, sf_dir))
+
+
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op3_secret_scans": op3_secret_scans,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op9_minhash_near_dups": op9_minhash_near_dups,
 }
 
@@ -42,3 +61,88 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
 FROM documents d JOIN c ON c.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
+
+ORACLE_SQL["op1_quality_rules"] = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents
+), w AS (SELECT doc_id, host, text, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l FROM d
+), g AS (SELECT doc_id, i, l[i:i + 2] AS g FROM (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM w)
+), r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1
+), h AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + k AS p FROM r, (VALUES (0), (1), (2)) t(k)) GROUP BY 1
+), ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM d
+), lc AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT x) AS n_dup FROM ln WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY 1
+), m AS (
+  SELECT w.doc_id, host, len(l) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(n_lines, 0) AS n_lines, coalesce(n_dup, 0) AS n_dup_lines, coalesce(h.n, 0) AS n_repeat_words
+  FROM w LEFT JOIN h ON h.doc_id = w.doc_id LEFT JOIN lc ON lc.doc_id = w.doc_id
+), f AS (
+  SELECT *, (n_words < 50)::INT AS few, (100 * n_repeat_words > 50 * n_words)::INT AS rep, (100 * n_symbols > 10 * word_chars)::INT AS sym, (100 * n_dup_lines > 30 * n_lines)::INT AS dup FROM m
+), hs AS (SELECT host, count(*) AS n, sum(few) AS few, sum(rep) AS rep, sum(sym) AS sym, sum(dup) AS dup FROM f GROUP BY 1
+), u AS (UNPIVOT hs ON few, rep, sym, dup INTO NAME rule VALUE k
+), p AS (SELECT rule, avg(k / n) AS m, var_pop(k / n) AS v FROM u GROUP BY 1
+), s AS (SELECT rule, m, CASE WHEN v > 1e-12 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 1000.0) ELSE 1000.0 END AS s FROM p
+), v AS (SELECT host, rule, (k + m * s) / (n + s) >= 0.08 AS bad FROM u JOIN s USING (rule)
+), b AS (SELECT host, bool_or(bad AND rule = 'few') AS few, bool_or(bad AND rule = 'rep') AS rep, bool_or(bad AND rule = 'sym') AS sym, bool_or(bad AND rule = 'dup') AS dup FROM v GROUP BY 1)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+  f.few + f.rep > 0 AS base_failed,
+  (f.few = 1 AND b.few) OR (f.rep = 1 AND b.rep) OR (f.sym = 1 AND b.sym) OR (f.dup = 1 AND b.dup) AS host_failed,
+  NOT (f.few + f.rep > 0) AND NOT ((f.few = 1 AND b.few) OR (f.rep = 1 AND b.rep) OR (f.sym = 1 AND b.sym) OR (f.dup = 1 AND b.dup)) AS kept
+FROM f JOIN b USING (host)
+"""
+
+ORACLE_SQL["op4_benchmark_decontamination"] = r"""
+WITH t AS (
+  SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark
+), l AS (
+  SELECT kind, id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS l FROM t
+), iw AS (
+  SELECT DISTINCT id, least(len(l), 13) AS k, array_to_string(l[i:i + 12], ' ') AS g
+  FROM (SELECT id, l, unnest(range(1, greatest(len(l) - 12, 1) + 1)) AS i FROM l WHERE kind = 'i' AND len(l) > 0)
+), ks AS (SELECT DISTINCT k FROM iw
+), dw AS (
+  SELECT id, k, i, array_to_string(l[i:i + k - 1], ' ') AS g
+  FROM (SELECT id, l, k, unnest(range(1, len(l) - k + 2)) AS i FROM l, ks WHERE kind = 'd')
+), o AS (SELECT dw.id, dw.k, dw.i, iw.id AS item FROM dw JOIN iw ON iw.g = dw.g AND iw.k = dw.k
+), h AS (SELECT id, count(DISTINCT p) AS n_hit FROM (SELECT id, unnest(range(i, i + k)) AS p FROM o) GROUP BY 1
+), n AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT id, item::VARCHAR AS item FROM o) GROUP BY 1)
+SELECT l.id AS doc_id, len(l.l)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(l.l) AS contaminated
+FROM l LEFT JOIN h ON h.id = l.id LEFT JOIN n ON n.id = l.id WHERE l.kind = 'd'
+"""
+
+
+def _duck_spans(kind: str, pattern: str, least: str = "true") -> str:
+    """Matches of the pattern with their places; least is a condition on m (whole match) and v (second group)."""
+    group = 2 if "v" in least.split() else 0
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, '{kind}' AS k, s, s + length(m) AS e FROM (
+      SELECT doc_id, ms[i] AS m, vs[i] AS v, list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS s
+      FROM (SELECT doc_id, ms, vs, gs, unnest(range(1, len(ms) + 1)) AS i FROM (
+        SELECT doc_id, regexp_extract_all(text, '{p}') AS ms, regexp_extract_all(text, '{p}', {group}) AS vs, string_split_regex(text, '{p}') AS gs FROM d))) WHERE {least}"""
+
+
+ORACLE_SQL["op3_secret_scans"] = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents
+), p AS (SELECT doc_id, k, s::BIGINT AS s, e::BIGINT AS e FROM (
+  {_duck_spans("assign", secrets.ASSIGN, "length( v ) >= 6")}
+  UNION ALL {_duck_spans("access", secrets.ACCESS, "length( m ) >= 20")}
+  UNION ALL {_duck_spans("hex", secrets.HEX, "length( m ) >= 24")}
+  UNION ALL {_duck_spans("ident", secrets.IDENT, "length( v ) >= 3")}
+  UNION ALL {_duck_spans("value", secrets.VALUE)}
+  UNION ALL {_duck_spans("endpoint", secrets.ENDPOINT)})
+), c AS (
+  SELECT *, unnest(range(greatest(ceil((e - 400) / 200.0), 0)::BIGINT, s // 200 + 1)) AS scope FROM p
+), f AS (
+  SELECT doc_id, scope FROM c GROUP BY 1, 2 HAVING bool_or(k IN ('access', 'ident')) AND bool_or(k IN ('assign', 'hex', 'value'))
+), r AS (
+  SELECT doc_id, k, s, e FROM p WHERE k IN ('assign', 'access', 'hex')
+  UNION ALL SELECT DISTINCT c.doc_id, k, s, e FROM c JOIN f ON f.doc_id = c.doc_id AND f.scope = c.scope WHERE k NOT IN ('assign', 'access', 'hex')
+), o AS (
+  SELECT *, list_position(['assign', 'access', 'hex', 'ident', 'value', 'endpoint'], k) AS o, k || ':' || s || ':' || e AS x FROM r
+), a AS (
+  SELECT doc_id, count(*) FILTER (k = 'assign') AS n_assign, count(*) FILTER (k = 'access') AS n_access, count(*) FILTER (k = 'hex') AS n_hex, count(*) FILTER (o > 3) AS n_linked,
+    string_agg(x, ',' ORDER BY s, o) FILTER (o <= 3) AS base, string_agg(x, ',' ORDER BY s, o) AS spans FROM o GROUP BY 1)
+SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0)::BIGINT AS n_linked
+FROM d LEFT JOIN a ON a.doc_id = d.doc_id
+"""

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side of a join is broadcast; a larger side is shuffled.
-BROADCAST_ROWS = 100_000
+#: Rows, of a few dozen bytes, up to which a side of a join is broadcast; a larger side is shuffled.
+BROADCAST_ROWS = 400_000
 
 
 def shared_dir(spark: SparkSession) -> str:
