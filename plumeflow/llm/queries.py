@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dups, quality, secrets
+from . import decontaminate, near_dups, quality, secrets, suffix_dedup
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_table(_docs(spark, sf_dir))
+
+
 def op9_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(_docs(spark, sf_dir))
 
@@ -35,6 +39,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_secret_scans": op3_secret_scans,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_minhash_near_dups": op9_minhash_near_dups,
 }
 
@@ -146,3 +151,19 @@ SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_linked, 0)::BIGINT AS n_linked
 FROM d LEFT JOIN a ON a.doc_id = d.doc_id
 """
+
+ORACLE_SQL["op8_suffix_array_dedup"] = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
+), h AS (SELECT doc_id, octet_length(b) AS n, hex(b) AS x FROM d
+), s AS (SELECT doc_id, i, md5_number(substring(x, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, x, unnest(range(0, n - 399)) AS i FROM h WHERE n >= 400)
+), r AS (SELECT doc_id, i FROM s QUALIFY count(*) OVER (PARTITION BY k) > 1
+), g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS f FROM r
+), u AS (SELECT doc_id, i, sum(f) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g
+), v AS (SELECT doc_id, run, min(i) AS lo, max(i) + 400 AS hi FROM u GROUP BY 1, 2
+), p AS (SELECT v.doc_id, run, lo, hi, coalesce(lag(hi) OVER (PARTITION BY v.doc_id ORDER BY run), 0) AS since FROM v
+), k AS (
+  SELECT p.doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, string_agg(substring(x, 2 * since + 1, 2 * (lo - since)), '' ORDER BY run) || substring(any_value(x), 2 * max(hi) + 1) AS kept
+  FROM p JOIN h ON h.doc_id = p.doc_id GROUP BY 1)
+SELECT h.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM h LEFT JOIN k ON k.doc_id = h.doc_id
+"""
