@@ -2,15 +2,57 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import chat, decontaminate, line_dedup, near_dups, packing, quality, secrets, site_bayes, suffix_dedup, token_rollup
+from .storage import settle, shared_dir
 
-from . import decontaminate, near_dups, quality, secrets, suffix_dedup
+#: Folder with the vocabulary files.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotated(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are sources, and a source's languages its paths."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic")
+    return site_bayes.classified(_docs(spark, sf_dir), labels, F.col("source"), F.col("lang"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four commits: all documents; counts revised where marks at word ends are stripped; exact copies deleted; and the last batch again."""
+    docs = _docs(spark, sf_dir).select("doc_id", "source", "lang", F.xxhash64("text").alias("h"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("c"), "text")
+    stripped = F.regexp_replace("text", r"[#*$%&]{3}|!!", "")
+    ranks = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
+    old = settle(token_rollup.with_counts(docs, ranks), "counts")
+    new = settle(token_rollup.with_counts(docs.select("doc_id", stripped.alias("text")).where(stripped != F.col("text")), ranks), "revised").withColumnsRenamed({"n_bpe": "m_bpe", "n_plain": "m_plain"})
+    both = old.join(new, "doc_id", "left").select(*old.columns, F.coalesce("m_bpe", "n_bpe").alias("m_bpe"), F.coalesce("m_plain", "n_plain").alias("m_plain"), F.col("m_bpe").isNotNull().alias("is_new"))
+    both = settle(both, "both")
+
+    def events(rows: DataFrame, op: str, count: str, before: str) -> DataFrame:
+        of = F.explode(F.array(*(F.struct(F.lit(name).alias("tokenizer"), F.col(f"{count}_{k}").alias("n_tokens"), F.col(f"{before}_{k}").alias("old_tokens")) for name, k in (("byte_bpe_50k/1", "bpe"), ("plain_words/1", "plain")))))
+        return rows.select("source", "lang", F.lit(op).alias("op"), of.alias("x")).select("source", "lang", "op", "x.*")
+
+    first = both.groupBy("h", "c").agg(F.min("doc_id").alias("first"))
+    copies = both.join(first, ["h", "c"]).where("doc_id != first")
+    ledger = token_rollup.Ledger(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    ledger.commit("load", events(both, "insert", "n", "n"))
+    ledger.commit("strip", events(both.where("is_new"), "revise", "m", "n"))
+    for _ in range(2):
+        ledger.commit("copies", events(copies, "delete", "m", "m"))
+    return ledger.totals()
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removal_table(_docs(spark, sf_dir))
 
@@ -27,6 +69,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(_docs(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_failed", "kept")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines and lines cut of every document, and the digest of what is left of its text."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    text = F.coalesce("text", F.lit(""))
+    before = docs.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("long"))
+    out = line_dedup.deduplicated(before)
+    return out.select("doc_id", "n_lines", F.coalesce(F.size("_cut"), F.lit(0)).cast("long").alias("n_cut"), F.sha2(text, 256).alias("kept_sha256"))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(_docs(spark, sf_dir))
 
@@ -35,12 +86,24 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(_docs(spark, sf_dir), _benchmark(spark, sf_dir))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_docs(spark, sf_dir))
+
+
 QUERIES = {
-    "op1_quality_rules": op1_quality_rules,
-    "op3_secret_scans": op3_secret_scans,
-    "op4_benchmark_decontamination": op4_benchmark_decontamination,
-    "op8_suffix_array_dedup": op8_suffix_array_dedup,
-    "op9_minhash_near_dups": op9_minhash_near_dups,
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_line_dedup,
+        op3_secret_scans,
+        op4_benchmark_decontamination,
+        op5_chat_formatting,
+        op6_quality_classifier,
+        op7_token_counts,
+        op8_suffix_array_dedup,
+        op9_minhash_near_dups,
+        op10_packing,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}
@@ -167,3 +230,19 @@ WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents
 SELECT h.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
 FROM h LEFT JOIN k ON k.doc_id = h.doc_id
 """
+
+ORACLE_SQL["op5_chat_formatting"] = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(turn, 0) AS turn, role, replace(coalesce(text, ''), '<|im_', '<| im_') || '<|im_end|>' AS body, coalesce(turn, 0) // 256 AS part FROM conversations
+), p AS (SELECT DISTINCT conv_id, role AS me FROM t WHERE role IS NOT NULL AND role <> 'system'
+), r AS (
+  SELECT t.conv_id, part, me, turn, role, body, role IS NOT DISTINCT FROM me AS mine,
+    '<|im_start|>' || CASE WHEN role = 'system' THEN 'system' WHEN role = me THEN 'assistant' ELSE 'user name=' || regexp_replace(coalesce(role, 'unknown'), '[\s<>|]', '_', 'g') END || chr(10) AS head
+  FROM t JOIN p ON t.conv_id IS NOT DISTINCT FROM p.conv_id
+), o AS (
+  SELECT *, row_number() OVER w AS k, sum(length(head) + length(body) + 1) OVER w - length(body) - 1 AS s FROM r
+  WINDOW w AS (PARTITION BY conv_id, part, me ORDER BY turn NULLS FIRST, role NULLS FIRST, body ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, part::BIGINT AS part, me AS perspective, count(*)::BIGINT AS n_turns, string_agg(head || body || chr(10), '' ORDER BY k) AS rendered,
+  coalesce(string_agg(s::BIGINT || ':' || (s + length(body))::BIGINT, ',' ORDER BY k) FILTER (mine), '') AS mask, coalesce(sum(length(body)) FILTER (mine), 0)::BIGINT AS n_masked
+FROM o GROUP BY 1, 2, 3
+"""
