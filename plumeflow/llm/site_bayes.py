@@ -71,7 +71,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Logistic:
-    """Logistic regression on ratios and word presence; a word counts 1 / sqrt(distinct words), so that long texts do not weigh more."""
+    """Logistic regression on ratios and the presence of telling words."""
 
     def __init__(self, words_: np.ndarray, ratios: np.ndarray, bias: float):
         self.words, self.ratios, self.bias = words_, ratios, bias
@@ -81,16 +81,22 @@ class Logistic:
         return (sums[at[1:]] - sums[at[:-1]]) + ratios @ self.ratios + self.bias
 
     @classmethod
-    def trained(cls, y: np.ndarray, ratios: np.ndarray, hashed: np.ndarray, at: np.ndarray, rounds: int = 150, rate: float = 0.3, decay: float = 2e-5) -> Logistic:
+    def trained(cls, y: np.ndarray, ratios: np.ndarray, hashed: np.ndarray, at: np.ndarray, telling: float = 4.0, rounds: int = 300, rate: float = 0.3, decay: float = 1e-4) -> Logistic:
         share = float(y.mean()) if len(y) else 0.0
         if not 0 < share < 1:
             return cls(np.zeros(1 << HASH_BITS), np.zeros(RATIOS), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
         owner = np.repeat(np.arange(len(y)), np.diff(at))
-        times = np.bincount(hashed, minlength=1 << HASH_BITS)
-        used = times[hashed] >= 3  # rarer words tell nothing of other documents
-        slot = np.cumsum(times >= 3) - 1
+        # words that tell: their odds in the two classes differ by ``telling`` standard errors
+        yes = np.bincount(hashed, y[owner], 1 << HASH_BITS)
+        no = np.bincount(hashed, 1 - y[owner], 1 << HASH_BITS)
+        n_yes, n_no = float(y.sum()), float(len(y) - y.sum())
+        odds = np.log((yes + 0.5) / (n_yes - yes + 0.5)) - np.log((no + 0.5) / (n_no - no + 0.5))
+        error = np.sqrt(1 / (yes + 0.5) + 1 / (no + 0.5) + 1 / (n_yes - yes + 0.5) + 1 / (n_no - no + 0.5))
+        tells = (np.abs(odds) > telling * error) & (yes + no >= 5)
+        used = tells[hashed]
+        slot = np.cumsum(tells) - 1
         h, o = slot[hashed[used]], owner[used]
-        n = int((times >= 3).sum())
+        n = int(tells.sum())
         w, r, b = np.zeros(n), np.zeros(RATIOS), float(np.log(share / (1 - share)))
         gw, gr, gb = np.full(n, 1e-6), np.full(RATIOS, 1e-6), 1e-6
         for _ in range(rounds):  # AdaGrad over all rows
@@ -105,7 +111,7 @@ class Logistic:
             r -= rate * q / np.sqrt(gr)
             b -= rate * float(d.sum()) / np.sqrt(gb)
         full = np.zeros(1 << HASH_BITS)
-        full[times >= 3] = w
+        full[tells] = w
         return cls(full, r, b)
 
 
