@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating star contraction.
 
 Edges never leave the executors: each round is two grouped minima and two
-joins, and its result is written in the shared folder.  A round keeps
+joins, and its result is written in the shared folder; one count comes to the driver.  A round keeps
 components as they are and shortens paths, so that the number of rounds is
 logarithmic in the longest path.
 """
@@ -19,7 +19,7 @@ MAX_ROUNDS = 60
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -29,17 +29,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """True if each id has one smaller neighbour at most, and none if it has larger ones."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("v").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").agg(F.count("*")).first()[0] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """edges (a long, b long) -> (id, component), component being the smallest id reachable.
+    """edges (a, b) of one orderable type -> (id, component), component being the smallest id reachable.
 
-    Null ends, loops and repeated edges are ignored. Ids without an edge to another id are not listed.
+    edges should be a settled table: it is read twice in the first round. Null
+    ends, loops and repeated edges are ignored. Ids without an edge to another
+    id are not listed.
     """
-    now = settle(edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
+    now = edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     for _ in range(MAX_ROUNDS):
         now = settle(_small_star(_large_star(now)), "stars")
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen:
+        if _all_stars(now):
             return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
-        seen = mark
     raise RuntimeError("components did not settle")
