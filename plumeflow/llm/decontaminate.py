@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import bounded_batches
 from .textkit import ALNUM_WORD, LOWER, RangeHash, as_bytes, chunks, words
 
 
@@ -241,7 +242,7 @@ def with_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id
     where = docs.columns.index(text_col)
     more = T.StructType().add("_n_words", T.LongType()).add("_runs", T.ArrayType(T.IntegerType())).add("_items", T.ArrayType(T.StringType()))
     schema = T.StructType([*docs.schema.fields, *more.fields])
-    out = docs
+    out = bounded_batches(docs)
     for k in range(blocks):
         table = narrow.where(F.col("_block") == k).select("name", "text").orderBy("name", "text").toArrow()
         hashes, rows = item_words(table.column("text"))

@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import settle, small_or_shuffled
+from .storage import bounded_batches, settle, small_or_shuffled
 from .textkit import LOWER, PLAIN_WORD, RangeHash, as_bytes, chunks, mix, randoms, windows, words
 
 COORDINATES = 64
@@ -260,7 +260,7 @@ def _members(nodes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: int = 75, trees: int = 4, branch: int = 4, child_branch: int = 2, depth: int = 6, node_limit: int = 2048, hooks: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     base = settle(texts.mapInArrow(_sketch_batches(size), "doc_id long, n_shingles long, cid binary, sketch binary"), "sketches")
     classes = settle(base.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")), "classes")
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import settle, small_or_shuffled
+from .storage import bounded_batches, settle, small_or_shuffled
 from .textkit import PLAIN_WORD, RangeHash, as_bytes, byte_class, chunks, code_points, mix, words
 
 #: Characters counted as symbols.
@@ -90,7 +90,7 @@ def with_measures(docs: DataFrame, text_col: str = "text", prefix: str = "") ->
             found = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64()) for x in found)], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)]))
+    return bounded_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)]))
 
 
 def rules(prefix: str = "", min_words: int = 50, repeat_pct: int = 50, symbol_pct: int = 10, dup_pct: int = 30) -> dict[str, Column]:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .quality import measures
-from .storage import settle, small_or_shuffled
+from .storage import bounded_batches, settle, small_or_shuffled
 from .textkit import ALNUM_WORD, LOWER, RangeHash, as_bytes, byte_class, chunks, words
 
 HASH_BITS = 18
@@ -170,7 +170,7 @@ def _logit(p: Column) -> Column:
 
 def classified(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000, least: float = 0.5, most: float = 1000.0) -> DataFrame:
     """(doc_id, p_low, p_toxic, host_rate, path_rate, posterior, kept) of every row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.col(text_col).alias("text"))
+    rows = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.col(text_col).alias("text"))
     models = docs.sparkSession.sparkContext.broadcast(train(rows.select("doc_id", "text"), labels, sample))  # 2 ** HASH_BITS weights each
     schema = T.StructType([*rows.schema.fields[:3], T.StructField("p_low", T.DoubleType()), T.StructField("p_toxic", T.DoubleType())])
     scored = settle(rows.mapInArrow(_score_batches(models), schema), "scores")

@@ -30,3 +30,12 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 def small_or_shuffled(side: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """side, marked for broadcast if it holds at most ``limit`` rows. It should be a settled table: it is counted here."""
     return F.broadcast(side) if side.limit(limit + 1).count() <= limit else side
+
+
+def bounded_batches(df: DataFrame, size: int = 4 << 20) -> DataFrame:
+    """df, its session set to hand rows to Python in batches of ``size`` bytes, where it has no limit of its own: long texts then take no more memory than short ones."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    conf = df.sparkSession.conf
+    if int(conf.get(key).rstrip("bB")) >= 64 << 20:  # the default
+        conf.set(key, str(size))
+    return df

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import BROADCAST_ROWS, settle
+from .storage import BROADCAST_ROWS, bounded_batches, settle
 from .suffix_sort import suffix_array
 from .textkit import RangeHash, as_bytes, chunks, mix
 
@@ -312,7 +312,7 @@ def repeated_starts(texts: DataFrame, length: int = 400, reach: int = 320, hot:
 
 def removal_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, **more) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = texts.select("doc_id", F.xxhash64("text").alias("th"), "text")
     gone = settle(repeated_starts(texts, length, **more), "gone")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import bounded_batches
 from .textkit import PLAIN_WORD, as_bytes, chunks, words
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -100,4 +101,4 @@ def with_counts(docs: DataFrame, ranks_path: str, text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(bpe, pa.int64()), pa.array(plain, pa.int64())], names=[*(batch.schema.names[i] for i in rest), "n_bpe", "n_plain"])
 
     schema = docs.drop(text_col).schema.simpleString()[len("struct<") : -1]
-    return docs.mapInArrow(run, f"{schema}, n_bpe bigint, n_plain bigint")
+    return bounded_batches(docs).mapInArrow(run, f"{schema}, n_bpe bigint, n_plain bigint")
