@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import bounded_batches
+from .storage import bounded_batches, unused
 from .textkit import ALNUM_WORD, LOWER, RangeHash, as_bytes, chunks, words
 
 
@@ -186,7 +186,7 @@ def _merge(runs: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _scan(where: int, block, carried: bool):
+def _scan(where: int, block, added: list[str], carried: bool):
     """Appends _n_words, _runs (flat word indices) and _items to each row, or adds to those that an earlier block left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,13 +226,13 @@ def _scan(where: int, block, carried: bool):
                 all_items = [sorted({*o, *n}) for o, n in zip(items.to_pylist(), all_items, strict=True)]
                 all_runs = [[list(p) for p in r] for r in all_runs]
             flat = pa.array([[x for p in r for x in p] for r in all_runs], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), flat, pa.array(all_items, pa.list_(pa.string()))], names=[*names, "_n_words", "_runs", "_items"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), flat, pa.array(all_items, pa.list_(pa.string()))], names=[*names, *added])
 
     return run
 
 
 def with_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, max_words: int = 200_000) -> DataFrame:
-    """docs with _n_words, _runs and _items appended."""
+    """docs with _n_words, _runs and _items appended; underscores are added to these names where docs has them."""
     spark = docs.sparkSession
     narrow = items.select(F.col(item_id).cast("string").alias("name"), F.col(item_text).alias("text")).where("name is not null")
     # a word needs a separator or the text's end: no text has more words than half its bytes and one
@@ -240,14 +240,15 @@ def with_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id
     blocks = max(1, -(-int(bound) // max_words))
     narrow = narrow.withColumn("_block", F.pmod(F.xxhash64("name", "text"), F.lit(blocks)))
     where = docs.columns.index(text_col)
-    more = T.StructType().add("_n_words", T.LongType()).add("_runs", T.ArrayType(T.IntegerType())).add("_items", T.ArrayType(T.StringType()))
+    names = [unused(docs, n) for n in ("_n_words", "_runs", "_items")]
+    more = T.StructType().add(names[0], T.LongType()).add(names[1], T.ArrayType(T.IntegerType())).add(names[2], T.ArrayType(T.StringType()))
     schema = T.StructType([*docs.schema.fields, *more.fields])
     out = bounded_batches(docs)
     for k in range(blocks):
         table = narrow.where(F.col("_block") == k).select("name", "text").orderBy("name", "text").toArrow()
         hashes, rows = item_words(table.column("text"))
         block = spark.sparkContext.broadcast(Block(table.column("name").to_pylist(), hashes, rows, window))
-        out = out.mapInArrow(_scan(where, block, carried=k > 0), schema)
+        out = out.mapInArrow(_scan(where, block, names, carried=k > 0), schema)
     return out
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import bounded_batches, settle, small_or_shuffled
+from .storage import bounded_batches, settle, small_or_shuffled, unused
 from .textkit import PLAIN_WORD, RangeHash, as_bytes, byte_class, chunks, code_points, mix, words
 
 #: Characters counted as symbols.
@@ -128,15 +128,16 @@ def judge(measured: DataFrame, host: Column, prefix: str = "", host_limit: float
     failing = rules(prefix)
     if verdicts is None:
         verdicts = host_verdicts(measured, host, failing, host_limit)
-    side = small_or_shuffled(settle(verdicts.select("_host", *(F.col(f"bad_{r}").alias(f"_bad_{r}") for r in failing)), "verdicts"))
-    joined = measured.withColumn("_host", F.coalesce(host, F.lit(""))).join(side, "_host", "left")
+    key, flag = f"{prefix}host_key", f"{prefix}host_bad_"
+    side = small_or_shuffled(settle(verdicts.select(F.col("_host").alias(key), *(F.col(f"bad_{r}").alias(flag + r) for r in failing)), "verdicts"))
+    joined = measured.withColumn(key, F.coalesce(host, F.lit(""))).join(side, key, "left")
     base = reduce(lambda a, b: a | b, (failing[r] for r in BASE))
-    bad = reduce(lambda a, b: a | b, (c & F.col(f"_bad_{r}") for r, c in failing.items()))
+    bad = reduce(lambda a, b: a | b, (c & F.col(flag + r) for r, c in failing.items()))
     return (
         joined.withColumn(f"{prefix}base_failed", base)
         .withColumn(f"{prefix}host_failed", F.coalesce(bad, F.lit(False)))
         .withColumn(f"{prefix}kept", ~F.col(f"{prefix}base_failed") & ~F.col(f"{prefix}host_failed"))
-        .drop("_host", *(f"_bad_{r}" for r in failing))
+        .drop(key, *(flag + r for r in failing))
     )
 
 
@@ -149,7 +150,7 @@ def quality_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source", host_limit: float = 0.08) -> DataFrame:
     """The rows of docs that are kept, with their own columns. Texts are read twice and never shuffled."""
-    p = "_q_"
+    p = unused(docs, "_q_")
     host = F.col(host_col).cast("string")
     lean = with_measures(docs.select(F.col(host_col), F.col(text_col)), text_col, p)
     verdicts = host_verdicts(lean, host, rules(p), host_limit)

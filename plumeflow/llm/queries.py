@@ -35,7 +35,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     stripped = F.regexp_replace("text", r"[#*$%&]{3}|!!", "")
     ranks = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
     old = settle(token_rollup.with_counts(docs, ranks), "counts")
-    new = settle(token_rollup.with_counts(docs.select("doc_id", stripped.alias("text")).where(stripped != F.col("text")), ranks), "revised").withColumnsRenamed({"n_bpe": "m_bpe", "n_plain": "m_plain"})
+    new = settle(token_rollup.with_counts(docs.where(stripped != F.col("text")).select("doc_id", stripped.alias("text")), ranks), "revised").withColumnsRenamed({"n_bpe": "m_bpe", "n_plain": "m_plain"})
     both = old.join(new, "doc_id", "left").select(*old.columns, F.coalesce("m_bpe", "n_bpe").alias("m_bpe"), F.coalesce("m_plain", "n_plain").alias("m_plain"), F.col("m_bpe").isNotNull().alias("is_new"))
     both = settle(both, "both")
 

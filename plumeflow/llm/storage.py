@@ -39,3 +39,11 @@ def bounded_batches(df: DataFrame, size: int = 4 << 20) -> DataFrame:
     if int(conf.get(key).rstrip("bB")) >= 64 << 20:  # the default
         conf.set(key, str(size))
     return df
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, or a longer one, that no column of df has or begins with."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(name.lower()) for c in taken):
+        name += "_"
+    return name
