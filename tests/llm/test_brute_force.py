@@ -156,7 +156,7 @@ def lines_brute(rows, min_words=5, threshold=75):
     for t in texts:
         data = np.frombuffer(t.encode(), np.uint8)
         a, b, _ = words(data, np.array([0, len(data)]), ALNUM_WORD)
-        bits = np.unpackbits(RangeHash(data)(a, b).view(np.uint8).reshape(-1, 8), axis=1).astype(int)
+        bits = np.unpackbits(np.unique(RangeHash(data)(a, b)).view(np.uint8).reshape(-1, 8), axis=1).astype(int)
         sims[t] = int(np.packbits(2 * bits.sum(0) > len(bits)).view(np.uint64)[0])
 
     def distance(a, b):
