@@ -2,7 +2,7 @@ import pytest
 from compare import same
 from conftest import SF
 
-from plumeflow.plans import catalog
+from plumeflow.plans import catalog, catalog_more  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
