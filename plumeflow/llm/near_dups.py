@@ -16,7 +16,7 @@ different components are compared exhaustively by sketch, and what agrees in
 enough tokens is confirmed on full sets.  A node of more than ``node_limit``
 classes branches again, each class following ``child_branch`` tokens, up to
 ``depth`` levels; a node that is still large is compared exhaustively all the
-same, so that no class is left out.
+same, in blocks of bounded size, so that no class is left out.
 
 Recall.  A pair at similarity 0.75 misses all roots with probability
 0.25 ** 16 = 2e-10 at the defaults. Where all its nodes are large, it goes on in
@@ -147,10 +147,10 @@ def _child_nodes(branch: int):
     return run
 
 
-def _pairs_in_nodes(least: float, nearest: int = 0, block: int = 4096):
-    """Rows (node, cid, comp, sketch) sorted by node to pairs of one node in different components whose sketches agree in a share ``least`` of tokens.
+def _pairs_in_nodes(least: float, nearest: bool, block: int = 4096):
+    """Rows (key, cid, comp, sketch) sorted by key to pairs of one key in different components whose sketches agree in a share ``least`` of tokens.
 
-    All such pairs (a < b); or with ``nearest``, for each row the one that agrees most, among all of the node or, in a node of more rows than that, ``nearest`` spread over it.
+    All such pairs (a < b); or with ``nearest``, for each row the one that agrees most.
     """
     need = least * COORDINATES
 
@@ -158,8 +158,7 @@ def _pairs_in_nodes(least: float, nearest: int = 0, block: int = 4096):
         m = len(cids)
         for i in range(m):
             if nearest:
-                other = np.arange(m) if m <= nearest else (i + 1 + np.arange(nearest) * m // nearest) % m
-                other = other[comps[other] != comps[i]]
+                other = np.flatnonzero(comps != comps[i])
                 if len(other):
                     agree = (rows[other] == rows[i]).sum(axis=1)
                     at = int(agree.argmax())
@@ -293,8 +292,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             rows = rows.withColumn("comp", F.col("cid"))
         return rows.join(narrow, "cid").select("node", "cid", "comp", "sketch", "size")
 
-    def in_nodes(rows: DataFrame, nearest: int) -> DataFrame:
-        return rows.select("node", "cid", "comp", "sketch").repartition("node").sortWithinPartitions("node", "cid").mapInArrow(_pairs_in_nodes(least, nearest), pair_schema)
+    # A node of more than node_limit classes is dealt into blocks of about that size, so that no task holds it whole.
+    blocks = F.ceil(F.col("size") / node_limit)
+    mine = F.pmod(F.xxhash64("cid"), blocks)
+    both = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda y: F.least(mine, y) * blocks + F.greatest(mine, y))
+
+    def in_nodes(rows: DataFrame, nearest: bool) -> DataFrame:
+        """Pairs of each node: for ``nearest`` within blocks, else within all pairs of blocks."""
+        dealt = rows.withColumn("block", mine if nearest else F.explode(both))
+        keyed = dealt.select(F.xxhash64("node", "block").alias("key"), "cid", "comp", "sketch")
+        return keyed.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(_pairs_in_nodes(least, nearest), pair_schema)
 
     def linked_by(pairs: DataFrame) -> bool:
         """Confirms pairs and joins what they link; False if there are none."""
@@ -308,7 +315,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Each class against the one that it is nearest to in its nodes, then again what is still apart.
     for _ in range(hooks):
-        best = in_nodes(marked(nodes), node_limit).groupBy("a").agg(F.max(F.struct("agree", "b")).alias("best")).select(F.greatest("a", "best.b").alias("a"), F.least("a", "best.b").alias("b")).distinct()
+        best = in_nodes(marked(nodes), True).groupBy("a").agg(F.max(F.struct("agree", "b")).alias("best")).select(F.greatest("a", "best.b").alias("a"), F.least("a", "best.b").alias("b")).distinct()
         if not linked_by(settle(best, "nearest")):
             break
     else:
@@ -317,7 +324,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for d in range(depth):
             final = d == depth - 1
             rows = marked(level)
-            pairs = in_nodes(rows if final else rows.where(F.col("size") <= node_limit), 0).select("a", "b")
+            pairs = in_nodes(rows if final else rows.where(F.col("size") <= node_limit), False).select("a", "b")
             found_pairs = pairs if found_pairs is None else found_pairs.union(pairs)
             large = rows.where(F.col("size") > node_limit)
             if final or large.isEmpty():
