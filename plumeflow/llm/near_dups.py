@@ -269,9 +269,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = threshold / 100 - 0.25
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        used = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-        reps = classes.join(used, "cid", "left_semi").select(F.col("rep").alias("doc_id"))
-        ids = settle(reps.where("doc_id is not null").distinct(), "ids")
+        used = settle(pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct(), "used")
+        reps = settle(classes.join(small_or_shuffled(used), "cid", "left_semi").select(F.col("rep").alias("doc_id")), "reps")
+        ids = reps.where("doc_id is not null")
         # a class that has no row with an id is found among the rows without one; sets beyond those in use do no harm
         found = texts.where("doc_id is not null").join(small_or_shuffled(ids), "doc_id", "left_semi")
         if not reps.where("doc_id is null").isEmpty():
@@ -285,7 +285,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def marked(rows: DataFrame) -> DataFrame:
         """rows (node, cid, size) of nodes that span several components, with comp and sketch."""
         if label is not None:
-            rows = rows.join(label.withColumnRenamed("id", "cid"), "cid", "left").select("node", "cid", "size", F.coalesce("component", "cid").alias("comp"))
+            rows = rows.join(small_or_shuffled(label.withColumnRenamed("id", "cid")), "cid", "left").select("node", "cid", "size", F.coalesce("component", "cid").alias("comp"))
             apart = rows.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("node")
             rows = rows.join(apart, "node", "left_semi")
         else:
