@@ -10,8 +10,8 @@ of its set).  Each class gets a sketch of minwise tokens.  ``trees``
 independent trees then branch recursively: at the root a class follows
 ``branch`` of its minwise tokens, and a node is the classes that followed the
 same path.  Nodes of one class end.  First each class is held against the
-one in its nodes that its sketch is nearest to, ``hooks`` times; what is joined
-by then needs no further comparison.  Then the classes of a node that lie in
+one in its nodes (in large ones: in its block, dealt anew each time) that its sketch
+is nearest to, ``hooks`` times; what is joined by then needs no further comparison.  Then the classes of a node that lie in
 different components are compared exhaustively by sketch, and what agrees in
 enough tokens is confirmed on full sets.  A node of more than ``node_limit``
 classes branches again, each class following ``child_branch`` tokens, up to
@@ -297,40 +297,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mine = F.pmod(F.xxhash64("cid"), blocks)
     both = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda y: F.least(mine, y) * blocks + F.greatest(mine, y))
 
-    def in_nodes(rows: DataFrame, nearest: bool) -> DataFrame:
-        """Pairs of each node: for ``nearest`` within blocks, else within all pairs of blocks."""
-        dealt = rows.withColumn("block", mine if nearest else F.explode(both))
+    def in_nodes(rows: DataFrame, nearest: int | None = None) -> DataFrame:
+        """Pairs of each node: in round ``nearest`` within blocks, which every round deals anew, else within all pairs of blocks."""
+        dealt = rows.withColumn("block", F.explode(both) if nearest is None else F.pmod(F.xxhash64("cid", F.lit(nearest)), blocks))
         keyed = dealt.select(F.xxhash64("node", "block").alias("key"), "cid", "comp", "sketch")
-        return keyed.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(_pairs_in_nodes(least, nearest), pair_schema)
+        return keyed.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(_pairs_in_nodes(least, nearest is not None), pair_schema)
 
-    def linked_by(pairs: DataFrame) -> bool:
-        """Confirms pairs and joins what they link; False if there are none."""
+    def link_by(pairs: DataFrame) -> None:
+        """Confirms pairs and joins what they link."""
         nonlocal label, stars
         if pairs.isEmpty():
-            return False
+            return
         links = confirmed(pairs)
         label = components(settle(links if stars is None else links.union(stars), "all_links"))
         stars = label.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-        return True
 
-    # Each class against the one that it is nearest to in its nodes, then again what is still apart.
-    for _ in range(hooks):
-        best = in_nodes(marked(nodes), True).groupBy("a").agg(F.max(F.struct("agree", "b")).alias("best")).select(F.greatest("a", "best.b").alias("a"), F.least("a", "best.b").alias("b")).distinct()
-        if not linked_by(settle(best, "nearest")):
+    # Each class against the one that it is nearest to in its blocks, then again what is still apart.
+    for k in range(hooks):
+        best = in_nodes(marked(nodes), k).groupBy("a").agg(F.max(F.struct("agree", "b")).alias("best")).select(F.greatest("a", "best.b").alias("a"), F.least("a", "best.b").alias("b")).distinct()
+        link_by(settle(best, "nearest"))
+
+    # All pairs that are left, in nodes of bounded size; larger nodes branch again. A round without pairs says nothing of
+    # those in different blocks, so this is never left out.
+    found_pairs = None
+    for d in range(depth):
+        final = d == depth - 1
+        rows = marked(level)
+        pairs = in_nodes(rows if final else rows.where(F.col("size") <= node_limit)).select("a", "b")
+        found_pairs = pairs if found_pairs is None else found_pairs.union(pairs)
+        large = rows.where(F.col("size") > node_limit)
+        if final or large.isEmpty():
             break
-    else:
-        # All pairs that are left, in nodes of bounded size; larger nodes branch again.
-        found_pairs = None
-        for d in range(depth):
-            final = d == depth - 1
-            rows = marked(level)
-            pairs = in_nodes(rows if final else rows.where(F.col("size") <= node_limit), False).select("a", "b")
-            found_pairs = pairs if found_pairs is None else found_pairs.union(pairs)
-            large = rows.where(F.col("size") > node_limit)
-            if final or large.isEmpty():
-                break
-            level = settle(_members(large.select("node", "cid", "sketch").mapInArrow(_child_nodes(child_branch), "node long, cid binary")).select("node", "cid", "size"), "children")
-        linked_by(settle(found_pairs.distinct(), "pairs"))
+        level = settle(_members(large.select("node", "cid", "sketch").mapInArrow(_child_nodes(child_branch), "node long, cid binary")).select("node", "cid", "size"), "children")
+    link_by(settle(found_pairs.distinct(), "pairs"))
     if label is None:
         label = classes.limit(0).select(F.col("cid").alias("id"), F.col("cid").alias("component"))
 

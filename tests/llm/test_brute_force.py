@@ -116,6 +116,15 @@ def test_near_duplicates_of_a_family(spark, more):
         assert got == want
 
 
+@pytest.mark.parametrize("hooks", [0, 1, 2])
+def test_a_tight_family_over_several_blocks(spark, hooks):
+    rng = random.Random(11)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(4000)]
+    rows = [(i, " ".join([*base[: 100 * i], f"v{i}", *base[100 * i + 1 :]])) for i in range(30)]
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), node_limit=16, hooks=hooks).collect()}
+    assert got == near_brute(rows)
+
+
 @pytest.mark.parametrize("hot", [20_000, 1])
 def test_suffix_dedup(spark, hot):
     rng = random.Random(4)
