@@ -9,6 +9,7 @@ Dispatch takes the first publisher of the table that supports a sender.
 from __future__ import annotations
 
 import html
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,6 +24,9 @@ from ..functions import web
 LINK_LINE = r"\(?\s*(?P<url>https?://[^)\s]+)\s*\)?"
 SPONSOR = r"\b(SPONSOR(ED)?|Sponsored)\b"
 NEVER = ("advertise", "sponsor", "unsubscribe", "privacy policy", "web version", "view on web", "together with")
+CARD_BEGIN = "무슨 일인데?"
+NO_CARD = ("뭐가 궁금해?", "다음 소식들은", "일분톡 구독", "오늘의 한 줄", "더 많은 소식", "어제 소식", "이 기사 어때요?", "스크롤", "구독", "취소", "내 추천 포인트", "퀵뉴스님의 한 마디", "부린이를 위한 부동산")
+INLINE = ("a", "abbr", "b", "code", "em", "font", "i", "img", "mark", "small", "span", "strong", "sub", "sup", "u")
 
 
 @dataclass(frozen=True)
@@ -44,6 +48,8 @@ class Publisher:
     single: bool = False  # the whole document is one item
     subject: str = ""
     footnotes: bool = field(default=False)
+    enriched: bool = False  # items are the pages of the mail's enrichment
+    cards: bool = False  # HTML with one table for each item's head
 
 
 PUBLISHERS = (
@@ -51,6 +57,7 @@ PUBLISHERS = (
     Publisher("LibHunt", ("newsletter@libhunt.com",), r"^(\*\s+)?(?P<title>[^-]+?)\s+-\s+" + LINK_LINE + r"$|^(?P<title2>\S.{8,})$", 5, r"^(Popular News and Articles|Trending libraries and projects).*$", libraries=frozenset({"Trending libraries and projects"}), most=40),
     Publisher("Kotlin Weekly", ("Kotlin Weekly", "kotlinweekly.net"), r"^(?P<title>.+?)\s+\((?P<url>https?://[^)\s]+)\)$", 0, r"^(Announcements|Articles|Android|Multiplatform|Videos|Podcast|Conferences|Libraries|Contribute|Sponsored)$", only=frozenset({"Announcements", "Articles", "Android", "Multiplatform", "Videos", "Podcast", "Conferences", "Libraries"}), libraries=frozenset({"Libraries"})),
     Publisher("GeekNews", ("news@hada.io",), r"^(?P<title>.+?)\s+\*\s+(?P<url>https?://\S+)$", stop=r"^-{72}$", footer="✓ 사내 커뮤니케이션 도구"),
+    Publisher("Maeil Mail", ("noreply@maeil-mail.kr",), enriched=True),
     Publisher("Korean FE Article", ("kofearticle@substack.com",), single=True, text=(0, 1500)),
     Publisher("TLDR", ("dan@tldrnewsletter.com",), r"^(?P<title>.+?)\s+\[(?P<note>\d+)\]$", 0, r"^([A-Z][A-Z &]{3,})$", text=(20, 1000), most=20, footnotes=True),
     Publisher("Baeldung", ("eugen@baeldung.com",), host="baeldung.com/", most=12),
@@ -88,7 +95,7 @@ PUBLISHERS = (
     Publisher("ITWorld", ("itworld@techlibrary.co.kr",), host="url=", most=12),
     Publisher("CSS Weekly", ("CSS Weekly", "css-weekly@beehiiv.com"), r"^## \[(?P<title>.*?)\]\((?P<url>https?://[^)]+)\)", 0, r"^# (.+)$"),
     Publisher("Swift with Vincent", ("Swift with Vincent", "swiftwithvincent.com"), single=True, text=(0, 3000)),
-    Publisher("Ilbuntok", ("ilbuntok", "ilbuntok.com"), single=True, text=(0, 3000)),
+    Publisher("Ilbuntok", ("ilbuntok", "ilbuntok.com"), cards=True, title=5),
 )
 
 
@@ -145,8 +152,84 @@ def _scan(p: Publisher, text: str) -> list[dict]:
     return items
 
 
-def parse(p: Publisher, subject: str | None, text: str | None, page: str | None) -> list[dict]:
+def _pages(enrichment: list[dict], subject: str | None) -> list[dict]:
+    """PAR05: the pages that were read (url, normalized_url, title, content, status), the first of each address; of these, those with a content."""
+    first: dict[str, dict] = {}
+    for x in enrichment:
+        url = (x["url"] or "").strip()
+        if (x["status"] or "").lower() == "success" and url:
+            first.setdefault((x["normalized_url"] or "").strip() or web.raw_normal_url(url), x)
+    rows = []
+    for x in first.values():
+        if (x["content"] or "").strip():
+            names = (" ".join(re.sub(r"^\s*\[매일메일\]\s*", "", t or "").split()) for t in (x["title"], subject, x["url"]))
+            rows.append({"title": next((t for t in names if t), "Untitled"), "content": x["content"].strip(), "link": x["url"].strip(), "section": "Maeil Mail"})
+    return rows
+
+
+def _said(node: web.Node | str) -> str:
+    """An element's text, words being parted by blanks and by blocks, not by inline elements."""
+
+    def walk(n) -> Iterator[str]:
+        if isinstance(n, str):
+            yield n
+            return
+        block = n.tag not in INLINE
+        yield " " if block else ""
+        for c in n.children:
+            yield from walk(c)
+        yield " " if block else ""
+
+    return " ".join("".join(walk(node)).split())
+
+
+def _styled(node: web.Node, what: str) -> bool:
+    return what in node.attrs.get("style", "").lower()
+
+
+def _card_body(below: web.Node, title: str) -> str:
+    """What follows the mark of the story's begin in the table below a card's head; without a mark, all paragraphs."""
+    parts = [c for c in below.children if isinstance(c, web.Node)]
+    if below.tag == "table" and any(c.tag == "tr" for c in parts):
+        parts = [below]  # rows that no tbody encloses are one
+    said = [(c, t) for c in parts if (t := _said(c))]
+    begin = next((i for i, (_, t) in enumerate(said) if CARD_BEGIN in t), None)
+    if begin is None:
+        return "\n\n".join(t for x in below.all("p") if (t := _said(x)) and title not in t)
+    out = said[begin][1] + "\n\n"
+    for c, t in said[begin + 1 :]:
+        out += ("\n" if c.tag in ("h3", "h4", "strong") or any(c.all("strong")) else "") + t + "\n\n"
+    return out.strip()
+
+
+def _cards(page: str | None) -> list[dict]:
+    """PAR22: one row for each white table with a large centred title, distinct by title."""
+    rows: dict[str, dict] = {}
+    for table in web.tree(page).all("table"):
+        if "stb-one-col" not in table.attrs.get("class", "").lower().split() or not _styled(table, "background:#ffffff"):
+            continue
+        heads = (s for x in table.all("p", "h3") if _styled(x, "text-align: center") for s in x.all("span") if _styled(s, "font-size: 26px"))
+        head = next(heads, None)
+        title = _said(head) if head else ""
+        if len(title) < 5 or any(x in title for x in NO_CARD):
+            continue
+        around = [c for c in table.parent.children if isinstance(c, web.Node)]
+        after = next(iter(around[next(i for i, c in enumerate(around) if c is table) + 1 :]), None)
+        if after is not None:
+            body = _card_body(after, title)
+        else:
+            body = "\n".join(_said(x) for x in table.all("p") if not _styled(x, "text-align: center"))
+        links = (a.attrs["href"] for a in table.all("a") if "href" in a.attrs and not any(x in _said(a) for x in ("일분톡 구독", "이 기사 공유하기")))
+        rows.setdefault(title, {"title": title, "content": body if body.strip() else title, "link": next(links, "https://www.ilbuntok.com"), "section": "일분톡"})
+    return list(rows.values())
+
+
+def parse(p: Publisher, subject: str | None, text: str | None, page: str | None, enrichment: list[dict] | None = None) -> list[dict]:
     """PAR01-PAR22: rows (title, content, link, section) of one document."""
+    if p.enriched:
+        return _pages(enrichment or [], subject)
+    if p.cards:
+        return _cards(page)
     text = _tidy(text)
     if p.subject and p.subject.lower() not in (subject or "").lower():
         return []
@@ -193,7 +276,10 @@ def _grouped(p: Publisher, rows: list[dict], issue: str | None) -> list[dict]:
 
 
 def items(mails: DataFrame) -> DataFrame:
-    """Rows (path, publisher, pos, title, content, link, section) of mails (path, sender, subject, text, html) from known publishers."""
+    """Rows (path, publisher, pos, title, content, link, section) of mails (path, sender, subject, text, html) from known publishers.
+
+    A column ``enrichment`` has the pages read for a mail, an array of (url, normalized_url, title, content, status); without it there are none.
+    """
     table = {p.name: p for p in PUBLISHERS}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,9 +287,11 @@ def items(mails: DataFrame) -> DataFrame:
             rows = [
                 (m.path, m.publisher, i, r["title"], r["content"], r["link"], r["section"])
                 for m in pdf.itertuples()
-                for i, r in enumerate(parse(table[m.publisher], m.subject, m.text, m.html))
+                for i, r in enumerate(parse(table[m.publisher], m.subject, m.text, m.html, json.loads(m.enrichment) if m.enrichment else None))
             ]
             yield pd.DataFrame(rows, columns=["path", "publisher", "pos", "title", "content", "link", "section"])
 
-    known = mails.select("path", publisher(F.col("sender")).alias("publisher"), "subject", "text", "html").where("publisher is not null")
+    fields = ("url", "normalized_url", "title", "content", "status")
+    pages = F.to_json(F.transform("enrichment", lambda x: F.struct(*(x[k].cast("string").alias(k) for k in fields))), {"ignoreNullFields": "false"}) if "enrichment" in mails.columns else F.lit(None).cast("string")
+    known = mails.select("path", publisher(F.col("sender")).alias("publisher"), "subject", "text", "html", pages.alias("enrichment")).where("publisher is not null")
     return known.mapInPandas(run, "path string, publisher string, pos long, title string, content string, link string, section string")

@@ -49,3 +49,35 @@ def test_dispatch(spark):
     assert got == {"a": "React Status", "b": "Cooperpress", "c": None, "d": None}
     mails = spark.createDataFrame([("m", "css-weekly@beehiiv.com", "s", "# A\n## [A title](https://e.com/1)\nbody", None), ("n", "x@y.z", "s", "t", None)], "path string, sender string, subject string, text string, html string")
     assert [(r.publisher, r.title, r.content) for r in pb.items(mails).collect()] == [("CSS Weekly", "A title", "body")]
+
+
+def test_cards():
+    def card(title, link="", after="<table><tbody><tr><td>무슨 일인데? 본문</td></tr></tbody></table>"):
+        return f"<div><table class='a stb-one-col' style='background:#ffffff;'><tr><td><h3 style='text-align: center;'><span style='font-size: 26px;'>{title}</span></h3>{link}</td></tr></table>{after}</div>"
+
+    steps = "<div><p>앞</p><p>무슨 일인데?</p><p>하나</p><h3>둘</h3></div>"
+    page = card("첫 <b>번</b>째 소식", "<a href='https://e.com/1'>x</a>") + card("두 번째 소식", after=steps) + card("첫 번째 소식") + card("오늘의 한 줄") + card("짧은") + card("세 번째 소식", after="<div><p>세 번째 소식</p><p>글</p></div>") + card("네 번째 소식", after="")
+    rows = pb.parse(TABLE["Ilbuntok"], "subject", "text", page)
+    assert [(r["title"], r["content"], r["link"]) for r in rows] == [
+        ("첫 번째 소식", "무슨 일인데? 본문", "https://e.com/1"),
+        ("두 번째 소식", "무슨 일인데?\n\n하나\n\n\n둘", "https://www.ilbuntok.com"),
+        ("세 번째 소식", "글", "https://www.ilbuntok.com"),
+        ("네 번째 소식", "네 번째 소식", "https://www.ilbuntok.com"),
+    ]
+
+
+def test_items_of_enrichment(spark):
+    pages = [
+        ("https://e.com/a?utm_source=m", None, "[매일메일]  A  title", " text a ", "SUCCESS"),
+        ("https://e.com/a", None, "again", "text", "success"),
+        ("https://e.com/b", "k", " ", "text b", "success"),
+        ("https://e.com/c", "k", "same key", "text", "success"),
+        ("https://e.com/d", None, "failed", "text", "failed"),
+        ("https://e.com/e", None, "empty", " ", "success"),
+    ]
+    schema = "path string, sender string, subject string, text string, html string, enrichment array<struct<url string, normalized_url string, title string, content string, status string>>"
+    mails = spark.createDataFrame([("m", "Maeil <noreply@maeil-mail.kr>", "[매일메일] Today", None, None, pages), ("n", "noreply@maeil-mail.kr", "s", "t", None, None)], schema)
+    assert [(r.path, r.publisher, r.pos, r.title, r.content, r.link, r.section) for r in pb.items(mails).collect()] == [
+        ("m", "Maeil Mail", 0, "A title", "text a", "https://e.com/a?utm_source=m", "Maeil Mail"),
+        ("m", "Maeil Mail", 1, "Today", "text b", "https://e.com/b", "Maeil Mail"),
+    ]
