@@ -9,14 +9,14 @@ Base spans (always reported): ``assign``, ``access`` and ``hex``.
 
 Linking.  Three kinds of weak candidates are worth nothing alone: ``ident``
 (an account or client name), ``value`` (a long run of base64 letters) and
-``endpoint`` (a URL).  A text is covered by overlapping scopes of ``scope``
-code points, one starting at every half scope; a part is joined to each scope
-whose interval holds it.  A scope is complete for weak identifiers and values
-when it holds an access identifier (``access`` or ``ident``) and a secret
-(``assign``, ``hex`` or ``value``); weak parts of complete scopes are
-reported, endpoints included, and no others.  Parts lying within half a scope
-of each other always share one.  Everything happens within a row, so nothing
-is shuffled and no text is copied.
+``endpoint`` (a URL).  Two parts are near where the gap between them is
+``scope`` code points at most, whatever their lengths and wherever they stand.  A weak identifier is reported when a
+secret (``assign``, ``hex`` or ``value``) is near, a value when an access
+identifier (``access`` or ``ident``) is, and an endpoint when an identifier
+and a secret are that are also near each other.  For that each part reaches
+from ``scope`` before its start to its end: parts are near where their reaches
+meet, and three are near each other where their reaches have a common point.
+Everything happens within a row, so nothing is shuffled and no text is copied.
 
 Defined results.  A null text counts as empty: no spans, and the digest of
 the empty string.  Rows are independent; repeated rows get equal results.
@@ -73,16 +73,31 @@ def _long_enough(text: Column, pattern: str, group: int, least: int) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m: F.length(m) >= least)
 
 
-def _scopes(part: Column, scope: int) -> Column:
-    """Starts, in half scopes, of the scopes that hold the part whole."""
-    half = scope // 2
-    last = F.floor(part["s"] / half).cast("int")
-    first = F.greatest(F.ceil((part["e"] - scope) / half).cast("int"), F.lit(0))
-    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+def _reach(part: Column, scope: int) -> Column:
+    """Two parts have a gap of ``scope`` code points at most where their reaches meet."""
+    return F.struct((part["s"] - scope).alias("lo"), part["e"].alias("hi"))
 
 
-def _scopes_of(parts: Column, scope: int) -> Column:
-    return F.array_distinct(F.flatten(F.transform(parts, lambda p: _scopes(p, scope))))
+def _meet(a: Column, b: Column) -> Column:
+    return (a["lo"] <= b["hi"]) & (b["lo"] <= a["hi"])
+
+
+def _reached(parts: Column, scope: int) -> Column:
+    """The union of the parts' reaches, as intervals in order."""
+    none = F.array().cast("array<struct<lo:int,hi:int>>")
+    return F.aggregate(
+        F.array_sort(F.transform(parts, lambda p: _reach(p, scope))),
+        F.struct(none.alias("out"), F.lit(0).alias("lo"), F.lit(-(1 << 30)).alias("hi")),
+        lambda a, x: F.when(x["lo"] <= a["hi"], F.struct(a["out"].alias("out"), a["lo"].alias("lo"), F.greatest(a["hi"], x["hi"]).alias("hi"))).otherwise(
+            F.struct(F.array_append(a["out"], F.struct(a["lo"].alias("lo"), a["hi"].alias("hi"))).alias("out"), x["lo"].alias("lo"), x["hi"].alias("hi"))
+        ),
+        lambda a: F.filter(F.array_append(a["out"], F.struct(a["lo"].alias("lo"), a["hi"].alias("hi"))), lambda x: x["hi"] >= 0),
+    )
+
+
+def _common(left: Column, right: Column) -> Column:
+    """What lies in both of two unions."""
+    return F.flatten(F.transform(left, lambda a: F.transform(F.filter(right, lambda b: _meet(a, b)), lambda b: F.struct(F.greatest(a["lo"], b["lo"]).alias("lo"), F.least(a["hi"], b["hi"]).alias("hi")))))
 
 
 def _named(spans: Column, kind: str) -> Column:
@@ -106,11 +121,10 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         _spans(text, VALUE, None).alias("value"),
         _spans(text, ENDPOINT, None).alias("endpoint"),
     )
-    names = _scopes_of(F.concat("access", "ident"), scope)
-    values = _scopes_of(F.concat("assign", "hex", "value"), scope)
-    found = found.withColumn("_full", F.array_intersect(names, values))
+    found = found.withColumns({"_names": _reached(F.concat("access", "ident"), scope), "_secrets": _reached(F.concat("assign", "hex", "value"), scope)})
+    found = found.withColumn("_full", _common(F.col("_names"), F.col("_secrets")))
     for kind in ("ident", "value", "endpoint"):
-        found = found.withColumn(kind, F.filter(kind, lambda p: F.arrays_overlap(_scopes(p, scope), F.col("_full"))))
+        found = found.withColumn(kind, F.filter(kind, lambda p: F.exists("_full", lambda x: _meet(_reach(p, scope), x))))
     base = F.concat(*(_named(F.col(k), k) for k in KINDS[:3]))
     weak = F.concat(*(_named(F.col(k), k) for k in KINDS[3:]))
     return found.select(

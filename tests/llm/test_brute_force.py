@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumeflow.llm import chat, decontaminate, graph, line_dedup, near_dups, packing, site_bayes, suffix_dedup, token_rollup
+from plumeflow.llm import chat, decontaminate, graph, line_dedup, near_dups, packing, secrets, site_bayes, suffix_dedup, token_rollup
 from plumeflow.llm.suffix_sort import suffix_array
 from plumeflow.llm.storage import shared_dir
 
@@ -149,6 +149,17 @@ def test_suffix_dedup(spark, hot):
     assert got == want
 
 
+def test_secrets_are_linked_by_distance(spark):
+    long = "Ab1/" * 125
+    rows = [(i, "- " * i + f"client_id=abcd token={long}", 2) for i in range(0, 201, 25)]
+    rows += [(300 + i, "- " * i + "client_id=abcdefghij " + "- " * 80 + "+" * 45, 2) for i in range(0, 201, 5)]
+    rows += [(600, "client_id=abc " + "- " * 199 + "+" * 40, 2), (601, "client_id=abc " + "- " * 201 + "+" * 40, 0)]
+    rows += [(700, "client_id=abc " + "- " * 190 + "+" * 40 + " https://e.com/", 2), (701, "client_id=abc " + "+" * 40 + " https://e.com/", 3), (702, "client_id=abc https://e.com/", 0)]
+    got = {r.doc_id: r.n_linked for r in secrets.secret_spans(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")).collect()}
+    # a token of 500 letters is a base span and, as a long run, a weak value too
+    assert got == {i: n for i, _, n in rows}
+
+
 def lines_brute(rows, min_words=5, threshold=75):
     """Lines that go, as (doc, line), by comparing all pairs of lines."""
     norm = {}
