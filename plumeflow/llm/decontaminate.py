@@ -16,8 +16,9 @@ are dealt into blocks of about that size, and the documents stream through one
 block after the other.  Nothing is shuffled.
 
 Defined results.  A null text, of a document or an item, has no words and
-meets nothing.  Items with equal texts are all reported.  Rows are
-independent, so that repeated rows get equal results; columns of any name pass
+meets nothing.  Items with equal texts are all reported.  Items without an id
+hit as others do, count together as one item, and are not in the digest of
+ids.  Rows are independent, so that repeated rows get equal results; columns of any name pass
 through.  No items: no hits.
 """
 
@@ -186,6 +187,11 @@ def _merge(runs: list[list[int]]) -> list[list[int]]:
     return out
 
 
+def _ordered(names) -> list[str | None]:
+    """Ids in order, that of items without one last."""
+    return sorted(names, key=lambda x: (x is None, x or ""))
+
+
 def _scan(where: int, block, added: list[str], carried: bool):
     """Appends _n_words, _runs (flat word indices) and _items to each row, or adds to those that an earlier block left."""
 
@@ -217,13 +223,13 @@ def _scan(where: int, block, added: list[str], carried: bool):
                         automaton.walk(ids[x:y].tolist(), runs_of.setdefault(i, []), items_of.setdefault(i, set()), x - int(rows[i]))
                 counts.extend(np.diff(rows).tolist())
                 all_runs.extend(runs_of.get(i, []) for i in range(hi - lo))
-                all_items.extend(sorted(items_of.get(i, ())) for i in range(hi - lo))
+                all_items.extend(_ordered(items_of.get(i, ())) for i in range(hi - lo))
             columns, names = list(batch.columns), list(batch.schema.names)
             if carried:
                 *columns, _, runs, items = columns
                 *names, _, _, _ = names
-                all_runs = [_merge([*zip(r[::2], r[1::2], strict=True), *n]) if n else [*zip(r[::2], r[1::2], strict=True)] for r, n in zip(runs.to_pylist(), all_runs, strict=True)]
-                all_items = [sorted({*o, *n}) for o, n in zip(items.to_pylist(), all_items, strict=True)]
+                all_runs = [_merge([*map(list, zip(r[::2], r[1::2], strict=True)), *n]) if n else [*zip(r[::2], r[1::2], strict=True)] for r, n in zip(runs.to_pylist(), all_runs, strict=True)]
+                all_items = [_ordered({*o, *n}) for o, n in zip(items.to_pylist(), all_items, strict=True)]
                 all_runs = [[list(p) for p in r] for r in all_runs]
             flat = pa.array([[x for p in r for x in p] for r in all_runs], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), flat, pa.array(all_items, pa.list_(pa.string()))], names=[*names, *added])
@@ -234,7 +240,7 @@ def _scan(where: int, block, added: list[str], carried: bool):
 def with_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, max_words: int = 200_000) -> DataFrame:
     """docs with _n_words, _runs and _items appended; underscores are added to these names where docs has them."""
     spark = docs.sparkSession
-    narrow = items.select(F.col(item_id).cast("string").alias("name"), F.col(item_text).alias("text")).where("name is not null")
+    narrow = items.select(F.col(item_id).cast("string").alias("name"), F.col(item_text).alias("text"))
     # a word needs a separator or the text's end: no text has more words than half its bytes and one
     bound = narrow.agg(F.sum(F.floor((F.octet_length("text") + 1) / 2))).first()[0] or 0
     blocks = max(1, -(-int(bound) // max_words))

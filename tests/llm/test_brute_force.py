@@ -160,6 +160,16 @@ def test_secrets_are_linked_by_distance(spark):
     assert got == {i: n for i, _, n in rows}
 
 
+def test_items_without_an_id(spark):
+    passage = " ".join(f"w{i}" for i in range(13))
+    other = " ".join(f"x{i}" for i in range(13))
+    docs = spark.createDataFrame([(1, passage), (2, passage + " " + other), (3, "none of it")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, passage), (7, other)], "item_id long, text string")
+    for more in ({}, {"max_words": 5}):
+        rows = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.contamination(docs, items, **more).collect()}
+        assert rows == {1: (13, 1, decontaminate.items_digest([]), True), 2: (26, 2, decontaminate.items_digest(["7"]), True), 3: (0, 0, decontaminate.items_digest([]), False)}
+
+
 def lines_brute(rows, min_words=5, threshold=75):
     """Lines that go, as (doc, line), by comparing all pairs of lines."""
     norm = {}
