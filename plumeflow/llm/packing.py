@@ -68,7 +68,7 @@ def best_bounds(histogram: dict[int, int], buckets: int, step: int, most: int) -
     return sorted([*out, int(ends[j])])
 
 
-def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens_col: str | None = None, max_tokens: int = 2048, buckets: int = 8, step: int = 16, budget: int = 32_768, slice_rows: int = 8192) -> DataFrame:
+def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens_col: str | None = None, max_tokens: int = 2048, buckets: int = 8, step: int = 1, budget: int = 32_768, slice_rows: int = 8192) -> DataFrame:
     """(doc_id, piece, n_tokens, bucket_len, slice, batch, place) of every piece."""
     if tokens_col is None:
         counted = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_count_batches, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long")

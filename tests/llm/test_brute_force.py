@@ -170,6 +170,12 @@ def test_items_without_an_id(spark):
         assert rows == {1: (13, 1, decontaminate.items_digest([]), True), 2: (26, 2, decontaminate.items_digest(["7"]), True), 3: (0, 0, decontaminate.items_digest([]), False)}
 
 
+def test_bounds_at_any_length(spark):
+    rows = [(i, (100, 1025, 1900)[i % 3]) for i in range(30)]
+    out = packing.packed(spark.createDataFrame(rows, "doc_id long, n long"), tokens_col="n").collect()
+    assert all(r.bucket_len == (r.n_tokens if r.n_tokens < 1900 else 2048) or r.bucket_len == r.n_tokens for r in out) and len(out) == 30
+
+
 def lines_brute(rows, min_words=5, threshold=75):
     """Lines that go, as (doc, line), by comparing all pairs of lines."""
     norm = {}
