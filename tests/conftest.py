@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
-SF = "/root/testdata/sf0.001"
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+from paths import SF  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -1,6 +1,6 @@
 import pytest
 from compare import same
-from conftest import SF
+from paths import SF
 
 from plumeflow.plans import catalog, catalog_more  # noqa: F401
 

@@ -1,4 +1,4 @@
-from conftest import SF
+from paths import SF
 
 from plumeflow.plans import catalog
 from plumeflow.streaming import events as st
