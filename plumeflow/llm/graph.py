@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import settle
+from .storage import drop, settle
 
 MAX_ROUNDS = 60
 
@@ -44,7 +44,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = edges.where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     for _ in range(MAX_ROUNDS):
-        now = settle(_small_star(_large_star(now)), "stars")
+        before, now = now, settle(_small_star(_large_star(now)), "stars")
+        drop(before)
         if _all_stars(now):
             return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
     raise RuntimeError("components did not settle")

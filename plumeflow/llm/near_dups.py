@@ -7,16 +7,22 @@ words has its whole sequence as the one shingle. Two texts are linked when
 
 Method.  Equal sets fall together first (one class, named by a 128-bit hash
 of its set).  Each class gets a sketch of minwise tokens.  ``trees``
-independent trees then branch recursively: at the root a class follows
-``branch`` of its minwise tokens, and a node is the classes that followed the
-same path.  Nodes of one class end.  First each class is held against the
-one in its nodes (in large ones: in its block, dealt anew each time) that its sketch
-is nearest to, ``hooks`` times; what is joined by then needs no further comparison.  Then the classes of a node that lie in
-different components are compared exhaustively by sketch, and what agrees in
-enough tokens is confirmed on full sets.  A node of more than ``node_limit``
-classes branches again, each class following ``child_branch`` tokens, up to
-``depth`` levels; a node that is still large is compared exhaustively all the
-same, in blocks of bounded size, so that no class is left out.
+independent trees branch recursively: at the root a class follows ``branch``
+of its minwise tokens, and a node is the classes that followed the same path.
+Nodes of one class end.  A node is small with at most ``node_limit`` classes
+and ``node_shingles`` shingles in all, and small nodes are compared
+exhaustively.  Large nodes are first compared within blocks of that size, and
+branch again where they still hold several components, each class following
+``child_branch`` tokens, up to ``depth`` levels. What is large even then is
+compared by pairs of blocks, so that no class is left out.
+
+Comparing a node takes two steps, and what either makes is linear in the
+node.  By sketch: a class is active if its sketch agrees in enough tokens with
+one of another component that it meets in no earlier small root.  Then the
+full sets of the active classes come to the node, once for all of its pairs,
+intersections are counted over their shared shingles, and of the classes
+linked an edge for each component is written.  The first tree goes ahead of
+the others, so that what it joins needs no further comparison.
 
 Recall.  A pair at similarity 0.75 misses all roots with probability
 0.25 ** 16 = 2e-10 at the defaults. Where all its nodes are large, it goes on in
@@ -25,7 +31,7 @@ each of them with probability 0.89 over any number of levels, and misses all wit
 Links are exact: no pair is linked without its full sets.
 
 Nothing but counts comes to the driver; all tables between steps lie in the
-shared folder.
+shared folder, and are deleted when they are used up.
 
 Defined results.  A null or blank text has no shingles, links with nothing
 and is kept; its component_id is its own doc_id.  Each row stands for itself:
@@ -42,17 +48,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .storage import bounded_batches, settle, small_or_shuffled
-from .textkit import LOWER, PLAIN_WORD, RangeHash, as_bytes, chunks, mix, randoms, windows, words
+from .storage import BROADCAST_BYTES, bounded_batches, drop, settle, small_or_shuffled
+from .textkit import LOWER, PLAIN_WORD, RangeHash, as_bytes, chunks, fixed_width, mix, randoms, released, windows, words
 
 COORDINATES = 64
 _XOR = randoms(COORDINATES, 21)
 _MUL = randoms(COORDINATES, 22) | np.uint64(1)
 _SET_A, _SET_B = (int(x) for x in randoms(2, 23))
+_ROOT = randoms(COORDINATES, 24)
+_LOW32, _LOW8 = np.uint64(0xFFFFFFFF), np.uint64(0xFF)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,17 +74,16 @@ def distinct_sets(hashes: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return [np.unique(hashes[offsets[i] : offsets[i + 1]]) for i in range(len(offsets) - 1)]
 
 
-def sketches(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def minwise(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """(texts, COORDINATES) minwise tokens; rows of texts without shingles are 0."""
     counts = np.diff(offsets)
-    out = np.zeros((len(counts), COORDINATES), np.uint32)
+    out = np.zeros((len(counts), COORDINATES), np.uint64)
     some = np.flatnonzero(counts)
     if len(some):
         at = offsets[:-1][some]
         for j in range(COORDINATES):
-            least = np.minimum.reduceat((hashes ^ _XOR[j]) * _MUL[j], at)
-            out[some, j] = least >> np.uint64(32)
-    return out
+            out[some, j] = np.minimum.reduceat((hashes ^ _XOR[j]) * _MUL[j], at)
+    return mix(out)
 
 
 def class_id(values: np.ndarray) -> bytes:
@@ -87,48 +94,40 @@ def class_id(values: np.ndarray) -> bytes:
     return a.tobytes() + b.tobytes()
 
 
-def _sketch_batches(size: int):
+def sketch_width(roots: int) -> int:
+    return 4 * roots + COORDINATES - roots
+
+
+def _sketch_batches(size: int, roots: int):
+    """Texts to their sets' names, root nodes and sketches: 32 bits of each token that makes a root, 8 bits of the others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = as_bytes(batch.column(1))
+            data, offsets = as_bytes(batch.column(2))
             for lo, hi in chunks(offsets):
                 own = offsets[lo : hi + 1] - offsets[lo]
                 hashes, at = shingles(data[offsets[lo] : offsets[hi]], own, size)
                 sets = distinct_sets(hashes, at)
                 some = [len(s) > 0 for s in sets]
-                rows = sketches(hashes, at)
+                tokens = minwise(hashes, at)
+                node = mix(tokens[:, :roots] ^ _ROOT[:roots]).view(np.int64)
+                rows = np.concatenate(((tokens[:, :roots] & _LOW32).astype("<u4").view(np.uint8), (tokens[:, roots:] & _LOW8).astype(np.uint8)), axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(lo, hi - lo),
+                        batch.column(1).slice(lo, hi - lo),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([class_id(s) if k else None for s, k in zip(sets, some, strict=True)], pa.binary()),
                         pa.array([rows[i].tobytes() if k else None for i, k in enumerate(some)], pa.binary()),
+                        pa.array([node[i].tolist() if k else None for i, k in enumerate(some)], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "cid", "sketch"],
+                    names=["doc_id", "th", "n_shingles", "cid", "sketch", "roots"],
                 )
 
-    return run
-
+    return released(run)
 
-def _root_nodes(trees: int, branch: int):
-    """Of each class the nodes that it reaches at depth 1: for tree t, ``branch`` tokens chosen by the tree's own draw."""
-    rng = np.random.default_rng(7)
-    drawn = rng.permutation(COORDINATES)[: trees * branch] if trees * branch <= COORDINATES else rng.integers(0, COORDINATES, trees * branch)
-    salt = randoms(trees * branch, 24)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, COORDINATES)
-            node = mix(rows[:, drawn].astype(np.uint64) ^ salt[None, :])
-            who = np.repeat(np.arange(batch.num_rows), node.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(node.ravel().view(np.int64)), batch.column(0).take(pa.array(who))], names=["node", "cid"])
-
-    return run
-
-
-def _child_nodes(branch: int):
+def _child_batches(branch: int, roots: int):
     """Of each member of a large node the children that it reaches: the node itself draws which tokens to follow."""
     step = randoms(branch, 25)
 
@@ -137,205 +136,280 @@ def _child_nodes(branch: int):
             if not batch.num_rows:
                 continue
             node = batch.column(0).to_numpy().view(np.uint64)
-            rows = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, COORDINATES)
+            rows = fixed_width(batch.column(3), sketch_width(roots))
+            tokens = np.concatenate((np.ascontiguousarray(rows[:, : 4 * roots]).view("<u4"), rows[:, 4 * roots :]), axis=1).astype(np.uint64)
             draw = mix(node[:, None] ^ step[None, :])
-            token = np.take_along_axis(rows, (draw % np.uint64(COORDINATES)).astype(np.int64), axis=1)
-            child = mix(draw + token.astype(np.uint64))
+            token = np.take_along_axis(tokens, (draw % np.uint64(COORDINATES)).astype(np.int64), axis=1)
+            child = mix(draw + mix(token))
             who = pa.array(np.repeat(np.arange(batch.num_rows), branch))
-            yield pa.RecordBatch.from_arrays([pa.array(child.ravel().view(np.int64)), batch.column(1).take(who)], names=["node", "cid"])
-
-    return run
+            yield pa.RecordBatch.from_arrays([pa.array(child.ravel().view(np.int64)), batch.column(1).take(who), batch.column(2).take(who)], names=["node", "cid", "n"])
+
+    return released(run)
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches sorted by their first column, cut anew so that none begins within a group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(0).to_numpy()
+        if held and held[0].column(0)[0].as_py() != keys[0]:
+            yield pa.concat_batches(held)
+            held = []
+        at = int(np.searchsorted(keys == keys[-1], True))
+        if at == 0:
+            held.append(batch)
+        else:
+            yield pa.concat_batches([*held, batch.slice(0, at)])
+            held = [batch.slice(at)]
+    if held:
+        yield pa.concat_batches(held)
 
 
-def _pairs_in_nodes(least: float, nearest: bool, block: int = 4096):
-    """Rows (key, cid, comp, sketch) sorted by key to pairs of one key in different components whose sketches agree in a share ``least`` of tokens.
+def _active_batches(need: int, roots: int, most: int = 1 << 15):
+    """Rows (key, j, cid, comp, mask, sketch) sorted by key to the (key, cid) of those with a candidate in their group.
 
-    All such pairs (a < b); or with ``nearest``, for each row the one that agrees most.
+    A candidate is of another component and agrees in ``need`` tokens. A pair that shares a small root (bits of
+    mask) is looked at in the first of these alone: in the group of root j no earlier one, in others (j < 0 or a
+    large root) none at all.
     """
-    need = least * COORDINATES
-
-    def of(cids: list[bytes], comps: np.ndarray, rows: np.ndarray):
-        m = len(cids)
-        for i in range(m):
-            if nearest:
-                other = np.flatnonzero(comps != comps[i])
-                if len(other):
-                    agree = (rows[other] == rows[i]).sum(axis=1)
-                    at = int(agree.argmax())
-                    if agree[at] >= need:
-                        yield cids[i], cids[other[at]], int(agree[at])
-                continue
-            for lo in range(i + 1, m, block):
-                other = np.flatnonzero(comps[lo : lo + block] != comps[i]) + lo
-                if len(other):
-                    agree = (rows[other] == rows[i]).sum(axis=1)
-                    for k in np.flatnonzero(agree >= need):
-                        yield (*sorted((cids[i], cids[other[k]])), int(agree[k]))
-
-    def out(pairs: list[tuple[bytes, bytes, int]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary()), pa.array([p[2] for p in pairs], pa.int32())], names=["a", "b", "agree"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, cids, comps, rows, pairs = None, [], [], [], []
-
-        def close():
-            if len(cids) > 1:
-                names = {c: k for k, c in enumerate(dict.fromkeys(comps))}
-                if len(names) > 1:
-                    for pair in of(cids, np.array([names[c] for c in comps]), np.frombuffer(b"".join(rows), np.uint32).reshape(-1, COORDINATES)):
-                        pairs.append(pair)
-                        if len(pairs) >= 20_000:
-                            yield out(pairs)
-                            pairs.clear()
-
-        for batch in batches:
-            for n, cid, comp, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if n != node:
-                    yield from close()
-                    node, cids, comps, rows = n, [], [], []
-                cids.append(cid)
-                comps.append(comp)
-                rows.append(row)
-        yield from close()
-        if pairs:
-            yield out(pairs)
-
-    return run
-
+        for batch in _whole_groups(batches):
+            m = batch.num_rows
+            keys, j, mask = (batch.column(k).to_numpy() for k in (0, 1, 4))
+            comp = np.ascontiguousarray(fixed_width(batch.column(3), 16)).view(np.uint64)
+            rows = fixed_width(batch.column(5), sketch_width(roots))
+            first = np.ascontiguousarray(rows[:, : 4 * roots]).view("<u4")
+            small = (mask[:, None] >> np.arange(roots) & 1).astype(bool)
+            own = (j >= 0) & small[np.arange(m), np.maximum(j, 0)]
+            met = small & (~own[:, None] | (np.arange(roots)[None, :] < j[:, None]))
+            cut = np.flatnonzero(np.concatenate((keys[1:] != keys[:-1], [True]))) + 1
+            ends = cut[np.searchsorted(cut, np.arange(m), "right")]
+            count = ends - 1 - np.arange(m)
+            total = np.concatenate(([0], np.cumsum(count)))
+            active = np.zeros(m, bool)
+            lo = 0
+            while lo < m:
+                hi = max(int(np.searchsorted(total, total[lo] + most, "right")) - 1, lo + 1)
+                a = np.repeat(np.arange(lo, hi), count[lo:hi])
+                b = a + 1 + np.arange(len(a)) - np.repeat(total[lo:hi] - total[lo], count[lo:hi])
+                apart = (comp[a] != comp[b]).any(axis=1)
+                a, b = a[apart], b[apart]
+                same = first[a] == first[b]
+                agree = same.sum(axis=1)
+                new = (agree + COORDINATES - roots >= need) & ~(same & met[a]).any(axis=1)
+                a, b, agree = a[new], b[new], agree[new]
+                agree = agree + (rows[a, 4 * roots :] == rows[b, 4 * roots :]).sum(axis=1)
+                hit = agree >= need
+                active[a[hit]] = active[b[hit]] = True
+                lo = hi
+            at = pa.array(np.flatnonzero(active))
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(at) for k in (0, 2, 3)], names=["key", "cid", "comp"])
+
+    return released(run)
+
+
+def _wanted_batches(size: int):
+    """Texts with the groups in which their set is wanted to (key, cid, comp, members)."""
 
-def _set_batches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = as_bytes(batch.column(0))
             for lo, hi in chunks(offsets):
                 own = offsets[lo : hi + 1] - offsets[lo]
                 sets = distinct_sets(*shingles(data[offsets[lo] : offsets[hi]], own, size))
-                yield pa.RecordBatch.from_arrays([pa.array([class_id(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cid", "members"])
+                out: list[list] = [[], [], [], []]
+                for s, wanted in zip(sets, batch.column(1).slice(lo, hi - lo).to_pylist(), strict=True):
+                    name, raw = class_id(s), s.tobytes()
+                    for w in wanted:
+                        if w["cid"] == name:
+                            for x, v in zip(out, (w["key"], name, w["comp"], raw), strict=True):
+                                x.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(x, pa.binary()) for x in out[1:])], names=["key", "cid", "comp", "members"])
+
+    return released(run)
+
+
+def intersections(sets: list[np.ndarray], dense: int = 32, width: int = 1024) -> np.ndarray:
+    """(sets, sets) sizes of all intersections, from the shingles that occur twice: rare ones by their pairs, frequent ones by products of 0/1 columns."""
+    m = len(sets)
+    out = np.zeros(m * m, np.int64)
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    times = np.diff(np.concatenate((first, [len(values)])))
+    rare = np.repeat((times > 1) & (times <= dense), times)
+    o, v = owner[rare], values[rare]
+    for d in range(1, dense):
+        same = v[d:] == v[:-d] if len(v) > d else np.zeros(0, bool)
+        if not same.any():
+            break
+        np.add.at(out, o[:-d][same] * m + o[d:][same], 1) if same.sum() * 8 < m * m else np.add(out, np.bincount(o[:-d][same] * m + o[d:][same], minlength=m * m), out=out)
+    out = out.reshape(m, m)
+    out += out.T
+    often = np.repeat(times > dense, times)
+    if often.any():
+        o = owner[often]
+        column = np.cumsum(np.concatenate(([0], values[often][1:] != values[often][:-1])))
+        for lo in range(0, int(column[-1]) + 1, width):
+            a, b = np.searchsorted(column, [lo, lo + width])
+            table = np.zeros((m, width), np.float32)
+            table[o[a:b], column[a:b] - lo] = 1
+            out += (table @ table.T).astype(np.int64)
+    return out
 
-    return run
+
+def _spanned(cids: list[bytes], comps: list[bytes], sets: list[np.ndarray], threshold: int) -> list[tuple[bytes, bytes]]:
+    """Of each set of linked classes that spans several components, an edge from its first class to one of each other component."""
+    sizes = np.array([len(s) for s in sets])
+    both = intersections(sets)
+    linked = 100 * both >= threshold * (sizes[:, None] + sizes[None, :] - both)
+    names = {c: k for k, c in enumerate(dict.fromkeys(comps))}
+    comp = np.array([names[c] for c in comps])
+    of = [np.flatnonzero(comp == k) for k in range(len(names))] if len(names) < len(cids) else [np.array([k]) for k in range(len(cids))]
+    seen = np.zeros(len(names), bool)
+    out = []
+    for k in range(len(names)):
+        if seen[k]:
+            continue
+        seen[k] = True
+        front = of[k]
+        while len(front):
+            near = np.unique(comp[linked[front].any(axis=0)])
+            near = near[~seen[near]]
+            seen[near] = True
+            out.extend((cids[of[k][0]], cids[of[x][0]]) for x in near.tolist())
+            front = np.concatenate([of[x] for x in near.tolist()]) if len(near) else near
+    return out
 
 
-def _confirm_batches(threshold: int):
-    """Rows sorted by (a, salt, side): the set of a (side 0), then those it is held against."""
+def _link_batches(threshold: int):
+    """Rows (key, cid, comp, members) sorted by key and cid to edges (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, mine = None, None
+        key, group = None, {}
+
+        def close() -> list[tuple[bytes, bytes]]:
+            return _spanned(list(group), [g[0] for g in group.values()], [g[1] for g in group.values()], threshold) if len(group) > 1 else []
+
+        def out(edges: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
         for batch in batches:
-            left, right = [], []
-            a, b, side = batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("side").to_pylist()
-            sets = batch.column("members")
-            for k in range(batch.num_rows):
-                values = np.frombuffer(sets[k].as_buffer(), np.uint64)
-                if side[k] == 0:
-                    held, mine = a[k], values.copy()
-                elif held == a[k]:
-                    small, large = (mine, values) if len(mine) < len(values) else (values, mine)
-                    if 100 * len(small) < threshold * len(large):
-                        continue
-                    at = np.searchsorted(large, small)
-                    both = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                    if 100 * both >= threshold * (len(small) + len(large) - both):
-                        left.append(a[k])
-                        right.append(b[k])
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
-
-    return run
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int, per_task: int = 512) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. A class with many partners is dealt over several groups."""
-    salted = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("n")), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / per_task)).alias("salt"))
-    mine = salted.select("a", "salt").distinct().join(sets, F.col("a") == F.col("cid")).select("a", "salt", F.lit(0).alias("side"), F.col("a").alias("b"), "members")
-    other = salted.join(sets, F.col("b") == F.col("cid")).select("a", "salt", F.lit(1).alias("side"), "b", "members")
-    dealt = mine.union(other).repartition("a", "salt").sortWithinPartitions("a", "salt", "side")
-    return settle(dealt.mapInArrow(_confirm_batches(threshold), "a binary, b binary"), "links")
-
-
-def _members(nodes: DataFrame) -> DataFrame:
-    """Rows of nodes with two classes at least, with the node's size."""
-    sizes = nodes.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-    return nodes.join(sizes, "node")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: int = 75, trees: int = 4, branch: int = 4, child_branch: int = 2, depth: int = 6, node_limit: int = 2048, hooks: int = 2) -> DataFrame:
+            edges = []
+            members = batch.column(3)
+            for k, (now, cid, comp) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
+                if now != key:
+                    edges += close()
+                    key, group = now, {}
+                if cid not in group:
+                    group[cid] = (comp, np.frombuffer(members[k].as_buffer(), np.uint64).copy())
+            yield out(edges)
+        yield out(close())
+
+    return released(run)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: int = 75, trees: int = 4, branch: int = 4, child_branch: int = 2, depth: int = 6, node_limit: int = 1024, node_shingles: int = 1 << 21) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row."""
-    texts = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    base = settle(texts.mapInArrow(_sketch_batches(size), "doc_id long, n_shingles long, cid binary, sketch binary"), "sketches")
-    classes = settle(base.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch")), "classes")
-
-    # Depth 1 of all trees.
-    nodes = settle(_members(classes.select("cid", "sketch").mapInArrow(_root_nodes(trees, branch), "node long, cid binary")), "nodes")
-    narrow = settle(classes.select("cid", "sketch").join(nodes.select("cid").distinct(), "cid", "left_semi"), "narrow")
-    least = threshold / 100 - 0.25
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        used = settle(pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct(), "used")
-        reps = settle(classes.join(small_or_shuffled(used), "cid", "left_semi").select(F.col("rep").alias("doc_id")), "reps")
-        ids = reps.where("doc_id is not null")
-        # a class that has no row with an id is found among the rows without one; sets beyond those in use do no harm
-        found = texts.where("doc_id is not null").join(small_or_shuffled(ids), "doc_id", "left_semi")
-        if not reps.where("doc_id is null").isEmpty():
-            found = found.union(texts.where("doc_id is null"))
-        return _confirmed(pairs, settle(found.select("text").mapInArrow(_set_batches(size), "cid binary, members binary"), "sets"), threshold)
-
-    pair_schema = "a binary, b binary, agree int"
-    label, stars = None, None
-    level = nodes
-
-    def marked(rows: DataFrame) -> DataFrame:
-        """rows (node, cid, size) of nodes that span several components, with comp and sketch."""
-        if label is not None:
-            rows = rows.join(small_or_shuffled(label.withColumnRenamed("id", "cid")), "cid", "left").select("node", "cid", "size", F.coalesce("component", "cid").alias("comp"))
-            apart = rows.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("node")
-            rows = rows.join(apart, "node", "left_semi")
-        else:
-            rows = rows.withColumn("comp", F.col("cid"))
-        return rows.join(narrow, "cid").select("node", "cid", "comp", "sketch", "size")
-
-    # A node of more than node_limit classes is dealt into blocks of about that size, so that no task holds it whole.
-    blocks = F.ceil(F.col("size") / node_limit)
-    mine = F.pmod(F.xxhash64("cid"), blocks)
-    both = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda y: F.least(mine, y) * blocks + F.greatest(mine, y))
-
-    def in_nodes(rows: DataFrame, nearest: int | None = None) -> DataFrame:
-        """Pairs of each node: in round ``nearest`` within blocks, which every round deals anew, else within all pairs of blocks."""
-        dealt = rows.withColumn("block", F.explode(both) if nearest is None else F.pmod(F.xxhash64("cid", F.lit(nearest)), blocks))
-        keyed = dealt.select(F.xxhash64("node", "block").alias("key"), "cid", "comp", "sketch")
-        return keyed.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(_pairs_in_nodes(least, nearest is not None), pair_schema)
-
-    def link_by(pairs: DataFrame) -> None:
-        """Confirms pairs and joins what they link."""
-        nonlocal label, stars
-        if pairs.isEmpty():
-            return
-        links = confirmed(pairs)
-        label = components(settle(links if stars is None else links.union(stars), "all_links"))
-        stars = label.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-
-    # Each class against the one that it is nearest to in its blocks, then again what is still apart.
-    for k in range(hooks):
-        best = in_nodes(marked(nodes), k).groupBy("a").agg(F.max(F.struct("agree", "b")).alias("best")).select(F.greatest("a", "best.b").alias("a"), F.least("a", "best.b").alias("b")).distinct()
-        link_by(settle(best, "nearest"))
-
-    # All pairs that are left, in nodes of bounded size; larger nodes branch again. A round without pairs says nothing of
-    # those in different blocks, so this is never left out.
-    found_pairs = None
+    roots = trees * branch
+    if roots > COORDINATES:
+        raise ValueError(f"trees * branch is {COORDINATES} at most")
+    need = int(np.ceil((threshold / 100 - 0.25) * COORDINATES))
+    texts = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
+    base = settle(texts.mapInArrow(_sketch_batches(size, roots), "doc_id long, th long, n_shingles long, cid binary, sketch binary, roots array<long>"), "sketches")
+    classes = settle(
+        base.where("cid is not null").groupBy("cid").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("low"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch"), F.min("roots").alias("roots")),
+        "classes",
+    )
+
+    # The root nodes that have several classes.
+    large = (F.col("size") > node_limit) | (F.col("weight") > node_shingles)
+    blocks = F.greatest(F.ceil(F.col("size") / node_limit), F.ceil(F.col("weight") / node_shingles))
+
+    def sized(rows: DataFrame) -> DataFrame:
+        """rows (node, cid, n, ...) of nodes with several classes, with the number of blocks if they are large, else 1."""
+        sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.sum("n").alias("weight")).where("size > 1")
+        return rows.join(sizes.select("node", F.when(large, blocks).otherwise(1).cast("long").alias("blocks")), "node")
+
+    nodes = settle(sized(classes.select(F.posexplode("roots").alias("j", "node"), "cid", "n")), "nodes")
+    is_small = F.when(F.col("blocks") == 1, F.expr("shiftleft(1L, j)")).otherwise(F.lit(0).cast("long"))
+    masks = nodes.groupBy("cid").agg(F.bit_or(is_small).alias("mask"))
+    narrow = settle(classes.select("cid", "sketch", "n").join(masks, "cid"), "narrow")
+    label: DataFrame | None = None
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        """rows (node, cid, ...) of nodes that span several components, with comp."""
+        if label is None:
+            return rows.withColumn("comp", F.col("cid"))
+        known = rows.join(small_or_shuffled(label.withColumnRenamed("id", "cid")), "cid", "left").withColumn("comp", F.coalesce("component", "cid")).drop("component")
+        apart = known.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("node")
+        return known.join(apart, "node", "left_semi")
+
+    def block_of(seed: int) -> Column:
+        return F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("cid", F.lit(seed)), F.col("blocks"))).otherwise(F.lit(0).cast("long"))
+
+    def compare(rows: DataFrame) -> None:
+        """Compares rows (key, j, cid, comp) of each key, and joins what is linked."""
+        nonlocal label
+        keyed = rows.join(narrow.select("cid", "mask", "sketch"), "cid").select("key", "j", "cid", "comp", "mask", "sketch")
+        found = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_active_batches(need, roots), "key long, cid binary, comp binary")
+        active = settle(found, "active")
+        reps = classes.select("cid", "rep.doc_id", "rep.th")
+        wanted = settle(active.join(reps, "cid").groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "cid", "comp")).alias("wanted")), "wanted")
+        entries = wanted.agg(F.sum(F.size("wanted")).alias("n")).first()["n"] or 0
+        if entries:
+            side = wanted.withColumnsRenamed({"doc_id": "_id", "th": "_th"})
+            side = F.broadcast(side) if 96 * entries <= BROADCAST_BYTES else side
+            with_sets = texts.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).select("text", "wanted").mapInArrow(_wanted_batches(size), "key long, cid binary, comp binary, members binary")
+            edges = settle(with_sets.repartition("key").sortWithinPartitions("key", "cid").mapInArrow(_link_batches(threshold), "a binary, b binary"), "links")
+            if not edges.isEmpty():
+                stars = label.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")) if label is not None else None
+                known = settle(edges.distinct() if stars is None else edges.distinct().union(stars), "all_links")
+                before, label = label, components(known)
+                drop(known, before)
+                label = settle(label, "label")
+            drop(edges)
+        drop(active, wanted)
+
+    # The first tree, then the others: small nodes whole, large ones within blocks.
+    for k, own in enumerate((F.col("j") < branch, F.col("j") >= branch)):
+        compare(labelled(nodes.where(own)).select(F.xxhash64("node", block_of(k)).alias("key"), "j", "cid", "comp"))
+
+    # Large nodes branch again while they hold several components.
+    level, levels = nodes.where("blocks > 1"), []
+    todo: DataFrame | None = None
     for d in range(depth):
+        rows = settle(labelled(level.select("node", "cid", "n", "blocks")), "level")
+        levels.append(rows)
+        if rows.isEmpty():
+            break
         final = d == depth - 1
-        rows = marked(level)
-        pairs = in_nodes(rows if final else rows.where(F.col("size") <= node_limit)).select("a", "b")
-        found_pairs = pairs if found_pairs is None else found_pairs.union(pairs)
-        large = rows.where(F.col("size") > node_limit)
-        if final or large.isEmpty():
+        ready = rows.where("blocks = 1").withColumn("key", F.xxhash64("node", F.lit(0).cast("long")))
+        if final:
+            mine = block_of(2)
+            pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda y: F.least(mine, y) * F.col("blocks") + F.greatest(mine, y)))
+            ready = rows.withColumn("pair", pair).withColumn("key", F.xxhash64("node", "pair"))
+        ready = ready.select("key", F.lit(-1).alias("j"), "cid", "comp")
+        todo = ready if todo is None else todo.union(ready)
+        if final:
             break
-        level = settle(_members(large.select("node", "cid", "sketch").mapInArrow(_child_nodes(child_branch), "node long, cid binary")).select("node", "cid", "size"), "children")
-    link_by(settle(found_pairs.distinct(), "pairs"))
+        grown = rows.where("blocks > 1").select("node", "cid", "n").join(narrow.select("cid", "sketch"), "cid").select("node", "cid", "n", "sketch")
+        level = settle(sized(grown.mapInArrow(_child_batches(child_branch, roots), "node long, cid binary, n long")), "children")
+        levels.append(level)
+    if todo is not None:
+        compare(todo)
+    drop(nodes, narrow, *levels)
+
     if label is None:
         label = classes.limit(0).select(F.col("cid").alias("id"), F.col("cid").alias("component"))
-
-    linked = label.withColumnRenamed("id", "cid").join(classes.select("cid", "rep"), "cid")
-    lowest = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
-    whole = classes.select("cid", "rep").join(linked.join(lowest, "component").select("cid", "component_id"), "cid", "left").select("cid", F.coalesce("component_id", "rep").alias("component_id"))
+    linked = label.withColumnRenamed("id", "cid").join(classes.select("cid", "low"), "cid")
+    lowest = linked.groupBy("component").agg(F.min("low").alias("component_id"))
+    whole = classes.select("cid", "low").join(linked.join(lowest, "component").select("cid", "component_id"), "cid", "left").select("cid", F.coalesce("component_id", "low").alias("component_id"))
     out = base.select("doc_id", "n_shingles", "cid").join(whole, "cid", "left")
     component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))

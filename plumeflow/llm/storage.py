@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows, of a few dozen bytes, up to which a side of a join is broadcast; a larger side is shuffled.
-BROADCAST_ROWS = 400_000
+#: Bytes up to which a side of a join is broadcast; a larger side is shuffled.
+BROADCAST_BYTES = 16 << 20
+_settled: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (as in tests), one in the working session's warehouse."""
+    """The folder in spark.checkpoint.dir; only where that is unset and all is on one machine (as in tests), one in the session's warehouse."""
     conf = spark.sparkContext.getConf()
     root = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
 
@@ -24,12 +29,34 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Writes df in the shared folder and reads it again: lineage ends there, and any executor may go."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _settled[out] = path
+    return out
 
 
-def small_or_shuffled(side: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """side, marked for broadcast if it holds at most ``limit`` rows. It should be a settled table: it is counted here."""
-    return F.broadcast(side) if side.limit(limit + 1).count() <= limit else side
+def drop(*tables: DataFrame | None) -> None:
+    """Deletes the files of settled tables that nothing will read any more; other tables are left alone."""
+    for table in tables:
+        path = _settled.pop(table, None) if table is not None else None
+        if path:
+            at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def broadcast_rows(df: DataFrame, limit: int = BROADCAST_BYTES) -> int:
+    """Rows of df that fit in ``limit`` bytes of a hashed relation: 48 a row, 8 a number, 32 any other column."""
+    return limit // (48 + sum(8 if isinstance(f.dataType, (T.NumericType, T.BooleanType)) else 32 for f in df.schema.fields))
+
+
+def is_small(side: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """True if a settled table of short columns may be broadcast. It is counted here, no further than the limit."""
+    rows = broadcast_rows(side, limit)
+    return side.limit(rows + 1).count() <= rows
+
+
+def small_or_shuffled(side: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """side, marked for broadcast if it takes at most ``limit`` bytes."""
+    return F.broadcast(side) if is_small(side, limit) else side
 
 
 def bounded_batches(df: DataFrame, size: int = 4 << 20) -> DataFrame:

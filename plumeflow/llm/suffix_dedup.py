@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import BROADCAST_ROWS, bounded_batches, settle
+from .storage import bounded_batches, is_small, settle
 from .suffix_sort import suffix_array
 from .textkit import RangeHash, as_bytes, chunks, mix
 
@@ -275,7 +275,7 @@ def _kept_batches(length: int):
 def _texts_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """texts that have a row in wanted (doc_id, th), with its columns. Few ids pick the texts before they are shuffled."""
     ids = settle(wanted.select("doc_id").distinct(), "ids")
-    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if is_small(ids):
         texts = texts.join(F.broadcast(ids), texts.doc_id.eqNullSafe(ids.doc_id), "left_semi")
     return texts.join(wanted.hint("shuffle_hash"), texts.doc_id.eqNullSafe(wanted.doc_id) & (texts.th == wanted.th)).drop(wanted.doc_id).drop(wanted.th)
 
@@ -317,7 +317,7 @@ def removal_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gone = settle(repeated_starts(texts, length, **more), "gone")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     ids = settle(gone.select("doc_id").distinct(), "ids")
-    if ids.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+    if not is_small(ids):
         joined = texts.join(gone.withColumnsRenamed({"doc_id": "_id", "th": "_th"}).hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
         return joined.select("doc_id", "text", "spans").mapInArrow(_kept_batches(length), schema)
     side = F.broadcast(ids.select(F.col("doc_id").alias("_id")))

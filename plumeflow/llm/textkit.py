@@ -7,7 +7,9 @@ stay small and bounded by the longest single text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -174,3 +176,24 @@ def code_points(data: np.ndarray) -> np.ndarray:
 
 def batch_of(schema_names: list[str], columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=schema_names)
+
+
+def fixed_width(column: pa.Array, width: int) -> np.ndarray:
+    """(rows, width) bytes of a binary column of values of one length, without nulls."""
+    column = column.cast(pa.binary(width))
+    return np.frombuffer(column.buffers()[1], np.uint8, len(column) * width, column.offset * width).reshape(-1, width)
+
+
+def released(run):
+    """A function over Arrow batches that gives its worker's freed memory back to the system when a task ends: workers stay, and would keep the most that they ever used."""
+
+    @wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return wrapped

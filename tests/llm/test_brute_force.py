@@ -104,6 +104,15 @@ def family(seed, n, words, change):
     return out
 
 
+def test_intersections():
+    rng = np.random.default_rng(3)
+    for m, top in ((2, 9), (40, 60), (70, 3000)):
+        sets = [np.unique(rng.integers(0, top, rng.integers(1, 80))).astype(np.uint64) for _ in range(m)]
+        for dense in (2, 8, 32):
+            got = near_dups.intersections(sets, dense, 16)
+            assert all(got[i, k] == len(np.intersect1d(sets[i], sets[k])) for i in range(m) for k in range(m) if i != k)
+
+
 @pytest.mark.parametrize("more", [{}, {"node_limit": 4, "depth": 3}])
 def test_near_duplicates_of_a_family(spark, more):
     texts = family(1, 40, 120, 5) + family(2, 20, 60, 3) + ["a passage that many share " * 3 + f"{i} " * 30 for i in range(20)]
@@ -116,12 +125,12 @@ def test_near_duplicates_of_a_family(spark, more):
         assert got == want
 
 
-@pytest.mark.parametrize("hooks", [0, 1, 2])
-def test_a_tight_family_over_several_blocks(spark, hooks):
+@pytest.mark.parametrize("more", [{}, {"depth": 1}, {"node_shingles": 20_000}])
+def test_a_tight_family_over_several_blocks(spark, more):
     rng = random.Random(11)
     base = [f"w{rng.randint(0, 10**6)}" for _ in range(4000)]
     rows = [(i, " ".join([*base[: 100 * i], f"v{i}", *base[100 * i + 1 :]])) for i in range(30)]
-    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), node_limit=16, hooks=hooks).collect()}
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), node_limit=16, **more).collect()}
     assert got == near_brute(rows)
 
 
