@@ -13,7 +13,8 @@ Nodes of one class end.  A node is small with at most ``node_limit`` classes
 and ``node_shingles`` shingles in all, and small nodes are compared
 exhaustively.  Large nodes are first compared within blocks of that size, and
 branch again where they still hold several components, each class following
-``child_branch`` tokens, up to ``depth`` levels. What is large even then is
+``child_branch`` tokens, up to ``depth`` levels; of a class with many large roots, the first
+``large_roots`` do. What is large even then is
 compared by pairs of blocks, so that no class is left out.
 
 Comparing a node takes two steps, and what either makes is linear in the
@@ -26,8 +27,8 @@ the others, so that what it joins needs no further comparison.
 
 Recall.  A pair at similarity 0.75 misses all roots with probability
 0.25 ** 16 = 2e-10 at the defaults. Where all its nodes are large, it goes on in
-each of them with probability 0.89 over any number of levels, and misses all with
-2e-8. Its sketches agree in less than half of 64 tokens with probability 2e-6.
+each of eight with probability 0.89 over any number of levels, and misses all with
+2e-4. Its sketches agree in less than half of 64 tokens with probability 2e-6.
 Links are exact: no pair is linked without its full sets.
 
 Nothing but counts comes to the driver; all tables between steps lie in the
@@ -50,9 +51,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .graph import components
-from .storage import BROADCAST_BYTES, bounded_batches, drop, settle, small_or_shuffled
+from .storage import BROADCAST_BYTES, bounded_batches, drop, settle, small_or_shuffled, unused
 from .textkit import LOWER, PLAIN_WORD, RangeHash, as_bytes, chunks, fixed_width, mix, randoms, released, windows, words
 
 COORDINATES = 64
@@ -235,7 +237,7 @@ def _wanted_batches(size: int):
 def intersections(sets: list[np.ndarray], dense: int = 32, width: int = 1024) -> np.ndarray:
     """(sets, sets) sizes of all intersections, from the shingles that occur twice: rare ones by their pairs, frequent ones by products of 0/1 columns."""
     m = len(sets)
-    out = np.zeros(m * m, np.int64)
+    out = np.zeros(m * m, np.int32)
     values = np.concatenate(sets)
     owner = np.repeat(np.arange(m), [len(s) for s in sets])
     order = np.argsort(values, kind="stable")
@@ -248,9 +250,9 @@ def intersections(sets: list[np.ndarray], dense: int = 32, width: int = 1024) ->
         same = v[d:] == v[:-d] if len(v) > d else np.zeros(0, bool)
         if not same.any():
             break
-        np.add.at(out, o[:-d][same] * m + o[d:][same], 1) if same.sum() * 8 < m * m else np.add(out, np.bincount(o[:-d][same] * m + o[d:][same], minlength=m * m), out=out)
+        np.add.at(out, o[:-d][same] * m + o[d:][same], 1)
     out = out.reshape(m, m)
-    out += out.T
+    out = out + out.T
     often = np.repeat(times > dense, times)
     if often.any():
         o = owner[often]
@@ -259,15 +261,14 @@ def intersections(sets: list[np.ndarray], dense: int = 32, width: int = 1024) ->
             a, b = np.searchsorted(column, [lo, lo + width])
             table = np.zeros((m, width), np.float32)
             table[o[a:b], column[a:b] - lo] = 1
-            out += (table @ table.T).astype(np.int64)
+            out += (table @ table.T).astype(np.int32)
     return out
 
 
 def _spanned(cids: list[bytes], comps: list[bytes], sets: list[np.ndarray], threshold: int) -> list[tuple[bytes, bytes]]:
     """Of each set of linked classes that spans several components, an edge from its first class to one of each other component."""
-    sizes = np.array([len(s) for s in sets])
-    both = intersections(sets)
-    linked = 100 * both >= threshold * (sizes[:, None] + sizes[None, :] - both)
+    sizes = np.array([threshold * len(s) for s in sets], np.int32)
+    linked = (100 + threshold) * intersections(sets) >= sizes[:, None] + sizes[None, :]
     names = {c: k for k, c in enumerate(dict.fromkeys(comps))}
     comp = np.array([names[c] for c in comps])
     of = [np.flatnonzero(comp == k) for k in range(len(names))] if len(names) < len(cids) else [np.array([k]) for k in range(len(cids))]
@@ -314,16 +315,20 @@ def _link_batches(threshold: int):
     return released(run)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: int = 75, trees: int = 4, branch: int = 4, child_branch: int = 2, depth: int = 6, node_limit: int = 1024, node_shingles: int = 1 << 21) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row."""
+def _text_hash(text_col: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _resolved(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: int = 75, trees: int = 4, branch: int = 4, child_branch: int = 2, depth: int = 6, large_roots: int = 8, node_limit: int = 2048, node_shingles: int = 1 << 21) -> DataFrame:
+    """(doc_id, th, n_shingles, component_id, cid, stays) of every row; stays marks rows that are, or equal, the one row of their component to stay."""
     roots = trees * branch
     if roots > COORDINATES:
         raise ValueError(f"trees * branch is {COORDINATES} at most")
     need = int(np.ceil((threshold / 100 - 0.25) * COORDINATES))
-    texts = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
+    texts = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), _text_hash(text_col).alias("th"), F.col(text_col).alias("text"))
     base = settle(texts.mapInArrow(_sketch_batches(size, roots), "doc_id long, th long, n_shingles long, cid binary, sketch binary, roots array<long>"), "sketches")
     classes = settle(
-        base.where("cid is not null").groupBy("cid").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("low"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch"), F.min("roots").alias("roots")),
+        base.where("cid is not null").groupBy("cid").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")).alias("stay"), F.min("n_shingles").alias("n"), F.min("sketch").alias("sketch"), F.min("roots").alias("roots")),
         "classes",
     )
 
@@ -381,7 +386,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         compare(labelled(nodes.where(own)).select(F.xxhash64("node", block_of(k)).alias("key"), "j", "cid", "comp"))
 
     # Large nodes branch again while they hold several components.
-    level, levels = nodes.where("blocks > 1"), []
+    nth = F.row_number().over(Window.partitionBy("cid").orderBy("j"))  # a class has ``roots`` rows at most
+    level, levels = nodes.where("blocks > 1").withColumn("nth", nth).where(F.col("nth") <= large_roots), []
     todo: DataFrame | None = None
     for d in range(depth):
         rows = settle(labelled(level.select("node", "cid", "n", "blocks")), "level")
@@ -407,9 +413,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     if label is None:
         label = classes.limit(0).select(F.col("cid").alias("id"), F.col("cid").alias("component"))
-    linked = label.withColumnRenamed("id", "cid").join(classes.select("cid", "low"), "cid")
-    lowest = linked.groupBy("component").agg(F.min("low").alias("component_id"))
-    whole = classes.select("cid", "low").join(linked.join(lowest, "component").select("cid", "component_id"), "cid", "left").select("cid", F.coalesce("component_id", "low").alias("component_id"))
-    out = base.select("doc_id", "n_shingles", "cid").join(whole, "cid", "left")
+    own = classes.select("cid", "low", "stay")
+    linked = label.withColumnRenamed("id", "cid").join(own, "cid")
+    lowest = linked.groupBy("component").agg(F.min("low").alias("_low"), F.min("stay").alias("_stay"))
+    joined = own.join(linked.join(lowest, "component").select("cid", "_low", "_stay"), "cid", "left")
+    whole = joined.select("cid", F.coalesce("_low", "low").alias("component_id"), F.coalesce("_stay", "stay").alias("stay"))
+    out = base.select("doc_id", "th", "n_shingles", "cid").join(whole, "cid", "left")
     component = F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
+    stays = F.col("cid").isNull() | (F.col("stay.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("stay.th") == F.col("th")))
+    return out.select("doc_id", "th", "n_shingles", component.alias("component_id"), "cid", stays.alias("stays"))
+
+
+def near_duplicates(docs: DataFrame, **more) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every row."""
+    return _resolved(docs, **more).select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """docs with one row of each component, the one of least (doc_id, text hash), rows without an id coming last.
+
+    Rows are told apart by id and text, not by id alone; of rows that agree in both one stays. Rows without shingles all stay.
+    """
+    rows = settle(_resolved(docs, id_col, text_col, **more).select("doc_id", "th", "stays", F.col("cid").isNotNull().alias("has")), "rows")
+    i, t = unused(docs, "_n_id"), unused(docs, "_n_th")
+    key, th = F.col(id_col).cast("long"), _text_hash(text_col)
+    gone = settle(rows.where("not stays").select(F.col("doc_id").alias(i), F.col("th").alias(t)).distinct(), "gone")
+    twice = settle(rows.where("stays and has").groupBy(F.col("doc_id").alias(i), F.col("th").alias(t)).agg(F.count("*").alias("k")).where("k > 1").select(i, t), "twice")
+    same = key.eqNullSafe(F.col(i)) & (th == F.col(t))
+    kept = docs.join(small_or_shuffled(gone), same, "left_anti")
+    if twice.isEmpty():
+        return kept
+    side = small_or_shuffled(twice)
+    one = kept.join(side, same, "left_semi").withColumns({i: key, t: th}).dropDuplicates([i, t]).drop(i, t)
+    return kept.join(side, same, "left_anti").union(one)
