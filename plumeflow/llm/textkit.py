@@ -38,7 +38,7 @@ def randoms(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(base))
 
 
-BYTE_VALUE = randoms(256, 11)
+BYTE_VALUE, OTHER_VALUE = randoms(256, 11), randoms(256, 14)
 _P = int(randoms(1, 12)[0]) | 1
 _PINV = pow(_P, -1, 1 << 64)
 _powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
@@ -62,12 +62,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class RangeHash:
     """64-bit hash of any byte range of one buffer, by prefix sums."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, values: np.ndarray | None = None):
         n = len(data)
         up, self.down = powers(n + 1)
         self.sums = np.empty(n + 1, np.uint64)
         self.sums[0] = 0
-        np.cumsum(BYTE_VALUE[data] * up[:n], out=self.sums[1:])
+        np.cumsum((BYTE_VALUE if values is None else values)[data] * up[:n], out=self.sums[1:])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64))
