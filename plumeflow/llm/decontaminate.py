@@ -11,9 +11,11 @@ Words that no item has reset the automaton to its root, so only runs of known
 words are walked; this changes no result.
 
 The items are counted first: up to ``max_words`` words make one automaton,
-which goes to the executors as a broadcast of that bounded size; more items
-are dealt into blocks of about that size, and the documents stream through one
-block after the other.  Nothing is shuffled.
+which goes to the executors as a broadcast of that bounded size, and is built
+once in each Python worker; nothing is shuffled then.  More items are dealt into
+blocks of about that size. The documents stream through each block by itself, so that a
+worker holds one automaton at a time however many items there are; what a block finds, a row
+for each document that it hits, is merged by text and joined back.
 
 Defined results.  A null text, of a document or an item, has no words and
 meets nothing.  Items with equal texts are all reported.  Items without an id
@@ -25,6 +27,7 @@ through.  No items: no hits.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .storage import bounded_batches, unused
-from .textkit import ALNUM_WORD, LOWER, RangeHash, as_bytes, chunks, words
+from .storage import BROADCAST_BYTES, bounded_batches, settle, unused
+from .textkit import ALNUM_WORD, LOWER, RangeHash, as_bytes, chunks, released, words
 
 
 class Automaton:
@@ -162,13 +165,23 @@ def item_words(column) -> tuple[np.ndarray, np.ndarray]:
     return RangeHash(data)(start, end), rows
 
 
+_built: dict[str, tuple] = {}
+
+
 class Block:
     """A bounded set of items, as executors get it; the automaton is built once in each Python worker."""
 
     def __init__(self, names: list[str], hashes: np.ndarray, rows: np.ndarray, window: int):
         self.names, self.hashes, self.rows, self.window = names, hashes, rows, window
+        self.key = uuid.uuid4().hex
 
     def built(self):
+        if self.key not in _built:  # one is kept
+            _built.clear()
+            _built[self.key] = self._build()
+        return _built[self.key]
+
+    def _build(self):
         vocabulary, ids = np.unique(self.hashes, return_inverse=True)
         ids = ids.tolist()
         counts = np.diff(self.rows)
@@ -192,8 +205,8 @@ def _ordered(names) -> list[str | None]:
     return sorted(names, key=lambda x: (x is None, x or ""))
 
 
-def _scan(where: int, block, added: list[str], carried: bool):
-    """Appends _n_words, _runs (flat word indices) and _items to each row, or adds to those that an earlier block left."""
+def _scan(where: int, block, added: list[str], only_hits: bool):
+    """Appends _n_words, _runs (flat word indices) and _items to each row; with ``only_hits``, rows without a hit go, and the text as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, automaton, least = block.value.built()
@@ -224,17 +237,31 @@ def _scan(where: int, block, added: list[str], carried: bool):
                 counts.extend(np.diff(rows).tolist())
                 all_runs.extend(runs_of.get(i, []) for i in range(hi - lo))
                 all_items.extend(_ordered(items_of.get(i, ())) for i in range(hi - lo))
+            flat = [[x for p in r for x in p] for r in all_runs]
             columns, names = list(batch.columns), list(batch.schema.names)
-            if carried:
-                *columns, _, runs, items = columns
-                *names, _, _, _ = names
-                all_runs = [_merge([*map(list, zip(r[::2], r[1::2], strict=True)), *n]) if n else [*zip(r[::2], r[1::2], strict=True)] for r, n in zip(runs.to_pylist(), all_runs, strict=True)]
-                all_items = [_ordered({*o, *n}) for o, n in zip(items.to_pylist(), all_items, strict=True)]
-                all_runs = [[list(p) for p in r] for r in all_runs]
-            flat = pa.array([[x for p in r for x in p] for r in all_runs], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), flat, pa.array(all_items, pa.list_(pa.string()))], names=[*names, *added])
+            if only_hits:
+                at = [i for i, r in enumerate(flat) if r]
+                columns = [c.take(pa.array(at, pa.int64())) for i, c in enumerate(columns) if i != where]
+                names = [n for i, n in enumerate(names) if i != where]
+                counts, flat, all_items = ([x[i] for i in at] for x in (counts, flat, all_items))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(flat, pa.list_(pa.int32())), pa.array(all_items, pa.list_(pa.string()))], names=[*names, *added])
+
+    return released(run)
+
 
-    return run
+def _count_and_merge(where: int, added: list[str]):
+    """Rows with the lists of all blocks' runs and items appended to _n_words, _runs and _items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = as_bytes(batch.column(where))
+            counts = [n for lo, hi in chunks(offsets) for n in np.diff(words(LOWER[data[offsets[lo] : offsets[hi]]], offsets[lo : hi + 1] - offsets[lo], ALNUM_WORD)[2]).tolist()]
+            *columns, runs, items = batch.columns
+            merged = [_merge([list(p) for r in rs for p in zip(r[::2], r[1::2], strict=True)]) if rs else [] for rs in runs.to_pylist()]
+            names = [_ordered({x for r in rs for x in r}) if rs else [] for rs in items.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array([[x for p in r for x in p] for r in merged], pa.list_(pa.int32())), pa.array(names, pa.list_(pa.string()))], names=[*batch.schema.names[:-2], *added])
+
+    return released(run)
 
 
 def with_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, max_words: int = 200_000) -> DataFrame:
@@ -245,17 +272,31 @@ def with_hits(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id
     bound = narrow.agg(F.sum(F.floor((F.octet_length("text") + 1) / 2))).first()[0] or 0
     blocks = max(1, -(-int(bound) // max_words))
     narrow = narrow.withColumn("_block", F.pmod(F.xxhash64("name", "text"), F.lit(blocks)))
-    where = docs.columns.index(text_col)
     names = [unused(docs, n) for n in ("_n_words", "_runs", "_items")]
     more = T.StructType().add(names[0], T.LongType()).add(names[1], T.ArrayType(T.IntegerType())).add(names[2], T.ArrayType(T.StringType()))
     schema = T.StructType([*docs.schema.fields, *more.fields])
-    out = bounded_batches(docs)
-    for k in range(blocks):
+
+    def block(k: int):
         table = narrow.where(F.col("_block") == k).select("name", "text").orderBy("name", "text").toArrow()
         hashes, rows = item_words(table.column("text"))
-        block = spark.sparkContext.broadcast(Block(table.column("name").to_pylist(), hashes, rows, window))
-        out = out.mapInArrow(_scan(where, block, names, carried=k > 0), schema)
-    return out
+        return spark.sparkContext.broadcast(Block(table.column("name").to_pylist(), hashes, rows, window))
+
+    docs = bounded_batches(docs)
+    where = docs.columns.index(text_col)
+    if blocks == 1:
+        return docs.mapInArrow(_scan(where, block(0), names, only_hits=False), schema)
+    ids = [F.xxhash64(text_col), F.xxhash64(text_col, F.lit(1))]  # what a text meets depends on the text alone
+    texts = docs.select(ids[0].alias("h"), ids[1].alias("i"), F.col(text_col).alias("text"))
+    found = None
+    for k in range(blocks):
+        own = settle(texts.mapInArrow(_scan(2, block(k), ["n", "runs", "items"], only_hits=True), "h long, i long, n long, runs array<int>, items array<string>"), "hits")
+        found = own if found is None else found.union(own)
+    h, i, runs, met = (unused(docs, x) for x in ("_h", "_i", "_found", "_met"))
+    merged = settle(found.groupBy(F.col("h").alias(h), F.col("i").alias(i)).agg(F.collect_set("runs").alias(runs), F.collect_set("items").alias(met)), "merged")
+    rows = merged.agg(F.sum(F.size(runs))).first()[0] or 0
+    side = F.broadcast(merged) if rows * 512 <= BROADCAST_BYTES else merged
+    joined = docs.join(side, (ids[0] == F.col(h)) & (ids[1] == F.col(i)), "left").select(*docs.columns, runs, met)
+    return joined.mapInArrow(_count_and_merge(where, names), schema)
 
 
 def _hit(runs: list[int]) -> int:
@@ -300,7 +341,7 @@ def _cut(where: int, per_hit: int):
                 columns[where] = pa.array([new.get(i, texts[i].as_py()) for i in keep], columns[where].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-3])
 
-    return run
+    return released(run)
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", per_hit: int = 20, **more) -> DataFrame:
