@@ -2,20 +2,24 @@
 
 A batch is a table of events: inserts (+1 document, +tokens), deletes (-1,
 -tokens) and revisions of a count (0, new - old).  ``commit`` sums a batch by
-key and puts the sums under the batch's id: they are written beside the ledger
-first and moved into place in one step, so a batch is there whole or not at
-all, and a batch that is there is not applied again, whoever retries it.
-Totals are the sums over all batches, which hold a row per key each.
+key, adds the sums to the totals of the last version and writes the new totals, a row
+for each key.  A version exists once its manifest does: a file that names the totals and
+the batches in them, and that only one writer can create. Who comes second adds the same
+sums to the newer totals; a batch that a manifest names is not applied again, whoever retries it.
+So totals are kept, not summed anew from all history, and a reader sees whole batches.
+Totals before the last but one are deleted.
 
 Defined results.  Null keys are keys of their own; null counts are 0.  Events
-that repeat within a batch count as often as they occur: a batch, not an event,
+that repeat within a batch count as often as they occur (or as ``times`` says): a batch, not an event,
 is applied once.  An empty batch commits and changes nothing.  Keys whose
-documents and tokens are all gone are left out of the totals.
+documents and tokens are all gone are left out of the totals. Columns of events beyond
+those named are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -23,9 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .storage import bounded_batches
-from .textkit import PLAIN_WORD, as_bytes, chunks, words
+from .storage import bounded_batches, drop, settle
+from .textkit import PLAIN_WORD, as_bytes, chunks, released, words
 
 KEYS = ["source", "lang", "tokenizer"]
 SUMS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -39,36 +44,78 @@ def signed(op: Column, tokens: Column, old: Column) -> tuple[Column, Column]:
 
 
 class Ledger:
-    """Committed batches under one folder of the shared store."""
+    """Totals and their versions under one folder of the shared store."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark._jvm
-        self._at = jvm.org.apache.hadoop.fs.Path
+        self._at = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _latest(self) -> dict:
+        """The last manifest; before the first, version 0 without totals."""
+        folder = self._at(f"{self.path}/manifest")
+        if not self._fs.exists(folder):
+            return {"version": 0, "totals": None, "batches": []}
+        last = max((s.getPath().getName() for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json")), default=None)
+        if last is None:
+            return {"version": 0, "totals": None, "batches": []}
+        stream = self._fs.open(self._at(f"{self.path}/manifest/{last}"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _publish(self, manifest: dict) -> bool:
+        """Creates the manifest of a version; False if another writer has. It is created and written in one go, and no larger than a block."""
+        path = self._at(f"{self.path}/manifest/{manifest['version']:012d}.json")
+        try:
+            stream = self._fs.create(path, False)
+        except Exception:
+            if self._fs.exists(path):
+                return False
+            raise
+        stream.write(bytearray(json.dumps(manifest).encode()))
+        stream.close()
+        return True
+
     def committed(self, batch_id: str) -> bool:
-        return self._fs.exists(self._at(f"{self.path}/batch={batch_id}/_SUCCESS"))
+        return batch_id in self._latest()["batches"]
+
+    def commit(self, batch_id: str, events: DataFrame, seen: dict | None = None) -> bool:
+        """events: source, lang, tokenizer, op, n_tokens, old_tokens, and times (1) if they stand for several. False if the batch was there already.
 
-    def commit(self, batch_id: str, events: DataFrame) -> bool:
-        """events: source, lang, tokenizer, op, n_tokens, old_tokens. False if the batch was there already."""
-        if self.committed(batch_id):
+        ``seen`` is the manifest that the writer starts from, the last one by default.
+        """
+        last = seen or self._latest()
+        if batch_id in last["batches"]:
             return False
         docs, tokens = signed(F.col("op"), F.col("n_tokens"), F.col("old_tokens"))
-        sums = events.groupBy(*KEYS).agg(F.sum(docs).cast("long").alias("n_docs"), F.sum(tokens).cast("long").alias("n_tokens"))
-        beside = f"{self.path}/_writing/{uuid.uuid4().hex}"
-        sums.write.parquet(beside)
-        self._fs.mkdirs(self._at(self.path))
-        moved = not self._fs.exists(self._at(f"{self.path}/batch={batch_id}")) and self._fs.rename(self._at(beside), self._at(f"{self.path}/batch={batch_id}"))
-        if not moved:  # another writer was first
-            self._fs.delete(self._at(beside), True)
-        return bool(moved)
+        times = F.coalesce(F.col("times"), F.lit(1)) if "times" in events.columns else F.lit(1)
+        sums = settle(events.groupBy(*KEYS).agg(F.sum(docs * times).cast("long").alias("n_docs"), F.sum(tokens * times).cast("long").alias("n_tokens")), "sums")
+        while True:
+            path = f"{self.path}/totals/{uuid.uuid4().hex}"
+            self._merged(last, sums).write.parquet(path)
+            if self._publish({"version": last["version"] + 1, "totals": path, "before": last["totals"], "batches": [*last["batches"], batch_id]}):
+                break
+            self._fs.delete(self._at(path), True)  # another writer was first
+            last = self._latest()
+            if batch_id in last["batches"]:
+                drop(sums)
+                return False
+        drop(sums)
+        if last.get("before"):
+            self._fs.delete(self._at(last["before"]), True)
+        return True
+
+    def _merged(self, manifest: dict, sums: DataFrame | None = None) -> DataFrame:
+        rows = self.spark.read.schema(SUMS).parquet(manifest["totals"]) if manifest["totals"] else self.spark.createDataFrame([], SUMS)
+        if sums is None:
+            return rows
+        both = rows.unionByName(sums).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        return both.where("n_docs != 0 or n_tokens != 0")
 
     def totals(self) -> DataFrame:
-        if not self._fs.exists(self._at(self.path)) or not self._fs.globStatus(self._at(f"{self.path}/batch=*")):
-            return self.spark.createDataFrame([], SUMS)
-        rows = self.spark.read.schema(SUMS).parquet(f"{self.path}/batch=*")
-        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).where("n_docs != 0 or n_tokens != 0")
+        return self._merged(self._latest())
 
 
 _encoders: dict[str, object] = {}
@@ -86,19 +133,30 @@ def _encoder(path: str):
     return _encoders[path]
 
 
-def with_counts(docs: DataFrame, ranks_path: str, text_col: str = "text") -> DataFrame:
-    """docs without its text, with n_bpe and n_plain (runs of non-blank bytes)."""
-    where = docs.columns.index(text_col)
-    rest = [i for i in range(len(docs.columns)) if i != where]
+def with_counts(docs: DataFrame, ranks_path: str, text_col: str = "text", revised_col: str | None = None) -> DataFrame:
+    """docs without its texts, with n_bpe and n_plain (runs of non-blank bytes); with ``revised_col`` also m_bpe and m_plain of that text, and revised: whether it differs."""
+    taken = [docs.columns.index(c) for c in (text_col, revised_col) if c is not None]
+    rest = [i for i in range(len(docs.columns)) if i not in taken]
+    names = ["n_bpe", "n_plain"] + (["m_bpe", "m_plain", "revised"] if revised_col else [])
+
+    def plain(column) -> list[int]:
+        data, offsets = as_bytes(column)
+        return [n for lo, hi in chunks(offsets) for n in np.diff(words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], PLAIN_WORD)[2]).tolist()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(ranks_path)
         for batch in batches:
-            column = batch.column(where)
-            data, offsets = as_bytes(column)
-            plain = [n for lo, hi in chunks(offsets) for n in np.diff(words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], PLAIN_WORD)[2]).tolist()]
-            bpe = [len(encoder.encode_ordinary(t)) if t else 0 for t in column.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), pa.array(bpe, pa.int64()), pa.array(plain, pa.int64())], names=[*(batch.schema.names[i] for i in rest), "n_bpe", "n_plain"])
-
-    schema = docs.drop(text_col).schema.simpleString()[len("struct<") : -1]
-    return bounded_batches(docs).mapInArrow(run, f"{schema}, n_bpe bigint, n_plain bigint")
+            column = batch.column(taken[0])
+            texts = column.to_pylist()
+            bpe, of = [len(encoder.encode_ordinary(t)) if t else 0 for t in texts], plain(column)
+            out = [pa.array(bpe, pa.int64()), pa.array(of, pa.int64())]
+            if revised_col:
+                other = batch.column(taken[1])
+                new = other.to_pylist()
+                differs = [a != b for a, b in zip(texts, new, strict=True)]
+                out.append(pa.array([(len(encoder.encode_ordinary(t)) if t else 0) if d else n for t, d, n in zip(new, differs, bpe, strict=True)], pa.int64()))
+                out += [pa.array(plain(other), pa.int64()), pa.array(differs, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in rest), *out], names=[*(batch.schema.names[i] for i in rest), *names])
+
+    schema = T.StructType([*(docs.schema.fields[i] for i in rest), *(T.StructField(n, T.BooleanType() if n == "revised" else T.LongType()) for n in names)])
+    return bounded_batches(docs).mapInArrow(released(run), schema)
