@@ -2,7 +2,7 @@
 
 Texts become pieces of at most ``max_tokens`` tokens.  The histogram of all
 piece lengths, which has at most ``max_tokens`` + 1 rows, comes to the driver;
-dynamic programming over it chooses the ``buckets`` upper lengths (multiples of
+dynamic programming over it chooses the ``buckets`` upper lengths (any, or multiples of
 ``step``) with the least padding in total.  Each bucket's pieces are dealt into
 slices by a hash, about ``slice_rows`` each, and in a slice consecutive pieces
 form batches of ``budget`` tokens with padding, so that no bucket is sorted in
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .storage import bounded_batches, settle
-from .textkit import PLAIN_WORD, as_bytes, chunks, words
+from .textkit import PLAIN_WORD, as_bytes, chunks, released, words
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,13 +71,14 @@ def best_bounds(histogram: dict[int, int], buckets: int, step: int, most: int) -
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens_col: str | None = None, max_tokens: int = 2048, buckets: int = 8, step: int = 1, budget: int = 32_768, slice_rows: int = 8192) -> DataFrame:
     """(doc_id, piece, n_tokens, bucket_len, slice, batch, place) of every piece."""
     if tokens_col is None:
-        counted = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_count_batches, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long")
+        counted = bounded_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(released(_count_batches), f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long")
     else:
         counted = docs.select(F.col(id_col).alias("doc_id"), F.greatest(F.coalesce(F.col(tokens_col), F.lit(0)), F.lit(0)).cast("long").alias("n_tokens"))
-    counted = settle(counted, "counted")
+    # rows that repeat are numbered, so that they too are dealt over all slices
+    counted = settle(counted.groupBy("doc_id", "n_tokens").agg(F.count("*").alias("times")), "counted").select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("_nth"))
     whole = F.floor(F.greatest(F.col("n_tokens") - 1, F.lit(0)) / max_tokens).cast("int")
-    pieces = counted.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), whole)).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", F.least(F.col("n_tokens") - F.col("piece") * max_tokens, F.lit(max_tokens)).cast("long").alias("n_tokens"))
+    pieces = counted.select("doc_id", "n_tokens", "_nth", F.explode(F.sequence(F.lit(0), whole)).alias("piece"))
+    pieces = pieces.select("doc_id", "piece", "_nth", F.least(F.col("n_tokens") - F.col("piece") * max_tokens, F.lit(max_tokens)).cast("long").alias("n_tokens"))
     histogram = {r[0]: r[1] for r in pieces.groupBy("n_tokens").count().collect()}  # max_tokens + 1 rows at most
     bounds = best_bounds(histogram, buckets, step, max_tokens)
     held = {b: sum(k for n, k in histogram.items() if lo < n <= b or n == 0 and lo == 0) for lo, b in zip([0, *bounds], bounds, strict=False)}
@@ -87,6 +88,6 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
         bucket = F.when(inside, F.lit(b).cast("long")).otherwise(bucket)
         slices = F.when(inside, F.lit(max(1, -(-held[b] // slice_rows)))).otherwise(slices)
         size = F.when(inside, F.lit(max(1, budget // b))).otherwise(size)
-    dealt = pieces.withColumn("bucket_len", bucket).withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), slices).cast("long")).withColumn("_size", size)
-    rank = F.row_number().over(Window.partitionBy("bucket_len", "slice").orderBy("doc_id", "piece", "n_tokens")) - 1
+    dealt = pieces.withColumn("bucket_len", bucket).withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens", "_nth"), slices).cast("long")).withColumn("_size", size)
+    rank = F.row_number().over(Window.partitionBy("bucket_len", "slice").orderBy("doc_id", "piece", "n_tokens", "_nth")) - 1
     return dealt.withColumn("_rank", rank).select("doc_id", F.col("piece").cast("long").alias("piece"), "n_tokens", "bucket_len", "slice", F.floor(F.col("_rank") / F.col("_size")).cast("long").alias("batch"), (F.col("_rank") % F.col("_size")).cast("long").alias("place"))

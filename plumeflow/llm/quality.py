@@ -1,8 +1,10 @@
 """Quality rules with host verdicts.
 
 Each document gets measures of its words, symbols, lines and repeated
-windows.  Rule failures are summed by host; every rule has a beta prior fitted
-to the hosts' rates by moments, which shrinks the rates of small hosts; a host
+windows.  Rule failures are summed by host; every rule has a beta prior, its mean the
+rate of all documents and its strength by moments over the hosts: the weighted variance of
+their rates, less what sampling alone would give, so that hosts of a few documents do not pass
+for different ones. It shrinks the rates of small hosts; a host
 whose shrunk rate reaches ``host_limit`` is condemned for that rule.  A
 document goes if it fails a base rule, or if it fails a rule that its host is
 condemned for.  A document that fails no rule is kept whatever its host.
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .storage import bounded_batches, settle, small_or_shuffled, unused
-from .textkit import PLAIN_WORD, RangeHash, as_bytes, byte_class, chunks, code_points, mix, words
+from .textkit import PLAIN_WORD, RangeHash, as_bytes, byte_class, chunks, code_points, mix, released, words
 
 #: Characters counted as symbols.
 SYMBOLS = byte_class(lambda b: b in b"#*$%&|<>")
@@ -90,7 +92,7 @@ def with_measures(docs: DataFrame, text_col: str = "text", prefix: str = "") ->
             found = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, pa.int64()) for x in found)], names=[*batch.schema.names, *names])
 
-    return bounded_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)]))
+    return bounded_batches(docs).mapInArrow(released(run), T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)]))
 
 
 def rules(prefix: str = "", min_words: int = 50, repeat_pct: int = 50, symbol_pct: int = 10, dup_pct: int = 30) -> dict[str, Column]:
@@ -107,17 +109,37 @@ def rules(prefix: str = "", min_words: int = 50, repeat_pct: int = 50, symbol_pc
 BASE = ("few_words", "repetition")
 
 
+def beta_strength(hosts: float, docs: float, squares: float, fails: float, spread: float, most: float = 1000.0) -> tuple[float, float]:
+    """(mean, strength) of a beta prior over hosts of n documents with k failures each.
+
+    From the number of hosts and the sums of n, n * n, k and k * k / n: the variance of k / n weighted by n, less its
+    binomial part, gives the correlation within hosts, 1 / (strength + 1). The strength lies between 1 and ``most``.
+    """
+    mean = fails / docs if docs else 0.0
+    binomial = mean * (1 - mean)
+    room = docs - squares / docs - (hosts - 1) if docs else 0.0
+    if binomial <= 0 or room <= 0:
+        return mean, most
+    within = ((spread - fails * mean) / binomial - (hosts - 1)) / room
+    return mean, most if within <= 1 / (most + 1) else max(1 / within - 1, 1.0)
+
+
 def host_verdicts(measured: DataFrame, host: Column, failing: dict[str, Column], host_limit: float, max_strength: float = 1000.0) -> DataFrame:
-    """(_host, n_docs, rate_<rule>, bad_<rule>) of every host. The prior of each rule is one row of moments over the hosts."""
+    """(_host, n_docs, rate_<rule>, bad_<rule>) of every host. The prior of each rule is one row of sums over the hosts."""
     by_host = settle(
         measured.groupBy(F.coalesce(host, F.lit("")).alias("_host")).agg(F.count("*").alias("n_docs"), *(F.sum(c.cast("long")).alias(f"n_{r}") for r, c in failing.items())),
         "hosts",
     )
-    moments = by_host.agg(*(x for r in failing for x in (F.avg(F.col(f"n_{r}") / F.col("n_docs")).alias(f"m_{r}"), F.var_pop(F.col(f"n_{r}") / F.col("n_docs")).alias(f"v_{r}")))).first()
+    n = F.col("n_docs").cast("double")
+    sums = by_host.agg(
+        F.count("*").alias("hosts"),
+        F.sum(n).alias("docs"),
+        F.sum(n * n).alias("squares"),
+        *(x for r in failing for x in (F.sum(f"n_{r}").cast("double").alias(f"k_{r}"), F.sum(F.col(f"n_{r}").cast("double") * F.col(f"n_{r}") / n).alias(f"s_{r}"))),
+    ).first()
     out = by_host
     for r in failing:
-        mean, var = moments[f"m_{r}"] or 0.0, moments[f"v_{r}"] or 0.0
-        strength = min(max(mean * (1 - mean) / var - 1, 1.0), max_strength) if var > 1e-12 else max_strength
+        mean, strength = beta_strength(sums["hosts"], sums["docs"] or 0.0, sums["squares"] or 0.0, sums[f"k_{r}"] or 0.0, sums[f"s_{r}"] or 0.0, max_strength)
         rate = (F.col(f"n_{r}") + mean * strength) / (F.col("n_docs") + strength)
         out = out.withColumn(f"rate_{r}", rate).withColumn(f"bad_{r}", rate >= host_limit)
     return out

@@ -30,24 +30,27 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four commits: all documents; counts revised where marks at word ends are stripped; exact copies deleted; and the last batch again."""
-    docs = _docs(spark, sf_dir).select("doc_id", "source", "lang", F.xxhash64("text").alias("h"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("c"), "text")
-    stripped = F.regexp_replace("text", r"[#*$%&]{3}|!!", "")
-    ranks = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
-    old = settle(token_rollup.with_counts(docs, ranks), "counts")
-    new = settle(token_rollup.with_counts(docs.where(stripped != F.col("text")).select("doc_id", stripped.alias("text")), ranks), "revised").withColumnsRenamed({"n_bpe": "m_bpe", "n_plain": "m_plain"})
-    both = old.join(new, "doc_id", "left").select(*old.columns, F.coalesce("m_bpe", "n_bpe").alias("m_bpe"), F.coalesce("m_plain", "n_plain").alias("m_plain"), F.col("m_bpe").isNotNull().alias("is_new"))
-    both = settle(both, "both")
+    """Four commits: all documents; counts revised where marks at word ends are stripped; exact copies deleted; and the last batch again.
+
+    Of rows with one text the first by (doc_id, source, lang) stays, whether ids repeat or not; rows without an id come last.
+    """
+    docs = _docs(spark, sf_dir)
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", "source", "lang", F.xxhash64(text).alias("h"), F.xxhash64(text, F.lit(1)).alias("i"), "text", F.regexp_replace("text", r"[#*$%&]{3}|!!", "").alias("stripped"))
+    counted = token_rollup.with_counts(rows, f"{TOKENIZERS}/byte_bpe_50k.tiktoken", "text", "stripped")
+    names = ["h", "i", "doc_id", "source", "lang", "n_bpe", "n_plain", "m_bpe", "m_plain", "revised"]
+    both = settle(counted.groupBy(*names).agg(F.count("*").alias("times")), "counts")
 
     def events(rows: DataFrame, op: str, count: str, before: str) -> DataFrame:
         of = F.explode(F.array(*(F.struct(F.lit(name).alias("tokenizer"), F.col(f"{count}_{k}").alias("n_tokens"), F.col(f"{before}_{k}").alias("old_tokens")) for name, k in (("byte_bpe_50k/1", "bpe"), ("plain_words/1", "plain")))))
-        return rows.select("source", "lang", F.lit(op).alias("op"), of.alias("x")).select("source", "lang", "op", "x.*")
+        return rows.select("source", "lang", F.lit(op).alias("op"), "times", of.alias("x")).select("source", "lang", "op", "times", "x.*")
 
-    first = both.groupBy("h", "c").agg(F.min("doc_id").alias("first"))
-    copies = both.join(first, ["h", "c"]).where("doc_id != first")
+    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "source", "lang")
+    first = both.groupBy("h", "i").agg(F.min(place).alias("first"), F.sum("times").alias("rows")).where("rows > 1")
+    copies = both.join(first, ["h", "i"]).withColumn("times", F.col("times") - F.when(place.eqNullSafe(F.col("first")), 1).otherwise(0)).where("times > 0")
     ledger = token_rollup.Ledger(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
     ledger.commit("load", events(both, "insert", "n", "n"))
-    ledger.commit("strip", events(both.where("is_new"), "revise", "m", "n"))
+    ledger.commit("strip", events(both.where("revised"), "revise", "m", "n"))
     for _ in range(2):
         ledger.commit("copies", events(copies, "delete", "m", "m"))
     return ledger.totals()
@@ -147,8 +150,9 @@ WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS te
   SELECT *, (n_words < 50)::INT AS few, (100 * n_repeat_words > 50 * n_words)::INT AS rep, (100 * n_symbols > 10 * word_chars)::INT AS sym, (100 * n_dup_lines > 30 * n_lines)::INT AS dup FROM m
 ), hs AS (SELECT host, count(*) AS n, sum(few) AS few, sum(rep) AS rep, sum(sym) AS sym, sum(dup) AS dup FROM f GROUP BY 1
 ), u AS (UNPIVOT hs ON few, rep, sym, dup INTO NAME rule VALUE k
-), p AS (SELECT rule, avg(k / n) AS m, var_pop(k / n) AS v FROM u GROUP BY 1
-), s AS (SELECT rule, m, CASE WHEN v > 1e-12 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 1000.0) ELSE 1000.0 END AS s FROM p
+), p AS (SELECT rule, sum(k) / sum(n) AS m, count(*) - 1 AS df, sum(k * k / n) - sum(k) * (sum(k) / sum(n)) AS ss, sum(n) - sum(n::DOUBLE * n) / sum(n) - (count(*) - 1) AS room FROM u GROUP BY 1
+), w AS (SELECT rule, m, CASE WHEN m * (1 - m) > 0 AND room > 0 THEN (ss / (m * (1 - m)) - df) / room ELSE 0 END AS c FROM p
+), s AS (SELECT rule, m, CASE WHEN c <= 1 / 1001.0 THEN 1000.0 ELSE greatest(1 / c - 1, 1.0) END AS s FROM w
 ), v AS (SELECT host, rule, (k + m * s) / (n + s) >= 0.08 AS bad FROM u JOIN s USING (rule)
 ), b AS (SELECT host, bool_or(bad AND rule = 'few') AS few, bool_or(bad AND rule = 'rep') AS rep, bool_or(bad AND rule = 'sym') AS sym, bool_or(bad AND rule = 'dup') AS dup FROM v GROUP BY 1)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
@@ -198,13 +202,13 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents
   UNION ALL {_duck_spans("ident", secrets.IDENT, "length( v ) >= 3")}
   UNION ALL {_duck_spans("value", secrets.VALUE)}
   UNION ALL {_duck_spans("endpoint", secrets.ENDPOINT)})
-), c AS (
-  SELECT *, unnest(range(greatest(ceil((e - 400) / 200.0), 0)::BIGINT, s // 200 + 1)) AS scope FROM p
-), f AS (
-  SELECT doc_id, scope FROM c GROUP BY 1, 2 HAVING bool_or(k IN ('access', 'ident')) AND bool_or(k IN ('assign', 'hex', 'value'))
+), n AS (SELECT * FROM p WHERE k IN ('access', 'ident')
+), v AS (SELECT * FROM p WHERE k IN ('assign', 'hex', 'value')
+), b AS (
+  SELECT n.doc_id, greatest(n.s, v.s) - 400 AS lo, least(n.e, v.e) AS hi FROM n JOIN v ON n.doc_id = v.doc_id AND n.s - 400 <= v.e AND v.s - 400 <= n.e
 ), r AS (
   SELECT doc_id, k, s, e FROM p WHERE k IN ('assign', 'access', 'hex')
-  UNION ALL SELECT DISTINCT c.doc_id, k, s, e FROM c JOIN f ON f.doc_id = c.doc_id AND f.scope = c.scope WHERE k NOT IN ('assign', 'access', 'hex')
+  UNION ALL SELECT DISTINCT p.doc_id, k, s, e FROM p JOIN b ON b.doc_id = p.doc_id AND p.s - 400 <= b.hi AND b.lo <= p.e WHERE k NOT IN ('assign', 'access', 'hex')
 ), o AS (
   SELECT *, list_position(['assign', 'access', 'hex', 'ident', 'value', 'endpoint'], k) AS o, k || ':' || s || ':' || e AS x FROM r
 ), a AS (

@@ -6,16 +6,18 @@ words (presence) and a few ratios of the text, trained here on at most
 evidence is the probability that it is neither.
 
 Sites.  Evidence is summed by path and by host with grouped aggregation.  The
-global rate, and how strongly it holds (by moments over the hosts), is the
-prior of each host; a host's posterior is the prior of its paths.  Sparse
-sites so shrink toward their host, and sparse hosts toward the global rate.
+global rate is the prior of each host, and a host's posterior the prior of its paths. How many
+documents a prior counts for comes by moments: the variance of evidence within sites
+over the variance between sites, which is that of their means (weighted by documents) less what the
+variance within explains; for hosts between hosts, for paths between the paths of one host.
+Sparse sites so shrink toward their host, and sparse hosts toward the global rate.
 
 A document's posterior odds are its own odds times the odds of its path
 relative to the global ones.  It is kept if the posterior reaches ``least``.
 
 Defined results.  A null or blank text has no words and only constant
 evidence.  Null hosts and paths are sites of their own.  Labels of unknown
-documents, and null labels, are ignored; if a label has fewer than two
+documents, and null labels, are ignored; of contradicting labels of one document the worse one counts; if a label has fewer than two
 values among those in use, its model is the constant rate.  Repeated rows count as
 often as they occur.  Only the named columns are read.
 """
@@ -32,7 +34,7 @@ from pyspark.sql import types as T
 
 from .quality import measures
 from .storage import bounded_batches, settle, small_or_shuffled
-from .textkit import ALNUM_WORD, LOWER, RangeHash, as_bytes, byte_class, chunks, words
+from .textkit import ALNUM_WORD, LOWER, RangeHash, as_bytes, byte_class, chunks, released, words
 
 HASH_BITS = 18
 RATIOS = 8
@@ -128,7 +130,7 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def train(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[Logistic, Logistic]:
     """(low quality, toxic). docs: doc_id, text; labels: doc_id, quality, toxic. At most ``sample`` rows come to the driver, as features."""
-    chosen = settle(labels.where("doc_id is not null and quality is not null and toxic is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labels")
+    chosen = settle(labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labels")
     rows = docs.join(small_or_shuffled(chosen), "doc_id").select("text", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
     table = rows.mapInArrow(_feature_batches, "quality int, toxic int, ratios binary, hashed binary").toArrow()
     packed = table.column("hashed").to_pylist()
@@ -152,15 +154,42 @@ def _score_batches(models):
                 bad, tox = (1 / (1 + np.exp(-np.clip(m.logit(*found), -30, 30))) for m in (low_quality, toxic))
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(3)), pa.array(bad), pa.array(tox)], names=["doc_id", "host", "path", "p_low", "p_toxic"])
 
-    return run
-
-
-def _strength(rates: DataFrame, most: float) -> tuple[float, float]:
-    """Mean rate over all documents, and by moments over the sites with its weight as a count of documents."""
-    row = rates.agg(F.sum("good").alias("s"), F.sum("n").alias("n"), F.avg(F.col("good") / F.col("n")).alias("m"), F.var_pop(F.col("good") / F.col("n")).alias("v")).first()
-    mean = (row["s"] or 0.0) / row["n"] if row["n"] else 0.5
-    m, v = row["m"] or 0.5, row["v"] or 0.0
-    return min(max(mean, 1e-6), 1 - 1e-6), min(max(m * (1 - m) / v - 1, 1.0), most) if v > 1e-12 else most
+    return released(run)
+
+
+def _credibility(spread: float, squares: float, sites: float, groups: float, docs: float, within: float, most: float) -> float:
+    """Documents that a prior counts for: variance within sites over that between them.
+
+    spread: sum of n * (mean of the site - mean of its group) ** 2; squares: docs less the sum of n * n / n of the group.
+    """
+    free = docs - sites
+    inside = within / free if free > 0 else 0.0
+    between = (spread - (sites - groups) * inside) / squares if squares > 0 else 0.0
+    if between <= 0:
+        return most
+    return min(max(inside / between, 1.0), most)
+
+
+def strengths(paths: DataFrame, most: float) -> tuple[float, float, float]:
+    """(mean over all documents, strength of the prior of hosts, of paths). paths: host, path, n, good, good2 (sum of squares)."""
+    hosts = paths.groupBy("host").agg(F.count("*").alias("paths"), F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("good2").alias("good2"), F.sum(F.col("n").cast("double") * F.col("n")).alias("nn"), F.sum(F.col("good") * F.col("good") / F.col("n")).alias("by_path"))
+    r = hosts.agg(
+        F.count("*").alias("hosts"),
+        F.sum("paths").alias("paths"),
+        F.sum("n").alias("n"),
+        F.sum("good").alias("good"),
+        F.sum("good2").alias("good2"),
+        F.sum(F.col("n").cast("double") * F.col("n")).alias("nn"),
+        F.sum(F.col("nn") / F.col("n")).alias("nn_in"),
+        F.sum(F.col("good") * F.col("good") / F.col("n")).alias("by_host"),
+        F.sum("by_path").alias("by_path"),
+    ).first()
+    if not r["n"]:
+        return 0.5, most, most
+    mean = r["good"] / r["n"]
+    host = _credibility(r["by_host"] - r["good"] * mean, r["n"] - r["nn"] / r["n"], r["hosts"], 1, r["n"], r["good2"] - r["by_host"], most)
+    path = _credibility(r["by_path"] - r["by_host"], r["n"] - r["nn_in"], r["paths"], r["hosts"], r["n"], r["good2"] - r["by_path"], most)
+    return min(max(mean, 1e-6), 1 - 1e-6), host, path
 
 
 def _logit(p: Column) -> Column:
@@ -175,10 +204,9 @@ def classified(docs: DataFrame, labels: DataFrame, host: Column, path: Column, i
     schema = T.StructType([*rows.schema.fields[:3], T.StructField("p_low", T.DoubleType()), T.StructField("p_toxic", T.DoubleType())])
     scored = settle(rows.mapInArrow(_score_batches(models), schema), "scores")
     good = (1 - F.col("p_low")) * (1 - F.col("p_toxic"))
-    paths = settle(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(good).alias("good")), "paths")
+    paths = settle(scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(good).alias("good"), F.sum(good * good).alias("good2")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    mean, k_host = _strength(hosts, most)
-    _, k_path = _strength(paths, most)
+    mean, k_host, k_path = strengths(paths, most)
     hosts = hosts.select("host", ((F.col("good") + mean * k_host) / (F.col("n") + k_host)).alias("host_rate"))
     sites = paths.join(hosts, "host").select("host", "path", "host_rate", ((F.col("good") + F.col("host_rate") * k_path) / (F.col("n") + k_path)).alias("path_rate"))
     joined = scored.join(small_or_shuffled(settle(sites, "sites")), ["host", "path"])
