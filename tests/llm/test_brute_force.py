@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumeflow.llm import chat, decontaminate, graph, line_dedup, near_dups, packing, secrets, site_bayes, suffix_dedup, token_rollup
+from plumeflow.llm import chat, decontaminate, graph, line_dedup, near_dups, packing, quality, secrets, site_bayes, suffix_dedup, token_rollup
 from plumeflow.llm.suffix_sort import suffix_array
 from plumeflow.llm.storage import shared_dir
 
@@ -134,8 +134,8 @@ def test_a_tight_family_over_several_blocks(spark, more):
     assert got == near_brute(rows)
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_suffix_dedup(spark, hot):
+@pytest.mark.parametrize(("hot", "piece"), [(20_000, 1 << 18), (1, 1 << 18), (20_000, 450)])
+def test_suffix_dedup(spark, hot, piece):
     rng = random.Random(4)
     letters = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
     common = [letters(700), letters(380), letters(410)]
@@ -154,7 +154,7 @@ def test_suffix_dedup(spark, hot):
                 gone[i : i + 400] = True
         want.append((d, len(r), int(gone.sum()), int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.removal_table(docs, hot=hot).collect())
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.removal_table(docs, hot=hot, piece=piece).collect())
     assert got == want
 
 
@@ -185,36 +185,45 @@ def test_bounds_at_any_length(spark):
     assert all(r.bucket_len == (r.n_tokens if r.n_tokens < 1900 else 2048) or r.bucket_len == r.n_tokens for r in out) and len(out) == 30
 
 
-def lines_brute(rows, min_words=5, threshold=75):
-    """Lines that go, as (doc, line), by comparing all pairs of lines."""
+def plain_distance(a, b):
+    p = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        q = [i]
+        for j, y in enumerate(b, 1):
+            q.append(min(p[j] + 1, q[-1] + 1, p[j - 1] + (x != y)))
+        p = q
+    return p[-1]
+
+
+def test_edit_distance():
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abé ") for _ in range(rng.randint(0, 70))) for _ in "ab")
+        assert line_dedup.edit_distance(a, b) == plain_distance(a, b)
+
+
+def lines_brute(rows, fuzzy_words=5, threshold=75):
+    """Lines that go, as (doc, line), by comparing all pairs of lines: no pair is left out but by length and by how many of each letter differ."""
     norm = {}
     for d, text in rows:
         for k, line in enumerate((text or "").split("\n")):
             low = "".join(c.lower() if "A" <= c <= "Z" else c for c in line)
-            w = re.findall("[0-9a-z\u0080-\U0010ffff]+", low)
-            if len(w) >= min_words:
+            if w := re.findall("[0-9a-z\u0080-\U0010ffff]+", low):
                 norm[(d, k)] = " ".join(w)
     texts = sorted(set(norm.values()))
-    from plumeflow.llm.textkit import ALNUM_WORD, RangeHash, words
-
-    sims = {}
-    for t in texts:
-        data = np.frombuffer(t.encode(), np.uint8)
-        a, b, _ = words(data, np.array([0, len(data)]), ALNUM_WORD)
-        bits = np.unpackbits(np.unique(RangeHash(data)(a, b)).view(np.uint8).reshape(-1, 8), axis=1).astype(int)
-        sims[t] = int(np.packbits(2 * bits.sum(0) > len(bits)).view(np.uint64)[0])
-
-    def distance(a, b):
-        p = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            q = [i]
-            for j, y in enumerate(b, 1):
-                q.append(min(p[j] + 1, q[-1] + 1, p[j - 1] + (x != y)))
-            p = q
-        return p[-1]
-
-    near = [(a, b) for a, b in itertools.combinations(texts, 2) if (sims[a] ^ sims[b]).bit_count() <= 3]
-    links = [(a, b) for a, b in near if 100 * (max(len(a), len(b)) - distance(a, b)) >= threshold * max(len(a), len(b))]
+    long = [t for t in texts if t.count(" ") + 1 >= fuzzy_words]
+    letters = sorted({c for t in long for c in t})
+    bags = np.array([[t.count(c) for c in letters] for t in long], np.int32).reshape(len(long), -1)
+    size = bags.sum(axis=1)
+    links = []
+    for i, a in enumerate(long):
+        more = np.maximum(bags[i + 1 :] - bags[i], 0).sum(axis=1)
+        less = np.maximum(bags[i] - bags[i + 1 :], 0).sum(axis=1)
+        most = np.maximum(size[i + 1 :], size[i])
+        for j in np.flatnonzero(100 * (most - np.maximum(more, less)) >= threshold * most) + i + 1:
+            n = max(len(a), len(long[j]))
+            if 100 * (n - line_dedup.edit_distance(a, long[j])) >= threshold * n:
+                links.append((a, long[j]))
     group = roots(texts, links)
     first = {}
     for place in sorted(norm):
@@ -222,9 +231,10 @@ def lines_brute(rows, min_words=5, threshold=75):
     return {p for p, t in norm.items() if first[group[t]] != p}, links
 
 
-def test_line_dedup(spark):
+@pytest.mark.parametrize("part", [1024, 8])
+def test_line_dedup(spark, part):
     rng = random.Random(8)
-    base = [" ".join(f"w{rng.randint(0, 400)}" for _ in range(rng.randint(4, 60))) for _ in range(40)]
+    base = [" ".join(f"w{rng.randint(0, 400)}" for _ in range(rng.randint(1, 60))) for _ in range(40)]
     rows = []
     for d in range(30):
         lines = []
@@ -236,13 +246,50 @@ def test_line_dedup(spark):
         rows.append((d, "\n".join(lines)))
     want, links = lines_brute(rows)
     assert links  # fuzzy links occur
-    out = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {(r.doc_id, k) for r in out for k in r._cut or []} == want
+    out = line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), part=part).collect()
+    got = {(r.doc_id, k) for r in out for k in r._cut or []}
+    assert got <= want and len(got) >= 0.97 * len(want)
     texts = dict(rows)
     for r in out:
         assert r.text == "\n".join(x for k, x in enumerate(texts[r.doc_id].split("\n")) if k not in set(r._cut or []))
 
 
+def test_recall_of_edited_lines(spark):
+    """Pairs of a line and its copy with words replaced, left out or put in: which copies go, of those similar enough."""
+    rng = random.Random(9)
+    rows, kind = [], {}
+    for n in (6, 10, 20, 50):
+        for edits in (1, 2, 3, 4):
+            for _ in range(60):
+                w = [f"{rng.choice('abcdefgh')}{rng.randint(0, 10**6)}" for _ in range(n)]
+                v = list(w)
+                for _ in range(edits):
+                    at = rng.randrange(len(v))
+                    how = rng.random()
+                    v[at : at + 1] = [f"z{rng.randint(0, 10**6)}"] if how < 0.6 else [] if how < 0.8 else [v[at], f"z{rng.randint(0, 10**6)}"]
+                a, b = " ".join(w), " ".join(v)
+                if b.count(" ") >= 4 and 100 * (max(len(a), len(b)) - line_dedup.edit_distance(a, b)) >= 75 * max(len(a), len(b)):
+                    kind[len(rows) + 1] = (n, edits)
+                    rows += [(len(rows), a), (len(rows) + 1, b)]
+    gone = {r.doc_id for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r._cut}
+    assert gone <= set(kind)
+    share = {}
+    for d, k in kind.items():
+        share.setdefault(k, []).append(d in gone)
+    for (n, edits), hits in share.items():
+        least = 1.0 if edits == 1 else 0.85 if n >= 20 else 0.0
+        assert sum(hits) >= least * len(hits), (n, edits, sum(hits), len(hits))
+    assert len(gone) >= 0.9 * len(kind), {k: (sum(v), len(v)) for k, v in share.items()}
+
+
+def test_lines_in_a_very_frequent_block(spark):
+    rng = random.Random(10)
+    rows = [(i, "all of these lines begin alike and go on " + " ".join(f"q{rng.randint(0, 10**6)}" for _ in range(31))) for i in range(80)]
+    rows += [(100 + i, rows[i][1].replace("alike", "alikes")) for i in range(0, 80, 2)]
+    gone = {r.doc_id for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), part=2).collect() if r._cut}
+    assert gone == {100 + i for i in range(0, 80, 2)}
+
+
 def test_best_bounds():
     rng = random.Random(6)
     for _ in range(40):
@@ -305,6 +352,24 @@ def test_ledger(spark):
     assert sorted(((r.lang or "", r.n_docs, r.n_tokens) for r in ledger.totals().collect())) == [("", 1, 0), ("en", 1, 8)]
 
 
+def test_two_writers(spark):
+    ledger, other = (token_rollup.Ledger(spark, f"{shared_dir(spark)}/ledger2") for _ in "ab")
+    rows = lambda n: spark.createDataFrame([("s", "en", "t", "insert", n, None, 2)], "source string, lang string, tokenizer string, op string, n_tokens long, old_tokens long, times long")
+    start = other._latest()
+    assert ledger.commit("a", rows(5))
+    assert other.commit("b", rows(7), seen=start)  # began before a was there, and adds to it
+    assert not other.commit("a", rows(5), seen=start)  # another writer's batch, found when it comes second
+    assert ledger.commit("c", rows(1)) and ledger.committed("b") and not ledger.committed("d")
+    assert [(r.n_docs, r.n_tokens) for r in ledger.totals().collect()] == [(6, 26)]
+
+
+def test_token_totals_of_repeated_rows(spark, registered, tmp_path):
+    rows = [(1, "one two", "s"), (1, "one two", "s"), (1, "one two", "s"), (2, "three!!", "s"), (None, "three!!", "t"), (3, None, "s"), (1, "four", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'en' as lang", "1 as n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.source, r.n_docs, r.n_tokens) for r in registered.QUERIES["op7_token_counts"](spark, str(tmp_path)).where("tokenizer = 'plain_words/1'").collect()}
+    assert got == {("s", 3, 3), (None, 1, 1)}
+
+
 def test_token_totals(spark, registered):
     import tiktoken
 
@@ -341,6 +406,70 @@ def test_sparse_sites_shrink_to_their_host(spark):
     assert abs(rows[99].path_rate - rows[99].host_rate) < 0.05 and rows[99].kept
 
 
+def test_sparse_hosts_shrink_to_the_global_rate(spark):
+    good, bad = " ".join(f"word{i} is here" for i in range(60)), "too short"
+    rows = [(f"big{h}", bad if i == 0 else good) for h in range(40) for i in range(50)] + [(f"one{h}", bad if h < 8 else good) for h in range(400)]
+    docs = spark.createDataFrame([(i, t, h) for i, (h, t) in enumerate(rows)], "doc_id long, text string, source string")
+    measured = quality.with_measures(docs)
+    out = {r._host: r for r in quality.host_verdicts(measured, F.col("source"), quality.rules(), 0.08).collect()}
+    assert not any(r.bad_few_words for r in out.values())
+    assert all(abs(r.rate_few_words - 0.02) < 0.005 for r in out.values())
+    # hosts that do differ keep their rates
+    docs = spark.createDataFrame([(i, bad if h % 2 else good, f"h{h}") for i, h in enumerate(h for h in range(20) for _ in range(100))], "doc_id long, text string, source string")
+    out = {r._host: r for r in quality.host_verdicts(quality.with_measures(docs), F.col("source"), quality.rules(), 0.08).collect()}
+    assert all(r.bad_few_words == (int(h[1:]) % 2 == 1) for h, r in out.items())
+
+
+def test_site_posteriors_by_hand(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    out = site_bayes.classified(docs, labels, F.col("source"), F.col("lang")).join(docs.select("doc_id", "source", "lang"), "doc_id").collect()
+    good = [(r.source or "", r.lang or "", (1 - r.p_low) * (1 - r.p_toxic)) for r in out]
+    n, mean = len(good), sum(g for *_, g in good) / len(good)
+
+    def sites(key):
+        of = {}
+        for h, p, g in good:
+            of.setdefault(key(h, p), []).append(g)
+        return of
+
+    hosts, paths = sites(lambda h, p: h), sites(lambda h, p: (h, p))
+    avg = lambda x: sum(x) / len(x)
+
+    def strength(of, center, groups, squares):
+        inside = sum((g - avg(x)) ** 2 for x in of.values() for g in x) / (n - len(of))
+        between = (sum(len(x) * (avg(x) - center(k)) ** 2 for k, x in of.items()) - (len(of) - groups) * inside) / squares
+        return 1000.0 if between <= 0 else min(max(inside / between, 1.0), 1000.0)
+
+    k_host = strength(hosts, lambda k: mean, 1, n - sum(len(x) ** 2 for x in hosts.values()) / n)
+    k_path = strength(paths, lambda k: avg(hosts[k[0]]), len(hosts), n - sum(len(x) ** 2 / len(hosts[k[0]]) for k, x in paths.items()))
+    logit = lambda p: np.log(p / (1 - p))
+    for r, (h, p, g) in zip(out, good, strict=True):
+        host = (sum(hosts[h]) + mean * k_host) / (len(hosts[h]) + k_host)
+        path = (sum(paths[h, p]) + host * k_path) / (len(paths[h, p]) + k_path)
+        clip = min(max(g, 1e-6), 1 - 1e-6)
+        post = 1 / (1 + np.exp(-(logit(clip) + logit(path) - logit(mean))))
+        assert np.allclose([r.host_rate, r.path_rate, r.posterior], [host, path, post], atol=1e-6) and r.kept == (r.posterior >= 0.5)
+
+
+def test_pipeline_of_repeated_ids(spark, tmp_path):
+    """Rows that share an id, or have none, are judged each by its own text; odd rows and clashing names pass through every stage."""
+    rng = random.Random(12)
+    a, b, c = (". ".join(" ".join(f"{rng.choice('abcdefgh')}{rng.randint(0, 10**5)}" for _ in range(12)) for _ in range(8)) for _ in range(3))
+    rows = [(1, a), (7, a), (7, b), (None, a), (None, c), (8, None), (9, ""), (7, b)]
+    spark.createDataFrame([(1, "nothing of the kind")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source", "length(text) as n_chars", "1 as _cut", "2 as th", "3 as cid", "4 as _runs", "5 as stays")
+    near = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))
+    assert near.columns == docs.columns
+    assert sorted(((r.doc_id or 0), r.text or "") for r in near.collect()) == sorted([(1, a), (7, b), (0, c), (8, ""), (9, "")])
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns, name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    assert sorted(((r.doc_id or 0), r.text) for r in kept.collect()) == sorted([(1, a), (7, b), (0, c)])
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     kept = docs
@@ -350,7 +479,9 @@ def test_pipeline_stages(spark):
         assert kept.columns == docs.columns
         ids, rest = {r.doc_id for r in kept.collect()}, {r.doc_id: r.text for r in before.collect()}
         if name == "line dedup":
-            want, _ = lines_brute(sorted(rest.items()))
+            most, _ = lines_brute(sorted(rest.items()))
+            want = {(r.doc_id, k) for r in line_dedup.deduplicated(before).collect() for k in r._cut or []}
+            assert want <= most and len(want) >= 0.97 * len(most)
             for d, text in rest.items():
                 left = "\n".join(x for k, x in enumerate(text.split("\n")) if (d, k) not in want)
                 touched = left != text or any(p[0] == d for p in want)
