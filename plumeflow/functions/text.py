@@ -46,6 +46,42 @@ def without_ends(x: Column, prefix: str = "", suffix: str = "") -> Column:
     return F.when(F.endswith(x, F.lit(suffix)), F.substring(x, F.lit(1), F.length(x) - len(suffix))).otherwise(x)
 
 
+def first_match(x: Column, pattern: str, group: int = 0) -> Column:
+    """STR08: the first match of a pattern, null if there is none."""
+    return F.when(F.rlike(x, F.lit(pattern)), F.regexp_extract(x, pattern, group))
+
+
+def all_matches(x: Column, pattern: str, group: int = 0) -> Column:
+    """STR08: all matches of a pattern, in order."""
+    return F.regexp_extract_all(x, F.lit(pattern), F.lit(group))
+
+
+def split_at(x: Column, pattern: str, limit: int) -> Column:
+    """STR08: at most ``limit`` parts, the last one with all the rest."""
+    return F.split(x, pattern, limit)
+
+
+def literal(text: str) -> str:
+    """STR18: a pattern that matches the text itself."""
+    return re.sub(r"([^0-9A-Za-z_\s])", r"\\\1", text)
+
+
+def seconds(x: Column) -> Column:
+    """DAT04: a duration such as '90s', '15m', '2h', '1d' or '500ms' in seconds; a bare number counts as seconds, others are null."""
+    x = F.lower(F.trim(x))
+    number = F.regexp_extract(x, r"^([0-9]+(?:\.[0-9]+)?)\s*(ms|s|m|h|d)?$", 1).try_cast("double")
+    unit = F.regexp_extract(x, r"^([0-9]+(?:\.[0-9]+)?)\s*(ms|s|m|h|d)?$", 2)
+    return number * F.when(unit == "ms", 0.001).when(unit == "m", 60.0).when(unit == "h", 3600.0).when(unit == "d", 86_400.0).otherwise(1.0)
+
+
+def zone_offset(x: Column) -> Column:
+    """DAT04: minutes of a zone literal, 'Z', 'UTC', '+09:00', '+0900' or '-3'; others are null."""
+    x = F.upper(F.trim(x))
+    form = r"^(?:UTC|GMT)?([+-])([0-9]{1,2}):?([0-9]{2})?$"
+    minutes = F.regexp_extract(x, form, 2).try_cast("int") * 60 + F.coalesce(F.regexp_extract(x, form, 3).try_cast("int"), F.lit(0))
+    return F.when(x.isin("Z", "UTC", "GMT"), 0).when(F.rlike(x, F.lit(form)), F.when(F.regexp_extract(x, form, 1) == "-", -minutes).otherwise(minutes))
+
+
 def truncate(x: Column, n: int) -> Column:
     """STR05: n code points and '...' if there is more."""
     return F.when(F.length(x) > n, F.concat(F.substring(x, 1, n), F.lit("..."))).otherwise(x)
@@ -148,6 +184,26 @@ def decoded_header(text: str | None) -> str | None:
     return None if text is None else str(email.header.make_header(email.header.decode_header(text)))
 
 
+def declared_charset(content_type: Column) -> Column:
+    """CHR01: the charset that a content type names, in lower case; null if it names none."""
+    return F.nullif(F.lower(F.regexp_extract(content_type, r"(?i)charset\s*=\s*[\"']?([A-Za-z0-9._:-]+)", 1)), F.lit(""))
+
+
+def decoded(raw: bytes | None, charset: str | None) -> str | None:
+    """CHR01: bytes as text by their charset, else as UTF-8; what cannot be read is replaced."""
+    if raw is None:
+        return None
+    try:
+        return bytes(raw).decode(charset or "utf-8", "replace")
+    except LookupError:
+        return bytes(raw).decode("utf-8", "replace")
+
+
+@F.pandas_udf(T.StringType())
+def decoded_udf(raw: pd.Series, charset: pd.Series) -> pd.Series:
+    return pd.Series([decoded(r, c) for r, c in zip(raw, charset, strict=True)], dtype=object)
+
+
 @F.pandas_udf(T.StringType())
 def sanitize_udf(x: pd.Series) -> pd.Series:
     return x.map(sanitize, na_action="ignore")

@@ -164,6 +164,19 @@ def report_lines(ranking: DataFrame, empty: str = "no data") -> DataFrame:
 
 
 def budget_cut(rows: DataFrame, size: Column, budget: int, *order: Column, by: str | None = None) -> DataFrame:
-    """FLT08, WIN04: rows in order while the running total stays within the budget; the first overflow stops."""
+    """FLT08, WIN04: rows in order while the running total stays within the budget; the first overflow stops.
+
+    Sizes are 1 at least. Without ``by`` all rows are one list, of which the first ``budget`` rows can be within the
+    budget; only these are brought together.
+    """
+    if by is None:
+        rows = rows.orderBy(*order).limit(budget + 1)
     window = (Window.partitionBy(by) if by else Window.partitionBy()).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("_total", F.sum(size).over(window)).where(F.col("_total") <= budget).withColumnRenamed("_total", "running")
+
+
+def chained(rows: DataFrame, conditions: list[Column]) -> DataFrame:
+    """UDX06: rows that meet all of a list of conditions; an empty list lets all through."""
+    for condition in conditions:
+        rows = rows.where(condition)
+    return rows

@@ -63,12 +63,15 @@ def content_rows(items: DataFrame, enrichment: DataFrame) -> DataFrame:
 
 
 def with_web_page(sources: DataFrame, found: DataFrame, key: str = "source_id") -> DataFrame:
-    """SNK07/SET05: sources with the field enrichment.webPage set where found (key, items) has it: new items follow those there."""
+    """SNK07/SET05: sources with the field enrichment.webPage.items set where found (key, items) has it: new items follow those there, and sibling fields stay."""
     f = found.select(F.col(key).alias("_k"), F.col("items").alias("_items"))
     joined = sources.join(f, F.col(key) == F.col("_k"), "left")
     items = F.concat(F.coalesce(F.col("enrichment.webPage.items"), F.array().cast(dict(found.dtypes)["items"])), F.col("_items"))
-    page = F.struct(items.alias("items"))
-    return joined.withColumn("enrichment", F.when(F.col("_k").isNotNull(), F.struct(page.alias("webPage"))).otherwise(F.col("enrichment"))).drop("_k", "_items")
+    kind = dict(sources.dtypes)["enrichment"]
+    there = F.coalesce("enrichment", F.from_json(F.lit('{"webPage": {}}'), kind))
+    page = F.coalesce(F.col("webPage"), F.from_json(F.lit("{}"), dict(sources.select("enrichment.*").dtypes)["webPage"]))
+    with_page = joined.withColumn("_e", there).withColumn("webPage", F.col("_e.webPage")).withColumn("_e", F.col("_e").withField("webPage", page.withField("items", items)))
+    return with_page.withColumn("enrichment", F.when(F.col("_k").isNotNull(), F.col("_e")).otherwise(F.col("enrichment"))).drop("_k", "_items", "_e", "webPage")
 
 
 def model_batch(contents: DataFrame, done: DataFrame, size: int = 5, most: int = 10_000, least: int = 500, budget: int = 30_000) -> DataFrame:
@@ -113,3 +116,20 @@ def save_partition(rows: DataFrame, path: str, day: str) -> None:
 def missing_days(users: DataFrame, archive: DataFrame, day: str) -> DataFrame:
     """REC18/EXT13: the users that have no archive of a day yet: what get-or-compute has to compute."""
     return users.join(archive.where(F.col("day") == day).select("user_id").distinct(), "user_id", "left_anti")
+
+
+def without_markdown(contents: DataFrame, done: DataFrame, size: int = 5) -> DataFrame:
+    """AIB03: the next contents, by id, that have no markdown yet."""
+    return contents.join(done.select("content_id").distinct(), "content_id", "left_anti").orderBy("content_id").limit(size)
+
+
+def fan_out(requests: DataFrame, key: str, list_col: str) -> DataFrame:
+    """STM02: a row for each distinct token of a request, with how often it was asked for."""
+    return requests.select(key, F.explode(list_col).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
+
+
+def dry_run(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """SNK12: what an insert would do, counted, with nothing written: created or kept."""
+    there = table.select(*keys).distinct().withColumn("_there", F.lit(True))
+    marked = rows.join(there, keys, "left").select(F.when(F.col("_there"), "kept").otherwise("created").alias("action"))
+    return marked.groupBy("action").agg(F.count("*").alias("n"))

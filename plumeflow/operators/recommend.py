@@ -111,33 +111,46 @@ def fit_by_category(scores: DataFrame, margin: float = 2.0) -> DataFrame:
     return shaped.select("content_id", "category_id", _fit(True, margin).alias("fit"))
 
 
-def ranked_candidates(scores: DataFrame, contents: DataFrame, users: DataFrame, exposed: DataFrame) -> DataFrame:
-    """REC01, EXT01-03, JON09: what each user has not seen, by source, newest first: (user_id, content_id, source_ord, rank, published_at).
+#: Rows of the listed contents up to which they are broadcast to the users; more are joined by category.
+LISTED_ROWS = 200_000
 
-    A user's first rows are among the first (limit + seen) of the category, so only these are joined.
+
+def ranked_candidates(scores: DataFrame, contents: DataFrame, users: DataFrame, exposed: DataFrame, fit: DataFrame | None = None) -> DataFrame:
+    """REC01, EXT01-03, JON09: what each user has not seen, by source, newest first: (user_id, category_id, content_id, source_ord, rank, published_at), and fit if it is given.
+
+    A user's first rows are among the first (limit + seen) of the category, so only these are listed; the list, a few
+    thousand rows, goes to the users, whose rows are dealt by user once: all that follows by user stays where it is.
     """
-    seen = exposed.join(users.select("user_id"), "user_id", "left_semi")
-    most = seen.groupBy("user_id").agg(F.count("*").alias("seen"))
-    parts = []
-    for i, (_, column, limit, _, _) in enumerate(SOURCES):
-        order = Window.partitionBy("category_id").orderBy(F.desc("published_at"), F.desc("content_id"))
-        listed = scores.where(F.col(column) > 0).join(contents.select("content_id", "published_at"), "content_id").withColumn("place", F.row_number().over(order))
-        parts.append(listed.select("category_id", "content_id", "published_at", "place", F.lit(i + 1).alias("source_ord"), F.lit(limit * WINDOWS[-1][1]).alias("_limit")))
-    listed = parts[0].union(parts[1]).union(parts[2])
-    bounded = users.select("user_id", "category_id").join(most, "user_id", "left").join(listed, "category_id").where(F.col("place") <= F.col("_limit") + F.coalesce("seen", F.lit(0)))
-    fresh = bounded.join(exposed, ["user_id", "content_id"], "left_anti")
+    seen = exposed.join(users.select("user_id"), "user_id", "left_semi").groupBy("user_id").agg(F.collect_set("content_id").alias("_seen"))
+    rows = users.select("user_id", "category_id").join(seen, "user_id", "left").withColumn("_n", F.coalesce(F.array_size("_seen"), F.lit(0))).repartition("user_id")
+    most = seen.agg(F.coalesce(F.max(F.size("_seen")), F.lit(0))).first()[0]
+    listed = scores.join(contents.select("content_id", "published_at"), "content_id")
+    if fit is not None:
+        listed = listed.join(fit, ["content_id", "category_id"], "left").withColumn("fit", F.coalesce("fit", F.lit(True)))
+    more = ["fit"] if fit is not None else []
+    each = F.explode(F.array(*(F.struct(F.lit(i + 1).alias("source_ord"), F.lit(s[2] * WINDOWS[-1][1]).alias("_limit"), (F.col(s[1]) > 0).alias("has")) for i, s in enumerate(SOURCES))))
+    listed = listed.select("category_id", "content_id", "published_at", *more, each.alias("s")).where("s.has").select("category_id", "content_id", "published_at", *more, "s.source_ord", "s._limit")
+    # the first rows of 64 parts of a category hold the first rows of the category
+    newest = [F.desc("published_at"), F.desc("content_id")]
+    part = F.pmod(F.xxhash64("content_id"), F.lit(64))
+    for keys in (["category_id", "source_ord", part], ["category_id", "source_ord"]):
+        listed = listed.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*newest))).where(F.col("place") <= F.col("_limit") + most)
+    categories = scores.select("category_id").distinct().count()
+    small = categories * sum(s[2] * WINDOWS[-1][1] + most for s in SOURCES) <= LISTED_ROWS
+    bounded = rows.join(F.broadcast(listed) if small else listed, "category_id").where(F.col("place") <= F.col("_limit") + F.col("_n"))
+    fresh = bounded.where(~F.coalesce(F.array_contains("_seen", F.col("content_id")), F.lit(False)))
     rank = F.row_number().over(Window.partitionBy("user_id", "source_ord").orderBy("place"))
-    return fresh.withColumn("rank", rank).where(F.col("rank") <= F.col("_limit")).select("user_id", "category_id", "content_id", "source_ord", "rank", "published_at")
+    return fresh.withColumn("rank", rank).where(F.col("rank") <= F.col("_limit")).select("user_id", "category_id", "content_id", "source_ord", "rank", "published_at", *more)
 
 
-def pools(candidates: DataFrame, fit: DataFrame, today: str, target: int = POOL_TARGET, most: int = POOL_MAX) -> DataFrame:
-    """REC02/REC03/SET02/TOP02: each user's pool after adaptive expansion, in closed form.
+def pools(candidates: DataFrame, today: str, target: int = POOL_TARGET, most: int = POOL_MAX) -> DataFrame:
+    """REC02/REC03/SET02/TOP02: each user's pool after adaptive expansion, in closed form. candidates: as ranked_candidates gives them, with fit.
 
     Stages run window by window and source by source. As all windows of a
     source are prefixes of one order, a row's stages follow from its rank and
     age. Stages run until ``target`` rows are merged; after that window, as long
     as fewer than ``target`` fit the category, each further window runs its
-    first source only.
+    first source only. Counts are taken over each user's own rows, in place.
     """
     age = F.datediff(F.lit(today).cast("date"), F.col("published_at"))
     limits = F.element_at(F.array(*(F.lit(s[2]) for s in SOURCES)), F.col("source_ord"))
@@ -148,25 +161,25 @@ def pools(candidates: DataFrame, fit: DataFrame, today: str, target: int = POOL_
     staged = candidates.withColumn("w", window).where("w is not null").withColumn("stage", (F.col("w") - 1) * 3 + F.col("source_ord"))
     merged = staged.groupBy("user_id", "category_id", "content_id").agg(
         F.first("published_at").alias("published_at"),
+        F.first("fit").alias("fit"),
         F.min("stage").alias("first_stage"),
         *(F.min(F.when(F.col("source_ord") == i + 1, F.col("w"))).alias(f"w{i + 1}") for i in range(3)),
     )
-    merged = merged.join(fit, ["content_id", "category_id"], "left").withColumn("fit", F.coalesce("fit", F.lit(True)))
-    counts = merged.groupBy("user_id").agg(*(F.count_if(F.col("first_stage") <= s).alias(f"raw{s}") for s in range(1, 13)))
-    star = F.lit(12)
-    for s in range(11, 0, -1):
-        star = F.when(F.col(f"raw{s}") >= target, s).otherwise(star)
-    rows = merged.join(counts.select("user_id", star.alias("star")), "user_id").withColumn("w_star", F.ceil(F.col("star") / 3).cast("int"))
+    user = Window.partitionBy("user_id")
+    # the stage that brings the target: the least s with ``target`` rows of a first stage up to s
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("first_stage"))
+    ranked = merged.withColumn("_nth", nth)
+    star = F.coalesce(F.min(F.when(F.col("_nth") == target, F.col("first_stage"))).over(user), F.lit(12)) if target > 0 else F.lit(1)
+    rows = ranked.withColumn("star", star).withColumn("ws", F.ceil(F.col("star") / 3).cast("int"))
 
     def inside(w: int) -> Column:
         return (F.col("first_stage") <= F.col("star")) | (F.col("w1") <= w)
 
-    fits = rows.groupBy("user_id").agg(F.first("w_star").alias("ws"), *(F.count_if(F.col("fit") & inside(w)).alias(f"fit{w}") for w in range(1, 5)))
+    rows = rows.withColumns({f"fit{w}": F.count_if(F.col("fit") & inside(w)).over(user) for w in range(1, 4)})
     stop = F.lit(4)
     for w in (3, 2, 1):
         stop = F.when((F.col("ws") <= w) & (F.col(f"fit{w}") >= target), w).otherwise(stop)
-    rows = rows.join(fits.select("user_id", stop.alias("stop")), "user_id")
-    chosen = rows.where(F.col("fit") & ((F.col("first_stage") <= F.col("star")) | (F.col("w1") <= F.col("stop"))))
+    chosen = rows.withColumn("stop", stop).where(F.col("fit") & ((F.col("first_stage") <= F.col("star")) | (F.col("w1") <= F.col("stop"))))
     used = [F.col("w1") <= F.col("stop"), *(((F.col(f"w{i}") - 1) * 3 + i) <= F.col("star") for i in (2, 3))]
     total = {k: sum((F.when(F.coalesce(u, F.lit(False)), s[at]).otherwise(0.0) for u, s in zip(used, SOURCES, strict=True)), F.lit(0.0)) for k, at in (("confidence", 4), ("score", 3))}
     chosen = chosen.withColumn("confidence", F.round(total["confidence"], 4)).withColumn("score", F.round(total["score"], 4)).withColumn("sources", sum((F.coalesce(u, F.lit(False)).cast("long") for u in used), F.lit(0)))
@@ -198,3 +211,8 @@ def fallback(scored: DataFrame, limit: int, key: str = "user_id") -> DataFrame:
     rows = scored.withColumn("round", turn).where("round is not null").withColumn("score", at)
     order = Window.partitionBy(key).orderBy("round", F.desc("score"), F.desc("published_at"), F.desc("content_id"))
     return rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= max(limit, 0))
+
+
+def total(rules: list[Column]) -> Column:
+    """UDX03/REC11: the sum of a list of rules, 0 at least. A rule is a column; a caller's own list takes the place of the built-in one."""
+    return F.greatest(sum(rules, F.lit(0.0)), F.lit(0.0))

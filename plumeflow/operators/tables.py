@@ -98,12 +98,20 @@ def fill_missing(table: DataFrame, found: DataFrame, key: str, column: str) -> D
 
 
 def get_or_create(names: DataFrame, table: DataFrame) -> DataFrame:
-    """SNK06: id of each name: the lowest there is, else a new one above all, in the order of names."""
+    """SNK06: id of each name: the lowest there is, else a new one above all, in the order of names.
+
+    New names are numbered within their first two characters, and these groups, a few thousand at most, by the
+    counts of those before; no task holds all names.
+    """
     known = table.groupBy("name").agg(F.min("id").alias("id"))
     top = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     asked = names.select("name").distinct().join(known, "name", "left")
-    fresh = asked.where("id is null").withColumn("_n", F.row_number().over(Window.orderBy("name"))).join(F.broadcast(top)).select("name", (F.col("top") + F.col("_n")).cast("long").alias("id"), F.lit(True).alias("created"))
-    return asked.where("id is not null").select("name", F.col("id").cast("long").alias("id"), F.lit(False).alias("created")).union(fresh)
+    fresh = asked.where("id is null").withColumn("_p", F.substring(F.coalesce("name", F.lit("")), 1, 2))
+    groups = fresh.groupBy("_p").agg(F.count("*").alias("_k"))
+    before = groups.select("_p", (F.sum("_k").over(Window.orderBy("_p")) - F.col("_k")).alias("_before"))
+    numbered = fresh.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy("name"))).join(before, "_p")
+    created = numbered.join(F.broadcast(top)).select("name", (F.col("top") + F.col("_before") + F.col("_n")).cast("long").alias("id"), F.lit(True).alias("created"))
+    return asked.where("id is not null").select("name", F.col("id").cast("long").alias("id"), F.lit(False).alias("created")).union(created)
 
 
 def merge_longer(table: DataFrame, new: DataFrame, key: str, cap: int, marker: str) -> DataFrame:

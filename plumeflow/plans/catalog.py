@@ -448,7 +448,7 @@ CAND_VIEWS = ("users", "category_score", "contents", "exposed")
 
 
 def _candidates(t: Tables) -> DataFrame:
-    return rec.ranked_candidates(fx.category_score(t), fx.contents(t), fx.users(t), fx.exposed(t))
+    return rec.ranked_candidates(fx.category_score(t), fx.contents(t), fx.users(t), fx.exposed(t), rec.fit_by_category(fx.category_score(t)))
 
 
 @query("rec01_candidates", CAND + " SELECT user_id, content_id, source_ord, rank FROM cand WHERE rank <= CASE source_ord WHEN 1 THEN 140 WHEN 2 THEN 100 ELSE 60 END", CAND_VIEWS)
@@ -472,7 +472,7 @@ POOL = CAND + ", " + FITS + """, st AS (SELECT *, CASE WHEN rank <= l AND DATE '
 
 
 def _pool(t: Tables) -> DataFrame:
-    return rec.pools(_candidates(t), rec.fit_by_category(fx.category_score(t)), AS_OF)
+    return rec.pools(_candidates(t), AS_OF)
 
 
 @query("rec03_pool", POOL + " SELECT * FROM pool", CAND_VIEWS, dates=("published_at",))
@@ -650,14 +650,14 @@ def snk06(t):
     return tb.get_or_create(t.documents.select(F.col("source").alias("name")), table)
 
 
-UPD_ROWS = "r AS (SELECT content_id, substring(content, 1, 50) AS content, CASE WHEN content_id % 4 = 0 THEN '' WHEN content_id % 4 = 1 THEN 'img' END AS image FROM contents), n AS (SELECT content_id, substring(content, 1, 120) AS content, 'new' AS image FROM contents WHERE content_id % 2 = 0)"
+UPD_ROWS = "r AS (SELECT content_id, newsletter_name || ' ' || language AS content, CASE WHEN content_id % 4 = 0 THEN '' WHEN content_id % 4 = 1 THEN 'img' END AS image FROM contents), n AS (SELECT content_id, content, 'new' AS image FROM contents WHERE content_id % 2 = 0)"
 
 
 @query("upd01_merge", UPD_ROWS + """, j AS (SELECT r.content_id, r.content, r.image, n.content AS nc, n.image AS ni, coalesce(n.content_id IS NOT NULL AND ((length(r.content) <= 50 AND length(r.content) < length(n.content)) OR contains(r.content, 'stupid')), false) AS take FROM r LEFT JOIN n ON n.content_id = r.content_id)
 SELECT content_id, CASE WHEN take THEN nc ELSE content END AS content, CASE WHEN take THEN coalesce(nullif(image, ''), ni) ELSE image END AS image, take AS updated FROM j""", ("contents",))
 def upd01(t):
-    rows = fx.contents(t).select("content_id", F.substring("content", 1, 50).alias("content"), F.when(F.col("content_id") % 4 == 0, "").when(F.col("content_id") % 4 == 1, "img").alias("image"))
-    new = fx.contents(t).where("content_id % 2 = 0").select("content_id", F.substring("content", 1, 120).alias("content"), F.lit("new").alias("image"))
+    rows = fx.contents(t).select("content_id", F.concat_ws(" ", "newsletter_name", "language").alias("content"), F.when(F.col("content_id") % 4 == 0, "").when(F.col("content_id") % 4 == 1, "img").alias("image"))
+    new = fx.contents(t).where("content_id % 2 = 0").select("content_id", "content", F.lit("new").alias("image"))
     return tb.merge_longer(rows, new, "content_id", 50, "stupid")
 
 
@@ -754,13 +754,13 @@ def dig04(t):
 
 
 def _digest_rows(t: Tables) -> DataFrame:
-    return t.conversations.select(F.col("conv_id").alias("group_id"), F.col("turn").alias("ord"), F.lit("Weekly").alias("name"), F.lit(AS_OF).cast("date").alias("published"), F.col("role").alias("title"), F.substring("text", 1, 400).alias("content"), F.concat(F.lit("https://x.example.com/"), F.col("turn").cast("string")).alias("url"))
+    return t.conversations.select(F.col("conv_id").alias("group_id"), F.col("turn").alias("ord"), F.lit("Weekly").alias("name"), F.lit(AS_OF).cast("date").alias("published"), F.col("role").alias("title"), F.col("text").alias("content"), F.concat(F.lit("https://x.example.com/"), F.col("turn").cast("string")).alias("url"))
 
 
-@query("dig09_library_grouping", """i AS (SELECT conv_id AS doc, turn AS pos, role = 'assistant' AS lib, substring(text, 1, 10) AS title, 'l' || turn AS link FROM conversations)
+@query("dig09_library_grouping", """i AS (SELECT conv_id AS doc, turn AS pos, role = 'assistant' AS lib, text AS title, 'l' || turn AS link FROM conversations)
 SELECT doc, pos, 1::BIGINT AS n_items, title, link FROM i WHERE NOT lib UNION ALL SELECT doc, min(pos), count(*), string_agg(title, ', ' ORDER BY pos), 'l' || min(pos) FROM i WHERE lib GROUP BY 1""".replace("i AS", "WITH i AS", 1))
 def dig09(t):
-    rows = t.conversations.select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"), (F.col("role") == "assistant").alias("is_library"), F.substring("text", 1, 10).alias("title"), F.concat(F.lit("l"), F.col("turn").cast("string")).alias("link"), F.lit(None).cast("string").alias("issue_link"))
+    rows = t.conversations.select(F.col("conv_id").alias("doc"), F.col("turn").alias("pos"), (F.col("role") == "assistant").alias("is_library"), F.col("text").alias("title"), F.concat(F.lit("l"), F.col("turn").cast("string")).alias("link"), F.lit(None).cast("string").alias("issue_link"))
     return dg.library_rows(rows)
 
 
@@ -787,9 +787,9 @@ def str16(t):
     return t.documents.select("doc_id", F.sha2("text", 256).alias("hash"))
 
 
-@query("str17_terms", r"SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace(lower(substring(text, 1, 200)), '[^0-9a-z가-힣]+', ' ', 'g'), ' '), lambda w: length(w) >= 4 AND w NOT IN ('about', 'after', 'into', 'that', 'this', 'what', 'when', 'where', 'which', 'with', 'your')), ' ') AS terms FROM documents WHERE doc_id < 0 OR true".replace("array_to_string(list_filter(", "len(list_distinct(list_filter(").replace(", ' ') AS terms", "))::BIGINT AS n_terms"))
+@query("str17_terms", r"SELECT doc_id, array_to_string(list_filter(string_split(regexp_replace(lower(text), '[^0-9a-z가-힣]+', ' ', 'g'), ' '), lambda w: length(w) >= 4 AND w NOT IN ('about', 'after', 'into', 'that', 'this', 'what', 'when', 'where', 'which', 'with', 'your')), ' ') AS terms FROM documents".replace("array_to_string(list_filter(", "len(list_distinct(list_filter(").replace(", ' ') AS terms", "))::BIGINT AS n_terms"))
 def str17(t):
-    return t.documents.select("doc_id", F.size(tx.significant_terms(F.substring("text", 1, 200))).cast("long").alias("n_terms"))
+    return t.documents.select("doc_id", F.size(tx.significant_terms(F.col("text"))).cast("long").alias("n_terms"))
 
 
 @query("ing05_exposure_text", "SELECT d.doc_id, coalesce(CASE WHEN quality = 1 THEN 'summary' END, CASE WHEN length(text) > 500 THEN substring(text, 1, 500) || '...' ELSE text END) AS text FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")

@@ -163,10 +163,11 @@ def str12(t):
     return t.documents.select("doc_id", F.length(F.translate(x, tx.INVISIBLE, "")).cast("long").alias("n"))
 
 
-@query("str14_base64", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN substring(text, 1, 50) END AS text FROM documents")
+@query("str14_base64", "SELECT doc_id, text, NULL::VARCHAR AS broken FROM documents")
 def str14(t):
-    coded = F.when(F.col("doc_id") % 2 == 0, F.base64(F.substring("text", 1, 50).cast("binary"))).otherwise("%%%")
-    return t.documents.select("doc_id", coded.alias("x")).select("doc_id", F.expr("cast(try_to_binary(x, 'base64') AS string)").alias("text"))
+    decoded = "cast(try_to_binary(x, 'base64') AS string)"
+    coded = t.documents.select("doc_id", F.base64(F.col("text").cast("binary")).alias("x"))
+    return coded.select("doc_id", F.expr(decoded).alias("text"), F.expr("cast(try_to_binary(concat('%', x), 'base64') AS string)").alias("broken"))
 
 
 @query("str15_url_parameter", r"SELECT page_id, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page FROM pages")
@@ -204,11 +205,11 @@ def dat03(t):
     return t.events.select("event_id", F.unix_seconds(F.try_to_timestamp(text, F.lit("dd/MMM/yyyy:HH:mm:ss Z"))).alias("s"))
 
 
-@query("ext04_score_lists", "SELECT content_id, string_agg(category_id || '=' || total_score::BIGINT, ',' ORDER BY category_id) AS scores FROM category_score WHERE content_id % 4 = 0 GROUP BY 1", ("category_score",))
+@query("ext04_score_lists", "SELECT content_id, string_agg(category_id || '=' || total_score::BIGINT, ',' ORDER BY category_id) AS scores FROM category_score GROUP BY 1", ("category_score",))
 def ext04(t):
     entry = F.concat_ws("=", F.col("category_id").cast("string"), F.col("total_score").cast("long").cast("string"))
     lists = F.sort_array(F.collect_list(F.struct("category_id", entry.alias("x"))))
-    return fx.category_score(t).where("content_id % 4 = 0").groupBy("content_id").agg(F.array_join(F.transform(lists, lambda s: s["x"]), ",").alias("scores"))
+    return fx.category_score(t).groupBy("content_id").agg(F.array_join(F.transform(lists, lambda s: s["x"]), ",").alias("scores"))
 
 
 @query("ext10_object_resolution", "SELECT object_id, doc_id AS content_id, CASE WHEN doc_id IS NULL THEN 'UNRESOLVED' ELSE 'RESOLVED' END AS status FROM (SELECT DISTINCT CASE WHEN object_id::BIGINT % 9 = 0 THEN 'x' || object_id ELSE object_id END AS object_id FROM ga) g LEFT JOIN (SELECT * FROM documents WHERE doc_id % 3 <> 0) d ON d.doc_id = try_cast(object_id AS BIGINT)", ("ga",))

@@ -45,7 +45,7 @@ def contents(t: Tables) -> DataFrame:
         F.col("source").alias("newsletter_name"),
         provider.alias("provider_id"),
         F.when(provider % 2 == 0, "BLOG").otherwise("NEWSLETTER").alias("provider_type"),
-        F.substring("text", 1, 40).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.col("text").alias("content"),
         F.col("lang").alias("language"),
         F.date_sub(F.lit(AS_OF).cast("date"), (F.col("doc_id") % 400).cast("int")).alias("published_at"),
@@ -92,7 +92,7 @@ SQL = {
       CASE WHEN ts::DATE = min(ts::DATE) OVER (PARTITION BY user_id) THEN 'new' ELSE 'returning' END AS user_type FROM events""",
     "contents": r"""SELECT doc_id AS content_id, source AS newsletter_name, regexp_extract(source, 'src([0-9]+)', 1)::BIGINT AS provider_id,
       CASE WHEN regexp_extract(source, 'src([0-9]+)', 1)::BIGINT % 2 = 0 THEN 'BLOG' ELSE 'NEWSLETTER' END AS provider_type,
-      substring(text, 1, 40) AS title, text AS content, lang AS language, DATE '2024-01-31' - (doc_id % 400)::INT AS published_at FROM documents""",
+      split_part(text, chr(10), 1) AS title, text AS content, lang AS language, DATE '2024-01-31' - (doc_id % 400)::INT AS published_at FROM documents""",
     "category_score": r"""SELECT content_id, category_id, ks::DOUBLE AS keyword_score, ps::DOUBLE AS provider_score, (ks + ps)::DOUBLE AS total_score FROM (
       SELECT doc_id AS content_id, c AS category_id,
         CASE WHEN doc_id % 10 = 0 THEN 0 WHEN (doc_id + c) % 5 = 0 THEN 6 + doc_id % 9 WHEN (doc_id + 2 * c) % 7 = 0 THEN doc_id % 8 ELSE 0 END AS ks,

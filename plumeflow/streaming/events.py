@@ -44,11 +44,27 @@ def classified_lines(lines: DataFrame) -> DataFrame:
     return rows.withColumn("category", logs.access_class()).withColumn("band", logs.realtime_band(F.col("request_time")))
 
 
-def exact_bans(stream: DataFrame, key: str, most: int, find_s: int = 600, ban_s: int = 3600) -> DataFrame:
-    """STM06: (key, from_s, until_s): a ban begins with the event that makes ``most`` within ``find_s`` seconds, and events during a ban do not count. stream: key, ts."""
+def _seconds(stream: DataFrame, key: str, late: str) -> DataFrame:
+    at = F.col("ts").cast("timestamp")
+    return stream.select(F.col(key).cast("string").alias(key), at.alias("ts"), (F.unix_micros(at) / 1e6).alias("s")).withWatermark("ts", late)
+
+
+def _keep_until(state: GroupState, second: float) -> None:
+    """The state goes once the watermark has passed a time."""
+    state.setTimeoutTimestamp(max(int(second * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+
+
+def exact_bans(stream: DataFrame, key: str, most: int, find_s: int = 600, ban_s: int = 3600, late: str = "10 minutes") -> DataFrame:
+    """STM06: (key, from_s, until_s): a ban begins with the event that makes ``most`` within ``find_s`` seconds, and events during a ban do not count. stream: key, ts.
+
+    A key's state is dropped when neither its events nor its ban matter to the watermark any more.
+    """
     schema = f"{key} string, from_s double, until_s double"
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         recent, until = state.get if state.exists else ([], 0.0)
         recent, out = list(recent), []
         times = sorted(t for pdf in batches for t in pdf["s"])
@@ -61,10 +77,11 @@ def exact_bans(stream: DataFrame, key: str, most: int, find_s: int = 600, ban_s:
                 out.append((k[0], t, until))
                 recent = []
         state.update((recent, until))
+        _keep_until(state, max([until, *(r + find_s for r in recent)]))
         yield pd.DataFrame(out, columns=[key, "from_s", "until_s"])
 
-    seconds = stream.select(F.col(key).cast("string").alias(key), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s"))
-    return seconds.groupBy(key).applyInPandasWithState(run, schema, "recent array<double>, until double", "append", GroupStateTimeout.NoTimeout)
+    rows = _seconds(stream, key, late)
+    return rows.groupBy(key).applyInPandasWithState(run, schema, "recent array<double>, until double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def admit(times: list[float], rate: float, burst: int, level: float = 0.0, last: float | None = None) -> tuple[list[bool], float, float | None]:
@@ -78,18 +95,22 @@ def admit(times: list[float], rate: float, burst: int, level: float = 0.0, last:
     return out, level, last
 
 
-def rate_limited(stream: DataFrame, key: str, rate: float, burst: int) -> DataFrame:
-    """STM08: (key, s, status): 200 or 429 for each event, by a leaky bucket of each key."""
+def rate_limited(stream: DataFrame, key: str, rate: float, burst: int, late: str = "10 minutes") -> DataFrame:
+    """STM08: (key, s, status): 200 or 429 for each event, by a leaky bucket of each key; an empty bucket is dropped."""
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         level, last = state.get if state.exists else (0.0, None)
         times = sorted(t for pdf in batches for t in pdf["s"])
         ok, level, last = admit(times, rate, burst, level, last)
         state.update((level, last))
+        _keep_until(state, last + level / rate)
         yield pd.DataFrame({key: [k[0]] * len(times), "s": times, "status": [200 if x else 429 for x in ok]})
 
-    seconds = stream.select(F.col(key).cast("string").alias(key), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("s"))
-    return seconds.groupBy(key).applyInPandasWithState(run, f"{key} string, s double, status int", "level double, last double", "append", GroupStateTimeout.NoTimeout)
+    rows = _seconds(stream, key, late)
+    return rows.groupBy(key).applyInPandasWithState(run, f"{key} string, s double, status int", "level double, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def split_dead_letters(batch: DataFrame, valid, write_good, write_bad) -> None:
