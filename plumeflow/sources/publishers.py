@@ -147,7 +147,7 @@ def _scan(p: Publisher, text: str) -> list[dict]:
             url = re.fullmatch(LINK_LINE, line) if not at["link"] and below <= p.url_after else None
             if url:
                 at["link"] = url["url"]
-            elif line and not line.startswith("--"):
+            elif line and not line.startswith("--") and not (p.footnotes and re.fullmatch(r"\[\d+\]\s+https?://\S+", line)):
                 at["lines"].append(line)
     return items
 
