@@ -200,6 +200,16 @@ def test_edit_distance():
     for _ in range(300):
         a, b = ("".join(rng.choice("abé ") for _ in range(rng.randint(0, 70))) for _ in "ab")
         assert line_dedup.edit_distance(a, b) == plain_distance(a, b)
+    for _ in range(300):
+        a = "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(1, 200)))
+        b = list(a)
+        for _ in range(rng.randint(0, 40)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 2)] = rng.choice(["", "x", "yz"])
+        b = "".join(b)
+        d, most = plain_distance(a, b), max(len(a), len(b))
+        assert line_dedup.distance_bound(a, b) >= d
+        assert line_dedup.similar(a, b, 75) == (100 * (most - d) >= 75 * most)
 
 
 def lines_brute(rows, fuzzy_words=5, threshold=75):
