@@ -21,7 +21,6 @@ from . import fixtures as fx
 from .catalog import query
 from .fixtures import AS_OF, Tables
 
-TEXT = F.col("text")
 
 # --- text -----------------------------------------------------------------------------------------------------------
 
@@ -38,12 +37,12 @@ def str02(t):
     CASE WHEN instr(text, ' the ') > 0 THEN substring(text, instr(text, ' the ') + 5) ELSE text END AS after, substring(source, 4) AS bare FROM documents""",
 )
 def str04(t):
-    return t.documents.select("doc_id", tx.before(TEXT, " the ").alias("before"), tx.after(TEXT, " the ").alias("after"), tx.without_ends(F.concat("source", F.lit(".x")), "src", ".x").alias("bare"))
+    return t.documents.select("doc_id", tx.before(F.col("text"), " the ").alias("before"), tx.after(F.col("text"), " the ").alias("after"), tx.without_ends(F.concat("source", F.lit(".x")), "src", ".x").alias("bare"))
 
 
 @query("str06_contains_any", "SELECT doc_id, contains(lower(text), 'token') OR contains(lower(text), 'licen') AS has FROM documents")
 def str06(t):
-    return t.documents.select("doc_id", tx.contains_any(TEXT, "TOKEN", "Licen").alias("has"))
+    return t.documents.select("doc_id", tx.contains_any(F.col("text"), "TOKEN", "Licen").alias("has"))
 
 
 @query(
@@ -52,18 +51,18 @@ def str06(t):
       SELECT *, least(nullif(instr(tail, 'and'), 0), nullif(instr(tail, 'of'), 0)) AS near FROM (SELECT doc_id, text, instr(text, 'the') AS pos, substring(text, instr(text, 'the') + 3) AS tail FROM documents))""",
 )
 def str07(t):
-    return t.documents.select("doc_id", tx.remove_block(TEXT, "the", "and", "of").alias("text"))
+    return t.documents.select("doc_id", tx.remove_block(F.col("text"), "the", "and", "of").alias("text"))
 
 
 @query("str08_patterns", r"SELECT doc_id, nullif(regexp_extract(text, '[0-9]{3,}', 0), '') AS first, len(regexp_extract_all(text, '[A-Z][a-z]+'))::BIGINT AS n, CASE WHEN instr(text, ' ') > 0 THEN substring(text, instr(text, ' ') + 1) END AS rest FROM documents")
 def str08(t):
-    parts = tx.split_at(TEXT, " ", 2)
-    return t.documents.select("doc_id", tx.first_match(TEXT, "[0-9]{3,}").alias("first"), F.size(tx.all_matches(TEXT, "[A-Z][a-z]+")).cast("long").alias("n"), F.get(parts, F.lit(1)).alias("rest"))
+    parts = tx.split_at(F.col("text"), " ", 2)
+    return t.documents.select("doc_id", tx.first_match(F.col("text"), "[0-9]{3,}").alias("first"), F.size(tx.all_matches(F.col("text"), "[A-Z][a-z]+")).cast("long").alias("n"), F.get(parts, F.lit(1)).alias("rest"))
 
 
 @query("str09_quoted_printable", "SELECT doc_id, replace(text, chr(160), ' ') AS text FROM documents")
 def str09(t):
-    coded = F.replace(F.replace(TEXT, F.lit("="), F.lit("=3D")), F.lit("é"), F.lit("=C3=A9"))
+    coded = F.replace(F.replace(F.col("text"), F.lit("="), F.lit("=3D")), F.lit("é"), F.lit("=C3=A9"))
     entities = F.replace(F.replace(coded, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     return t.documents.select("doc_id", tx.sanitize_udf(entities).alias("text"))
 
@@ -81,7 +80,7 @@ def str18(t):
 @query("flt18_title_relevance", """SELECT doc_id, n = 0 OR met >= least(2, n) AS ok FROM (SELECT doc_id, len(l) AS n, len(list_filter(l, lambda w: contains(lower(text), w))) AS met FROM (
   SELECT doc_id, text, list_distinct(list_filter(string_split(regexp_replace(lower(split_part(text, chr(10), 1)), '[^0-9a-z가-힣]+', ' ', 'g'), ' '), lambda w: length(w) >= 4 AND w NOT IN ('about', 'after', 'into', 'that', 'this', 'what', 'when', 'where', 'which', 'with', 'your'))) AS l FROM documents))""")
 def flt18(t):
-    return t.documents.select("doc_id", tx.relevant(F.substring_index("text", "\n", 1), TEXT).alias("ok"))
+    return t.documents.select("doc_id", tx.relevant(F.substring_index("text", "\n", 1), F.col("text")).alias("ok"))
 
 
 @query("prj02_exposure", "SELECT doc_id, CASE WHEN lang = 'es' THEN 'KOREAN' ELSE 'ENGLISH' END AS language FROM documents")
@@ -91,7 +90,7 @@ def prj02_more(t):
 
 @query("enr06_limit_at_line", r"SELECT doc_id, CASE WHEN length(text) > 300 THEN trim(regexp_replace(substring(text, 1, 300), '\n[^\n]*$', '')) || '...' ELSE text END AS text FROM documents")
 def enr06(t):
-    return t.documents.select("doc_id", tx.limit_at_line(TEXT, 300).alias("text"))
+    return t.documents.select("doc_id", tx.limit_at_line(F.col("text"), 300).alias("text"))
 
 
 @query("dat04_literals", "SELECT event_id, (event_id % 90)::DOUBLE * CASE event_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 60 ELSE 3600 END AS seconds, CASE WHEN event_id % 2 = 0 THEN 540 ELSE -330 END::INT AS zone FROM events")
@@ -291,7 +290,7 @@ def ing04(t):
 
 @query("ing07_title_priority", r"SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'breaking|urgent') THEN 100 WHEN regexp_matches(lower(text), 'release|launch') THEN 90 WHEN regexp_matches(lower(text), 'ai|llm') THEN 85 WHEN regexp_matches(lower(text), 'security') THEN 80 WHEN regexp_matches(lower(text), 'guide|tutorial') THEN 75 WHEN regexp_matches(lower(text), 'interview') THEN 70 WHEN regexp_matches(lower(text), 'review') THEN 65 ELSE 50 END::INT AS priority FROM documents")
 def ing07(t):
-    return t.documents.select("doc_id", tx.title_priority(TEXT, ing.TITLE_PRIORITY).alias("priority"))
+    return t.documents.select("doc_id", tx.title_priority(F.col("text"), ing.TITLE_PRIORITY).alias("priority"))
 
 
 @query("src04_feed_counts", "SELECT f.source AS url, CASE WHEN f.source = 'src1' THEN -1 ELSE coalesce(i.n, 0) END::BIGINT AS n FROM (SELECT DISTINCT source FROM documents) f LEFT JOIN (SELECT source, count(*) AS n FROM documents WHERE doc_id % 50 = 7 GROUP BY 1) i ON i.source = f.source")
