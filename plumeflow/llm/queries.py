@@ -151,8 +151,8 @@ WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS te
 ), hs AS (SELECT host, count(*) AS n, sum(few) AS few, sum(rep) AS rep, sum(sym) AS sym, sum(dup) AS dup FROM f GROUP BY 1
 ), u AS (UNPIVOT hs ON few, rep, sym, dup INTO NAME rule VALUE k
 ), p AS (SELECT rule, sum(k) / sum(n) AS m, count(*) - 1 AS df, sum(k * k / n) - sum(k) * (sum(k) / sum(n)) AS ss, sum(n) - sum(n::DOUBLE * n) / sum(n) - (count(*) - 1) AS room FROM u GROUP BY 1
-), w AS (SELECT rule, m, CASE WHEN m * (1 - m) > 0 AND room > 0 THEN (ss / (m * (1 - m)) - df) / room ELSE 0 END AS c FROM p
-), s AS (SELECT rule, m, CASE WHEN c <= 1 / 1001.0 THEN 1000.0 ELSE greatest(1 / c - 1, 1.0) END AS s FROM w
+), cw AS (SELECT rule, m, CASE WHEN m * (1 - m) > 0 AND room > 0 THEN (ss / (m * (1 - m)) - df) / room ELSE 0 END AS c FROM p
+), s AS (SELECT rule, m, CASE WHEN c <= 1 / 1001.0 THEN 1000.0 ELSE greatest(1 / c - 1, 1.0) END AS s FROM cw
 ), v AS (SELECT host, rule, (k + m * s) / (n + s) >= 0.08 AS bad FROM u JOIN s USING (rule)
 ), b AS (SELECT host, bool_or(bad AND rule = 'few') AS few, bool_or(bad AND rule = 'rep') AS rep, bool_or(bad AND rule = 'sym') AS sym, bool_or(bad AND rule = 'dup') AS dup FROM v GROUP BY 1)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
