@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, line_dedup, near_dups, packing, quality, secrets, site_bayes, suffix_dedup, token_rollup
+from . import chat, decontaminate, exact_dedup, fim, line_dedup, near_dups, packing, quality, secrets, site_bayes, suffix_dedup, token_rollup, whitening
 from .storage import settle, shared_dir
 
 #: Folder with the vocabulary files.
@@ -93,6 +93,26 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_docs(spark, sf_dir))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the transformed texts and of the texts rebuilt from them."""
+    out = fim.transformed(_docs(spark, sf_dir))
+    back = fim.restored(F.col("output"), F.col("form"))
+    return out.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = exact_dedup.groups(_docs(spark, sf_dir), every_digest=True)
+    return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each vector and component; deviation is null where it does not fit in 64 bits."""
+    rows, fit = whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    shares = F.array(*(F.lit(float(v)) for v in fit.explained)).cast("array<double>")
+    out = rows.select(F.col("id").alias("vec_id"), F.col("deviation").try_cast("long").alias("deviation"), F.posexplode("whitened").alias("k", "whitened"))
+    return out.select("vec_id", (F.col("k") + 1).alias("component"), F.lit(fit.n).cast("long").alias("n"), "deviation", "whitened", F.get(shares, F.col("k")).alias("explained"), F.lit(fit.identity_error).alias("identity_error"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -106,6 +126,9 @@ QUERIES = {
         op8_suffix_array_dedup,
         op9_minhash_near_dups,
         op10_packing,
+        op11_fill_in_middle,
+        op12_exact_dedup,
+        op13_embedding_whitening,
     )
 }
 
@@ -250,3 +273,26 @@ SELECT conv_id, part::BIGINT AS part, me AS perspective, count(*)::BIGINT AS n_t
   coalesce(string_agg(s::BIGINT || ':' || (s + length(body))::BIGINT, ',' ORDER BY k) FILTER (mine), '') AS mask, coalesce(sum(length(body)) FILTER (mine), 0)::BIGINT AS n_masked
 FROM o GROUP BY 1, 2, 3
 """
+
+#: Parts are cut by code points here, from the lengths of the units before a cut.
+ORACLE_SQL["op11_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), u AS (SELECT *, list_transform(regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]'), lambda x: length(x)) AS ls FROM d
+), c AS (
+  SELECT *, len(ls) AS n, ('0x' || h[1:8])::BIGINT % (len(ls) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(ls) + 1) AS b,
+    ('0x' || h[17:24])::BIGINT % 100 >= 90 OR text = '' OR regexp_matches(text, '<[PSM]>') AS plain, ('0x' || h[25:32])::BIGINT % 100 < 20 AS spm FROM u
+), p AS (SELECT *, coalesce(list_sum(ls[1:least(a, b)]), 0)::BIGINT AS i, coalesce(list_sum(ls[1:greatest(a, b)]), 0)::BIGINT AS j FROM c
+), q AS (SELECT *, substr(text, 1, i) AS x, substr(text, i + 1, j - i) AS y, substr(text, j + 1) AS z FROM p)
+SELECT doc_id, n::BIGINT AS n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form,
+  CASE WHEN NOT plain THEN i END AS prefix_chars, CASE WHEN NOT plain THEN j - i END AS middle_chars,
+  sha256(CASE WHEN plain THEN text WHEN spm THEN concat('<S>', z, '<P>', x, '<M>', y) ELSE concat('<P>', x, '<S>', z, '<M>', y) END) AS output_sha256, sha256(text) AS restored_sha256
+FROM q
+"""
+
+ORACLE_SQL["op12_exact_dedup"] = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS bare FROM documents
+), r AS (
+  SELECT doc_id, bare, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY bare) AS size, row_number() OVER w AS k FROM d
+  WINDOW w AS (PARTITION BY bare ORDER BY n DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, size::BIGINT AS group_size, k = 1 AS kept, sha256(bare) AS text_sha256 FROM r
+"""
