@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import sequential as seq
+
 # Limits in code points, and the words of the rendering.
 SHORT, MIN_SHORT, LEAST, MOST = 500, 3, 500, 10_000
 INTRO = "입니다. 같은 뉴스레터에서 소개된 짧은 항목들을 한 번에 볼 수 있도록 묶었습니다."
@@ -43,54 +44,91 @@ def numbered(rows: DataFrame, group: str, order: str, title: str, text: str) ->
     return rows.groupBy(group).agg(F.count("*").alias("n"), F.array_join(lines, "\n\n").alias("merged"))
 
 
-def render(title: str, items: list[tuple[str, str, str]]) -> str:
-    """A digest's text: introduction, numbered items with description and link."""
-    parts = []
-    for i, (name, description, link) in enumerate(items, 1):
-        parts.append(f"{i}. {name}\n" + (f"{description}\n" if description.strip() else "") + f"Link: {link}")
-    return f"{title}{INTRO}\n\n" + "\n\n".join(parts)
+def _title(head: Column, number: Column, count: Column) -> Column:
+    """A digest's title: that of group_title without issue number or earlier digests."""
+    return group_title(head["name"], F.lit(None).cast("long"), head["published"], F.lit(0), number, count)
 
 
-def chunk(items: list[tuple[str, str, str]], title, least: int = LEAST, most: int = MOST, min_items: int = MIN_SHORT) -> list[tuple[int, int]]:
-    """DIG04/DIG05/WIN05: ranges of items that make a digest each. title(number, count) gives a chunk's title.
+def _item_length() -> Column:
+    """Length of an item's text in a digest, with what parts it from the next one, without its number."""
+    description = F.when(F.col("content") == "", 0).otherwise(F.length("content") + 1)
+    return (F.length(F.lit(". \n")) + F.length("title") + description + F.length(F.lit("Link: ")) + F.length("url") + F.length(F.lit("\n\n"))).cast("long")
 
-    A whole group within the limits stays one; one that is too short gives none. Else items are added while
-    the rendered text, titled as an only chunk, stays within ``most``; chunks that end out of limits are dropped.
-    """
-    whole = len(render(title(1, 1), items))
-    if whole < least:
-        return []
-    if whole <= most:
-        return [(0, len(items))]
-    ranges, start = [], 0
-    for i in range(len(items)):
-        if i > start and len(render(title(len(ranges) + 1, 1), items[start : i + 1])) > most:
-            ranges.append((start, i))
-            start = i
-    ranges.append((start, len(items)))
-    return [(a, b) for k, (a, b) in enumerate(ranges) if b - a >= min_items and least <= len(render(title(k + 1, len(ranges)), items[a:b])) <= most]
 
+def _digits(n: Column) -> Column:
+    """Digits of the numbers 1 to n in all, for n below 10 ** 9: the greatest of the lines that the counts of each number of digits lie on."""
+    return F.greatest(*(n * d - _before(d) for d in range(1, 10)))
 
-def digests(rows: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame:
-    """DIG01: digests of groups (group_id, ord, name, published, title, content, url). A group is one issue's items, which its sender bounds."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ord")
-        items = list(zip(pdf["title"].fillna(""), pdf["content"].fillna("").str.replace(r"\s+", " ", regex=True).str.strip(), pdf["url"].fillna(""), strict=True))
-        first = pdf.iloc[0]
+def _before(d: int) -> int:
+    """What a line of d digits a number counts too many for the shorter numbers."""
+    return (10**d - 10) // 9 - (d - 1)
+
+
+def _rendered(chunks: DataFrame, number: str, count: str) -> DataFrame:
+    """Chunks (head, items) with title and text: introduction, and items with number, description and link."""
+    lines = F.transform(
+        "items",
+        lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["title"], F.lit("\n"), F.when(x["content"] == "", "").otherwise(F.concat(x["content"], F.lit("\n"))), F.lit("Link: "), x["url"]),
+    )
+    title = _title(F.col("head"), F.col(number), F.col(count))
+    return chunks.withColumn("title", title).withColumn("content", F.concat(title, F.lit(INTRO + "\n\n"), F.array_join(lines, "\n\n")))
+
+
+def chunk_starts(items: DataFrame, most: int) -> DataFrame:
+    """WIN05: (group_id, pos) where greedy filling begins a chunk: the first item that would make a chunk's text, titled as an only one, longer than ``most``.
+
+    items: group_id, pos from 0, upto (running sum of item lengths) and own (length of this item), room (``most`` less title and introduction).
+    Each item points to the one after the last that fits if a chunk began with it. The text's length grows with the
+    items' lengths and the digits of their numbers; as the digits are the greatest of a few lines, the last item that fits is the least of as many range searches.
+    """
+    classes = range(1, len(str(max(most, 1))) + 1)
+    lines = F.explode(F.array(*(F.struct(F.lit(d).alias("d"), F.lit(_before(d)).alias("less")) for d in classes)))
+    by_class = items.select("group_id", "pos", "upto", "own", "room", lines.alias("c")).select("*", "c.*").drop("c")
+    rows = by_class.select("group_id", "d", "pos", (F.col("upto") + F.col("pos") * F.col("d")).alias("value"))
+    fits = F.col("room") + F.col("upto") - F.col("own") + (F.col("pos") - 1) * F.col("d") + F.col("less")
+    found = seq.nearest(rows, by_class.select("group_id", "d", "pos", fits.alias("fits")), ["group_id", "d"], "value", "pos", F.col("fits"), "last")
+    following = found.groupBy("group_id", "pos").agg(F.min(F.coalesce("last", F.lit(-1))).alias("last")).select("group_id", "pos", (F.greatest("last", "pos") + 1).alias("next"))
+    return seq.reached(following, ["group_id"])
 
-        def title(number: int, count: int) -> str:
-            base = f"{first['published'].year}년 {first['published'].month}월 {first['published'].day}일 {first['name']} 모음"
-            return f"{base} ({number}/{count})" if count > 1 else base
 
-        if (pdf["content"].fillna("").str.len() < SHORT).sum() < MIN_SHORT:
-            found = []
-        else:
-            found = chunk(items, title, least, most)
-        out = [(first["group_id"], k + 1, b - a, title(k + 1, len(found)), render(title(k + 1, len(found)), items[a:b])) for k, (a, b) in enumerate(found)]
-        return pd.DataFrame(out, columns=["group_id", "chunk", "n_items", "title", "content"])
+def digests(rows: DataFrame, least: int = LEAST, most: int = MOST) -> DataFrame:
+    """DIG01/DIG04/DIG05: (group_id, chunk, n_items, title, content): digests of groups (group_id, ord, name, published, title, content, url).
 
-    return rows.groupBy("group_id").applyInPandas(one, "group_id long, chunk long, n_items long, title string, content string")
+    Groups with fewer than MIN_SHORT short items give none. A group whose text is within the limits is one digest; one that is too short
+    gives none; else it is filled greedily, and chunks out of the limits or of fewer than MIN_SHORT items, titled by the number of all chunks, are dropped.
+    Those that stay are numbered anew. Groups may have any length: only a chunk's items, which ``most`` bounds, stand together. (group_id, ord) tells rows apart.
+    Null names, titles, contents and links are empty, a null day is that of 1970-01-01; null groups are one group.
+    """
+    text = F.coalesce("content", F.lit(""))
+    head = F.struct(F.coalesce("name", F.lit("")).alias("name"), F.coalesce("published", F.lit("1970-01-01").cast("date")).alias("published"))
+    items = rows.select("group_id", "ord", F.coalesce("title", F.lit("")).alias("title"), F.trim(F.regexp_replace(text, r"[ \t\n\x0B\f\r]+", " ")).alias("content"), F.coalesce("url", F.lit("")).alias("url"), (F.length(text) < SHORT).alias("short"), head.alias("head"))
+    heads = items.groupBy("group_id").agg(F.min_by("head", "ord").alias("head"), F.count_if("short").alias("n_short"), F.sum(_item_length()).alias("length"), F.count("*").alias("n"))
+    room = F.lit(most) - F.length(_title(F.col("head"), F.lit(1), F.lit(1))) - F.length(F.lit(INTRO))
+    heads = seq.kept(heads.where(F.col("n_short") >= MIN_SHORT).select("group_id", "head", room.alias("room"), (F.col("length") + _digits(F.col("n"))).alias("whole")))
+    items = items.drop("head", "short")
+    listed = F.array_sort(F.collect_list(F.struct("ord", "title", "content", "url"))).alias("items")
+
+    fitting = items.join(heads.where("whole <= room"), "group_id").groupBy("group_id", "head").agg(listed)
+    one = _rendered(fitting.select("*", F.lit(1).cast("long").alias("chunk"), F.lit(1).cast("long").alias("count")), "chunk", "count")
+    columns = ["group_id", "chunk", F.size("items").cast("long").alias("n_items"), "title", "content"]
+    out = one.where(F.length("content") >= least).select(*columns)
+
+    long = items.join(heads.where("whole > room"), "group_id")
+    if heads.where("whole > room").isEmpty():
+        return out
+    length = _item_length()
+    scanned = seq.running(long.withColumn("own", length), ["group_id"], ["ord"], {"upto": ("sum", F.col("own")), "pos": ("sum", F.lit(1).cast("long"))})
+    scanned = seq.kept(scanned.withColumn("pos", F.col("pos") - 1))
+    starts = chunk_starts(scanned, most).withColumn("first", F.lit(1).cast("long"))
+    numbered = seq.running(scanned.join(starts, ["group_id", "pos"], "left"), ["group_id"], ["pos"], {"number": ("sum", F.coalesce("first", F.lit(0).cast("long")))})
+    chunks = seq.kept(numbered.groupBy("group_id", "number").agg(F.first("head").alias("head"), listed))
+    counts = chunks.groupBy("group_id").agg(F.count("*").alias("of_all"))
+    drafts = _rendered(chunks.join(counts, "group_id"), "number", "of_all")
+    good = drafts.where((F.size("items") >= MIN_SHORT) & F.length("content").between(least, most)).select("group_id", "number", "head", "items")
+    renumbered = seq.kept(seq.running(good, ["group_id"], ["number"], {"chunk": ("sum", F.lit(1).cast("long"))}))
+    left = renumbered.groupBy("group_id").agg(F.count("*").alias("count"))
+    return out.unionByName(_rendered(renumbered.join(left, "group_id"), "chunk", "count").select(*columns))
 
 
 def library_rows(items: DataFrame, key: str = "doc") -> DataFrame:

@@ -743,20 +743,6 @@ def dig07(t):
     return fx.contents(t).select("content_id", dg.issue_number(F.col("newsletter_name"), x).alias("issue"))
 
 
-@query("dig01_digests")
-def dig01(t):
-    return dg.digests(_digest_rows(t))
-
-
-@query("dig04_greedy_chunks")
-def dig04(t):
-    return dg.digests(_digest_rows(t), most=2000)
-
-
-def _digest_rows(t: Tables) -> DataFrame:
-    return t.conversations.select(F.col("conv_id").alias("group_id"), F.col("turn").alias("ord"), F.lit("Weekly").alias("name"), F.lit(AS_OF).cast("date").alias("published"), F.col("role").alias("title"), F.col("text").alias("content"), F.concat(F.lit("https://x.example.com/"), F.col("turn").cast("string")).alias("url"))
-
-
 @query("dig09_library_grouping", """i AS (SELECT conv_id AS doc, turn AS pos, role = 'assistant' AS lib, text AS title, 'l' || turn AS link FROM conversations)
 SELECT doc, pos, 1::BIGINT AS n_items, title, link FROM i WHERE NOT lib UNION ALL SELECT doc, min(pos), count(*), string_agg(title, ', ' ORDER BY pos), 'l' || min(pos) FROM i WHERE lib GROUP BY 1""".replace("i AS", "WITH i AS", 1))
 def dig09(t):

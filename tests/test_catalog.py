@@ -2,7 +2,7 @@ import pytest
 from compare import same
 from paths import SF
 
-from plumeflow.plans import catalog, catalog_mail, catalog_more, catalog_rows  # noqa: F401
+from plumeflow.plans import catalog, catalog_flow, catalog_mail, catalog_more, catalog_rows  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))

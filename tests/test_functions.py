@@ -173,15 +173,6 @@ def test_error_log(spark):
     assert rows[0].ip == "1.2.3.4" and rows[0].host == "h" and not rows[6].parsed
 
 
-def test_chunks():
-    title = lambda i, n: f"T {i}/{n}"
-    items = [("a", "x" * 300, "u")] * 12
-    assert dg.chunk(items[:1], title, 500, 10_000) == []
-    assert dg.chunk(items, title, 500, 10_000) == [(0, 12)]
-    ranges = dg.chunk(items, title, 500, 1500)
-    assert len(ranges) > 1 and all(b - a >= 3 and len(dg.render(title(1, 1), items[a:b])) <= 1500 for a, b in ranges)
-
-
 def test_library_week(spark):
     for text, want in (("March 3rd, 2026 issue", (2026, 10)), ("2021-01-03", (2020, 53)), ("no date", (None, None))):
         y, w = dg.library_week(F.lit(text))
