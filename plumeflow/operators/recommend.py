@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -113,17 +118,12 @@ def fit_by_category(scores: DataFrame, margin: float = 2.0) -> DataFrame:
 
 #: Rows of the listed contents up to which they are broadcast to the users; more are joined by category.
 LISTED_ROWS = 200_000
+#: Contents that a user has seen up to which the pool comes from the category's list; users who have seen more are worked out row by row.
+LIGHT = 500
 
 
-def ranked_candidates(scores: DataFrame, contents: DataFrame, users: DataFrame, exposed: DataFrame, fit: DataFrame | None = None) -> DataFrame:
-    """REC01, EXT01-03, JON09: what each user has not seen, by source, newest first: (user_id, category_id, content_id, source_ord, rank, published_at), and fit if it is given.
-
-    A user's first rows are among the first (limit + seen) of the category, so only these are listed; the list, a few
-    thousand rows, goes to the users, whose rows are dealt by user once: all that follows by user stays where it is.
-    """
-    seen = exposed.join(users.select("user_id"), "user_id", "left_semi").groupBy("user_id").agg(F.collect_set("content_id").alias("_seen"))
-    rows = users.select("user_id", "category_id").join(seen, "user_id", "left").withColumn("_n", F.coalesce(F.array_size("_seen"), F.lit(0))).repartition("user_id")
-    most = seen.agg(F.coalesce(F.max(F.size("_seen")), F.lit(0))).first()[0]
+def _listed(scores: DataFrame, contents: DataFrame, most: int, fit: DataFrame | None = None) -> DataFrame:
+    """The newest contents of each category and source, as many as any user with ``most`` seen ones can need: (category_id, content_id, published_at, source_ord, place, _limit), and fit if it is given."""
     listed = scores.join(contents.select("content_id", "published_at"), "content_id")
     if fit is not None:
         listed = listed.join(fit, ["content_id", "category_id"], "left").withColumn("fit", F.coalesce("fit", F.lit(True)))
@@ -135,6 +135,20 @@ def ranked_candidates(scores: DataFrame, contents: DataFrame, users: DataFrame,
     part = F.pmod(F.xxhash64("content_id"), F.lit(64))
     for keys in (["category_id", "source_ord", part], ["category_id", "source_ord"]):
         listed = listed.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*newest))).where(F.col("place") <= F.col("_limit") + most)
+    return listed
+
+
+def ranked_candidates(scores: DataFrame, contents: DataFrame, users: DataFrame, exposed: DataFrame, fit: DataFrame | None = None) -> DataFrame:
+    """REC01, EXT01-03, JON09: what each user has not seen, by source, newest first: (user_id, category_id, content_id, source_ord, rank, published_at), and fit if it is given.
+
+    A user's first rows are among the first (limit + seen) of the category, so only these are listed; the list, a few
+    thousand rows, goes to the users, whose rows are dealt by user once: all that follows by user stays where it is.
+    """
+    seen = exposed.join(users.select("user_id"), "user_id", "left_semi").groupBy("user_id").agg(F.collect_set("content_id").alias("_seen"))
+    rows = users.select("user_id", "category_id").join(seen, "user_id", "left").withColumn("_n", F.coalesce(F.array_size("_seen"), F.lit(0))).repartition("user_id")
+    most = seen.agg(F.coalesce(F.max(F.size("_seen")), F.lit(0))).first()[0]
+    listed = _listed(scores, contents, most, fit)
+    more = ["fit"] if fit is not None else []
     categories = scores.select("category_id").distinct().count()
     small = categories * sum(s[2] * WINDOWS[-1][1] + most for s in SOURCES) <= LISTED_ROWS
     bounded = rows.join(F.broadcast(listed) if small else listed, "category_id").where(F.col("place") <= F.col("_limit") + F.col("_n"))
@@ -187,6 +201,104 @@ def pools(candidates: DataFrame, today: str, target: int = POOL_TARGET, most: in
     return chosen.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= most).select("user_id", "content_id", "published_at", "confidence", "score", "sources", "place")
 
 
+def category_pools(scores: DataFrame, contents: DataFrame, users: DataFrame, exposed: DataFrame, fit: DataFrame, today: str, target: int = POOL_TARGET, most: int = POOL_MAX) -> DataFrame:
+    """The pools of ``pools`` over ``ranked_candidates``, with what users of a category share done once for the category.
+
+    A category's newest contents are one list with their places in the three sources; the lists have LISTED_ROWS rows at most in all and go to
+    the users, in Arrow batches. A user's rank of a content is its place less the number of contents seen before it, so that only the few seen ones
+    are looked at for each user, and no row is made before the pool's own. Users who have seen more than LIGHT contents
+    or have several categories, and all users where the lists would be too large to broadcast, are worked out by ``pools``.
+    """
+    seen = exposed.join(users.select("user_id"), "user_id", "left_semi").groupBy("user_id").agg(F.collect_set("content_id").alias("_seen"))
+    own = users.groupBy("user_id").agg(F.min("category_id").alias("category_id"), F.count("*").alias("_of")).join(seen, "user_id", "left")
+    light = (F.col("_of") == 1) & (F.coalesce(F.array_size("_seen"), F.lit(0)) <= LIGHT)
+    counts = own.agg(F.count_if(~light).alias("heavy"), F.coalesce(F.max(F.when(light, F.array_size("_seen"))), F.lit(0)).alias("most")).first()
+    categories = scores.select("category_id").distinct().count()
+    if categories * sum(s[2] * WINDOWS[-1][1] + counts.most for s in SOURCES) > LISTED_ROWS:
+        return pools(ranked_candidates(scores, contents, users, exposed, fit), today, target, most)
+    age = F.datediff(F.lit(today).cast("date"), F.col("published_at"))
+    merged = _listed(scores, contents, counts.most, fit).groupBy("category_id", "content_id", "published_at", "fit").agg(*(F.min(F.when(F.col("source_ord") == i + 1, F.col("place"))).alias(f"p{i + 1}") for i in range(3)))
+    # LISTED_ROWS rows at most
+    lists = merged.withColumn("age", age).orderBy("category_id", F.desc("published_at"), F.desc("content_id")).toArrow()
+    kinds = {c: kind for c, kind in merged.dtypes}
+    schema = f"user_id {dict(users.dtypes)['user_id']}, content_id {kinds['content_id']}, published_at {kinds['published_at']}, confidence double, score double, sources long, place long"
+    out = own.where(light).select("user_id", "category_id", "_seen").mapInArrow(_pool_kernel(lists, target, most), schema)
+    if counts.heavy:
+        heavy = users.join(own.where(~light).select("user_id"), "user_id", "left_semi")
+        out = out.unionByName(pools(ranked_candidates(scores, contents, heavy, exposed, fit), today, target, most))
+    return out
+
+
+class _List:
+    """A category's newest contents: places in the sources (NOWHERE if not in it), ages, and the order of days."""
+
+    NOWHERE = 1 << 30
+
+    def __init__(self, rows: pa.Table):
+        self.rows = rows.combine_chunks()
+        self.index = {v: k for k, v in enumerate(rows["content_id"].to_pylist())}
+        self.places = [rows[f"p{i}"].fill_null(self.NOWHERE).to_numpy() for i in (1, 2, 3)]
+        self.ages = rows["age"].fill_null(self.NOWHERE).to_numpy()
+        self.fit = rows["fit"].to_numpy(zero_copy_only=False).astype(bool)
+        days = rows["published_at"].to_pylist()
+        self.day = np.cumsum([k > 0 and days[k] != days[k - 1] for k in range(len(days))])
+
+
+def _pool_kernel(lists: pa.Table, target: int, most: int):
+    """The stages of ``pools`` for users in Arrow batches (user_id, category_id, _seen), on arrays of the category's list."""
+    last = len(WINDOWS) * len(SOURCES)
+    combos = [[bool(k >> i & 1) for i in range(3)] for k in range(8)]
+    totals = {at: np.array([round(sum(s[at] for s, u in zip(SOURCES, c, strict=True) if u), 4) for c in combos]) for at in (4, 3)}
+
+    def pool(of: _List, seen: list) -> tuple[np.ndarray, np.ndarray]:
+        gone = np.array([of.index[x] for x in seen if x in of.index], dtype=np.int64)
+        windows = []
+        for places, source in zip(of.places, SOURCES, strict=True):
+            ranks = places - np.searchsorted(np.sort(places[gone]), places) if len(gone) else places
+            w = np.full(len(places), 99)
+            for k, (days, times) in reversed(list(enumerate(WINDOWS))):
+                inside = ranks <= source[2] * times
+                w[inside & (of.ages <= days) if days is not None else inside] = k + 1
+            w[gone] = 99
+            windows.append(w)
+        stage = np.min([w * 3 - 2 + i for i, w in enumerate(windows)], axis=0)
+        reach = np.cumsum(np.bincount(stage[stage <= last], minlength=last + 1))
+        star = (int(np.argmax(reach >= target)) if reach[-1] >= target else last) if target > 0 else 1
+        first = stage <= star
+        stop = len(WINDOWS)
+        for w in range(-(-star // 3), len(WINDOWS)):
+            if np.count_nonzero(of.fit & (first | (windows[0] <= w))) >= target:
+                stop = w
+                break
+        chosen = np.flatnonzero(of.fit & (first | (windows[0] <= stop)))
+        used = (windows[0][chosen] <= stop) + 2 * (windows[1][chosen] * 3 - 1 <= star) + 4 * (windows[2][chosen] * 3 <= star)
+        order = np.lexsort((-totals[3][used], -totals[4][used], of.day[chosen]))[:most]
+        return chosen[order], used[order]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = {c: _List(lists.filter(pc.equal(lists["category_id"], c))) for c in lists["category_id"].unique().to_pylist() if c is not None}
+        for batch in batches:
+            categories, seen = batch.column("category_id").to_pylist(), batch.column("_seen").to_pylist()
+            for category in set(categories) & set(by):
+                of, users = by[category], [k for k, c in enumerate(categories) if c == category]
+                found = [pool(of, seen[k] or []) for k in users]
+                sizes = [len(at) for at, _ in found]
+                rows = of.rows.take(pa.array(np.concatenate([at for at, _ in found]), pa.int64()))
+                used = np.concatenate([u for _, u in found])
+                columns = [
+                    batch.column("user_id").take(pa.array(np.repeat(users, sizes), pa.int64())),
+                    rows["content_id"].combine_chunks(),
+                    rows["published_at"].combine_chunks(),
+                    pa.array(totals[4][used]),
+                    pa.array(totals[3][used]),
+                    pa.array((used & 1) + (used >> 1 & 1) + (used >> 2), pa.int64()),
+                    pa.array(np.concatenate([np.arange(1, n + 1) for n in sizes]), pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["user_id", "content_id", "published_at", "confidence", "score", "sources", "place"])
+
+    return run
+
+
 def diverse(scored: DataFrame, limit: int, key: str = "user_id") -> DataFrame:
     """REC16, WIN02/WIN03, TOP03/TOP04: the first limit^2 rows by score, later rows of a publisher fined, publishers capped, the first ``limit`` of the rest.
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import sequential as seq
+
 
 def first_by(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """FLT11/AGG22/SET01: the first row of each key in a given order."""
@@ -100,17 +102,14 @@ def fill_missing(table: DataFrame, found: DataFrame, key: str, column: str) -> D
 def get_or_create(names: DataFrame, table: DataFrame) -> DataFrame:
     """SNK06: id of each name: the lowest there is, else a new one above all, in the order of names.
 
-    New names are numbered within their first two characters, and these groups, a few thousand at most, by the
-    counts of those before; no task holds all names.
+    New names are numbered by a scan over slices of their order; no task holds all names, whatever they begin with.
     """
     known = table.groupBy("name").agg(F.min("id").alias("id"))
     top = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     asked = names.select("name").distinct().join(known, "name", "left")
-    fresh = asked.where("id is null").withColumn("_p", F.substring(F.coalesce("name", F.lit("")), 1, 2))
-    groups = fresh.groupBy("_p").agg(F.count("*").alias("_k"))
-    before = groups.select("_p", (F.sum("_k").over(Window.orderBy("_p")) - F.col("_k")).alias("_before"))
-    numbered = fresh.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy("name"))).join(before, "_p")
-    created = numbered.join(F.broadcast(top)).select("name", (F.col("top") + F.col("_before") + F.col("_n")).cast("long").alias("id"), F.lit(True).alias("created"))
+    fresh = asked.where("id is null").select("name", F.lit(1).alias("_all"))
+    numbered = seq.positions(fresh, ["_all"], ["name"], "_n")
+    created = numbered.join(F.broadcast(top)).select("name", (F.col("top") + F.col("_n") + 1).cast("long").alias("id"), F.lit(True).alias("created"))  # top is one row
     return asked.where("id is not null").select("name", F.col("id").cast("long").alias("id"), F.lit(False).alias("created")).union(created)
 
 
@@ -151,19 +150,22 @@ def keyed_merge(parts: list[DataFrame], key: str) -> DataFrame:
 def backfill_status(rows: DataFrame, existing: DataFrame, force: bool = False, fallback: tuple[str, ...] = ()) -> DataFrame:
     """BKF01/FLT12/FLT13/AGG20: status of each row: INVALID, EXISTS, DUPLICATE or CREATED. Rows: row_id, title, content, url.
 
-    Fallback home URLs (compared without case and outer slashes) are never duplicates.
+    Fallback home URLs (compared without case and outer slashes) are never duplicates. row_id tells rows apart.
     """
     norm = F.regexp_replace(F.lower(F.trim("url")), "^/+|/+$", "")
     home = norm.isin(*fallback) if fallback else F.lit(False)
     blank = reduce(lambda a, b: a | b, (F.trim(F.coalesce(F.col(c), F.lit(""))) == "" for c in ("title", "content", "url")))
-    there = existing.select(F.col("url").alias("_u")).where("_u is not null").distinct().withColumn("_there", F.lit(True))
-    joined = rows.join(there, F.col("url") == F.col("_u"), "left").withColumn("_blank", blank).withColumn("_home", home)
-    nth = F.row_number().over(Window.partitionBy("_blank", "url").orderBy("row_id"))
+    urls = rows.select("row_id", "url", blank.alias("_blank"), home.alias("_home")).where("not _blank and not _home").select("row_id", "url")
+    # ids and URLs only: a URL that very many rows have is split, by adaptive execution here and by slices there
+    there = urls.join(existing.select("url"), "url", "left_semi").select(F.col("row_id").alias("_id"), F.lit(True).alias("_there"), F.lit(False).alias("_again"))
+    again = seq.positions(urls, ["url"], ["row_id"]).where("pos > 0").select("row_id", F.lit(False), F.lit(True))
+    flags = there.union(again).groupBy("_id").agg(F.bool_or("_there").alias("_there"), F.bool_or("_again").alias("_again"))
+    joined = rows.join(flags, F.col("row_id") == F.col("_id"), "left").withColumn("_blank", blank).withColumn("_home", home)
     skip = F.lit(force)
     status = (
         F.when(F.col("_blank"), "INVALID")
         .when(~skip & ~F.col("_home") & F.coalesce("_there", F.lit(False)), "EXISTS")
-        .when(~F.col("_home") & (nth > 1), "DUPLICATE")
+        .when(~F.col("_home") & F.coalesce("_again", F.lit(False)), "DUPLICATE")
         .otherwise("CREATED")
     )
     return joined.withColumn("status", status).select(*rows.columns, "status")

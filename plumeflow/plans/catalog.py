@@ -472,7 +472,7 @@ POOL = CAND + ", " + FITS + """, st AS (SELECT *, CASE WHEN rank <= l AND DATE '
 
 
 def _pool(t: Tables) -> DataFrame:
-    return rec.pools(_candidates(t), AS_OF)
+    return rec.category_pools(fx.category_score(t), fx.contents(t), fx.users(t), fx.exposed(t), rec.fit_by_category(fx.category_score(t)), AS_OF)
 
 
 @query("rec03_pool", POOL + " SELECT * FROM pool", CAND_VIEWS, dates=("published_at",))

@@ -168,3 +168,24 @@ def test_digests(spark, most):
         out.setdefault(x.group_id, []).append((x.chunk, x.n_items, x.title, x.content))
     want = {g: plain_digests(items, 100, most) for g, items in groups.items() if sum(len(x) < dg.SHORT for _, x, _ in items) >= dg.MIN_SHORT}
     assert out == {g: v for g, v in want.items() if v} and (out or most == 130)
+
+
+def test_pools_by_category(spark, monkeypatch, slices):
+    """The pools that share a category's list equal those worked out row by row, on either side of the bound of seen contents."""
+    if slices > 1:
+        pytest.skip("once is enough")
+    from paths import SF
+
+    from plumeflow.operators import recommend as rec
+    from plumeflow.plans import fixtures as fx
+
+    t = fx.Tables(spark, SF)
+    users = fx.users(t).where("user_id % 5 = 0").union(fx.users(t).where("user_id % 50 = 0").withColumn("category_id", F.col("category_id") % 5 + 1))
+    given = fx.category_score(t), fx.contents(t), users, fx.exposed(t)
+    fit = rec.fit_by_category(given[0])
+    monkeypatch.setattr(rec, "LIGHT", 9)
+    monkeypatch.setattr(rec, "SOURCES", (("a", "total_score", 14, 1.0, 0.85), ("b", "keyword_score", 10, 1.0, 0.75), ("c", "provider_score", 6, 0.7, 0.55)))
+    for target, most in ((12, 20), (0, 5), (10_000, 50)):
+        want = rec.pools(rec.ranked_candidates(*given, fit), fx.AS_OF, target, most)
+        got = rec.category_pools(*given, fit, fx.AS_OF, target, most)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
