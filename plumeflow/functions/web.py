@@ -170,63 +170,6 @@ def page_image(page: str | None, base: str = "") -> str | None:
     return urljoin(base, src.strip()) if src else None
 
 
-# What marks an image that shows nothing of its item.
-DECORATIVE = ("app-button", "avatar", "badge", "button", "generic-app-button", "icon", "logo", "pixel", "publish-button", "spacer", "tracking", "transparent")
-IMAGE_FIELDS = ("src", "data-src", "data-original", "data-lazy-src")
-
-
-def decorative(img: Node) -> bool:
-    """HTM02: an image that shows nothing of the item: by a word in its fields, or with both sides known and one of 4 pixels at most."""
-    said = " ".join(img.attrs.get(k, "") for k in ("src", "alt", "class", "width", "height")).lower()
-    sides = [int(v) for k in ("width", "height") if (v := img.attrs.get(k, "")).isdigit()]
-    return any(w in said for w in DECORATIVE) or (len(sides) == 2 and min(sides) <= 4)
-
-
-def image_address(img: Node, base: str) -> str | None:
-    """The first field of an image that makes an http(s) address; of a source set, its first entry."""
-    for raw in (*(img.attrs.get(k, "") for k in IMAGE_FIELDS), img.attrs.get("srcset", "").split(",")[0].strip().split(" ")[0]):
-        raw = raw.strip()
-        if raw and not raw.lower().startswith("data:"):
-            full = urljoin(base, raw)
-            if full.startswith(("http://", "https://")):
-                return full
-    return None
-
-
-def first_image(node: Node, base: str) -> str | None:
-    images = [node] if node.tag == "img" else node.all("img")
-    return next((u for i in images if not decorative(i) and (u := image_address(i, base))), None)
-
-
-def nearest_image(node: Node, base: str = "", up: int = 8, back: int = 3) -> str | None:
-    """HTM02: the image nearest to a node: in it, among the siblings before it, then the same for its ancestors."""
-    at: Node | None = node
-    for _ in range(up + 1):
-        if at is None:
-            return None
-        near = [at]
-        if at.parent is not None:
-            siblings = [c for c in at.parent.children if isinstance(c, Node)]
-            i = next(k for k, c in enumerate(siblings) if c is at)
-            near += reversed(siblings[max(0, i - back) : i])
-        if found := next((u for n in near if (u := first_image(n, base))), None):
-            return found
-        at = at.parent
-    return None
-
-
-def content_image(page: str | None, base: str = "") -> str | None:
-    """HTM02: the first image within an article, the main part, or an element of class body, markup or post."""
-    root = tree(page)
-    for img in root.all("img"):
-        n = img.parent
-        while n is not None and not (n.tag in ("article", "main") or {"body", "markup", "post"} & set(n.attrs.get("class", "").split())):
-            n = n.parent
-        if n is not None and not decorative(img) and (u := image_address(img, base)):
-            return u
-    return None
-
-
 @F.pandas_udf(T.StringType())
 def normal_url_udf(x: pd.Series) -> pd.Series:
     return x.map(normal_url)

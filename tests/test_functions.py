@@ -70,12 +70,6 @@ def test_pages():
     assert web.article(page) == "A paragraph that is long enough."
     assert web.page_image(page, "https://e.com/a") == "https://e.com/t.png"
     assert web.links(page, "https://e.com/") == [("https://e.com/x?utm_a=1", "X")]
-    root = web.tree("<div><img src='logo.png'><img src='a.png'><h2><a>t</a></h2></div>")
-    assert web.nearest_image(next(root.all("a")), "https://e.com/x/") == "https://e.com/x/a.png"
-    assert web.nearest_image(next(root.all("a"))) is None  # no address without a base
-    root = web.tree("<div><img src='a.png' width='3' height='3'><img src='data:x' data-original='/b.png' width='3'><p><a>t</a></p></div>")
-    assert web.nearest_image(next(root.all("a")), "https://e.com") == "https://e.com/b.png"
-    assert web.content_image("<img src='/x.png'><article><img src='/logo.png'><img srcset='/s.png 2x, /t.png'></article>", "https://e.com/") == "https://e.com/s.png"
     assert web.article(None) is None and web.links("") == []
 
 
