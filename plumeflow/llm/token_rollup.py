@@ -3,9 +3,11 @@
 A batch is a table of events: inserts (+1 document, +tokens), deletes (-1,
 -tokens) and revisions of a count (0, new - old).  ``commit`` sums a batch by
 key, adds the sums to the totals of the last version and writes the new totals, a row
-for each key.  A version exists once its manifest does: a file that names the totals and
-the batches in them, and that only one writer can create. Who comes second adds the same
-sums to the newer totals; a batch that a manifest names is not applied again, whoever retries it.
+for each key.  A version exists once its manifest does: a small file that names the totals and
+the last batches in them, written under another name and renamed into place, which only one writer can do for a version. Who comes second adds the same
+sums to the newer totals; a batch that is committed is not applied again, whoever retries it.
+Ids of batches before the last ones lie in a table in buckets, so that neither a manifest nor a look-up grows with all history.
+A manifest that cannot be read (of a store whose renames are not whole, say) is passed over: its version never was.
 So totals are kept, not summed anew from all history, and a reader sees whole batches.
 Totals before the last but one are deleted.
 
@@ -20,6 +22,8 @@ from __future__ import annotations
 
 import base64
 import json
+import random
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -29,10 +33,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources import shared
 from .storage import bounded_batches, drop, settle
 from .textkit import PLAIN_WORD, as_bytes, chunks, released, words
 
 KEYS = ["source", "lang", "tokenizer"]
+#: Batch ids in a manifest, after which they go to the table of older ones; its buckets; and tries of a commit.
+RECENT, BUCKETS, ATTEMPTS = 100, 64, 20
 SUMS = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
 
 
@@ -51,61 +58,84 @@ class Ledger:
         self._at = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _latest(self) -> dict:
-        """The last manifest; before the first, version 0 without totals."""
-        folder = self._at(f"{self.path}/manifest")
-        if not self._fs.exists(folder):
-            return {"version": 0, "totals": None, "batches": []}
-        last = max((s.getPath().getName() for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json")), default=None)
-        if last is None:
-            return {"version": 0, "totals": None, "batches": []}
-        stream = self._fs.open(self._at(f"{self.path}/manifest/{last}"))
+    def _names(self) -> list[str]:
+        """Manifests, the newest first."""
+        return [n for n in reversed(shared.names(self.spark, f"{self.path}/manifest")) if n.endswith(".json") and n[:1] not in "._"]
+
+    def _read(self, name: str) -> dict | None:
+        """A manifest; None if it is torn."""
+        stream = self._fs.open(self._at(f"{self.path}/manifest/{name}"))
         try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            found = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except ValueError:
+            return None
         finally:
             stream.close()
+        return found if isinstance(found, dict) and {"totals", "before", "recent"} <= set(found) else None
 
-    def _publish(self, manifest: dict) -> bool:
-        """Creates the manifest of a version; False if another writer has. It is created and written in one go, and no larger than a block."""
-        path = self._at(f"{self.path}/manifest/{manifest['version']:012d}.json")
-        try:
-            stream = self._fs.create(path, False)
-        except Exception:
-            if self._fs.exists(path):
-                return False
-            raise
-        stream.write(bytearray(json.dumps(manifest).encode()))
-        stream.close()
-        return True
+    def _latest(self) -> dict:
+        """The newest manifest that can be read, with the number of the next one; before the first, one without totals."""
+        names = self._names()
+        following = int(names[0].removesuffix(".json")) + 1 if names else 1
+        for name in names:
+            if found := self._read(name):
+                return found | {"next": following}
+        return {"totals": None, "before": None, "recent": [], "next": following}
+
+    def _has(self, manifest: dict, batch_id: str) -> bool:
+        """True if a batch was committed by this manifest or before: it is among the recent ones, or in its bucket of the table of older ones."""
+        if batch_id in manifest["recent"]:
+            return True
+        folder = f"{self.path}/batches"
+        if not shared.exists(self.spark, folder):
+            return False
+        rows = self.spark.read.schema("batch_id string, bucket int").parquet(folder)
+        return not rows.where((F.col("bucket") == self._bucket(F.lit(batch_id))) & (F.col("batch_id") == batch_id)).isEmpty()
+
+    @staticmethod
+    def _bucket(batch_id: Column) -> Column:
+        return F.pmod(F.hash(batch_id), F.lit(BUCKETS)).cast("int")
+
+    def _folded(self, recent: list[str]) -> list[str]:
+        """recent, or, when it has become long, an empty list, its ids being added to the table. They are committed, so that adding them twice does no harm."""
+        if len(recent) < RECENT:
+            return recent
+        rows = self.spark.createDataFrame([(b,) for b in recent], "batch_id string").withColumn("bucket", self._bucket(F.col("batch_id")))
+        rows.repartition(1).write.mode("append").partitionBy("bucket").parquet(f"{self.path}/batches")
+        return []
 
     def committed(self, batch_id: str) -> bool:
-        return batch_id in self._latest()["batches"]
+        return self._has(self._latest(), batch_id)
 
     def commit(self, batch_id: str, events: DataFrame, seen: dict | None = None) -> bool:
         """events: source, lang, tokenizer, op, n_tokens, old_tokens, and times (1) if they stand for several. False if the batch was there already.
 
-        ``seen`` is the manifest that the writer starts from, the last one by default.
+        ``seen`` is the manifest that the writer starts from, the last one by default. A writer that others are ahead of
+        tries again, a little later each time, and gives up after ATTEMPTS.
         """
         last = seen or self._latest()
-        if batch_id in last["batches"]:
+        if self._has(last, batch_id):
             return False
         docs, tokens = signed(F.col("op"), F.col("n_tokens"), F.col("old_tokens"))
         times = F.coalesce(F.col("times"), F.lit(1)) if "times" in events.columns else F.lit(1)
         sums = settle(events.groupBy(*KEYS).agg(F.sum(docs * times).cast("long").alias("n_docs"), F.sum(tokens * times).cast("long").alias("n_tokens")), "sums")
-        while True:
-            path = f"{self.path}/totals/{uuid.uuid4().hex}"
-            self._merged(last, sums).write.parquet(path)
-            if self._publish({"version": last["version"] + 1, "totals": path, "before": last["totals"], "batches": [*last["batches"], batch_id]}):
-                break
-            self._fs.delete(self._at(path), True)  # another writer was first
-            last = self._latest()
-            if batch_id in last["batches"]:
-                drop(sums)
-                return False
-        drop(sums)
-        if last.get("before"):
-            self._fs.delete(self._at(last["before"]), True)
-        return True
+        try:
+            for attempt in range(ATTEMPTS):
+                path = f"{self.path}/totals/{uuid.uuid4().hex}"
+                self._merged(last, sums).write.parquet(path)
+                manifest = {"version": last["next"], "totals": path, "before": last["totals"], "recent": [*self._folded(last["recent"]), batch_id]}
+                if shared.publish(self.spark, f"{self.path}/manifest/{last['next']:012d}.json", json.dumps(manifest)):
+                    if last["before"]:
+                        self._fs.delete(self._at(last["before"]), True)
+                    return True
+                self._fs.delete(self._at(path), True)  # another writer was first
+                time.sleep(random.uniform(0, min(2**attempt, 32) / 20))
+                last = self._latest()
+                if self._has(last, batch_id):
+                    return False
+        finally:
+            drop(sums)
+        raise RuntimeError(f"{ATTEMPTS} other commits came before that of batch {batch_id}")
 
     def _merged(self, manifest: dict, sums: DataFrame | None = None) -> DataFrame:
         rows = self.spark.read.schema(SUMS).parquet(manifest["totals"]) if manifest["totals"] else self.spark.createDataFrame([], SUMS)

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -373,6 +374,35 @@ def test_two_writers(spark):
     assert [(r.n_docs, r.n_tokens) for r in ledger.totals().collect()] == [(6, 26)]
 
 
+def test_ledger_after_torn_manifests_and_lost_writers(spark, monkeypatch):
+    monkeypatch.setattr(token_rollup, "RECENT", 3)
+    path = f"{shared_dir(spark)}/ledger3"
+    ledger = token_rollup.Ledger(spark, path)
+    rows = lambda n: spark.createDataFrame([("s", "en", "t", "insert", n, None)], "source string, lang string, tokenizer string, op string, n_tokens long, old_tokens long")
+    total, done = 0, []
+    local = Path(path.removeprefix("file:"))
+    for k in range(9):
+        if k == 4:
+            for torn in (5, 6):  # made and never written, as by a writer that was lost
+                (local / "manifest" / f"{torn:012d}.json").write_text("" if torn == 5 else '{"version": 6, "tot')
+        if k == 7:
+            with monkeypatch.context() as m:  # a writer that is lost before it publishes
+                m.setattr(token_rollup.shared, "publish", lambda *a: (_ for _ in ()).throw(ConnectionError()))
+                with pytest.raises(ConnectionError):
+                    ledger.commit("lost", rows(1000))
+        assert ledger.commit(f"b{k}", rows(k))
+        total, done = total + k, [*done, f"b{k}"]
+        assert [(r.n_docs, r.n_tokens) for r in ledger.totals().collect()] == [(k + 1, total)]
+    assert all(ledger.committed(b) and not ledger.commit(b, rows(1)) for b in done) and not ledger.committed("lost")
+    assert all(len(ledger._read(n)["recent"]) <= 3 for n in ledger._names() if ledger._read(n))
+    with monkeypatch.context() as m:  # others are always first
+        m.setattr(token_rollup.shared, "publish", lambda *a: False)
+        m.setattr(token_rollup, "ATTEMPTS", 2)
+        with pytest.raises(RuntimeError):
+            ledger.commit("late", rows(1))
+    assert ledger.commit("lost", rows(1000)) and ledger.totals().first().n_tokens == total + 1000
+
+
 def test_token_totals_of_repeated_rows(spark, registered, tmp_path):
     rows = [(1, "one two", "s"), (1, "one two", "s"), (1, "one two", "s"), (2, "three!!", "s"), (None, "three!!", "t"), (3, None, "s"), (1, "four", None)]
     spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'en' as lang", "1 as n_chars").write.parquet(str(tmp_path / "documents.parquet"))
