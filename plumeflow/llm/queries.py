@@ -227,11 +227,13 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents
   UNION ALL {_duck_spans("endpoint", secrets.ENDPOINT)})
 ), n AS (SELECT * FROM p WHERE k IN ('access', 'ident')
 ), v AS (SELECT * FROM p WHERE k IN ('assign', 'hex', 'value')
-), b AS (
-  SELECT n.doc_id, greatest(n.s, v.s) - 400 AS lo, least(n.e, v.e) AS hi FROM n JOIN v ON n.doc_id = v.doc_id AND n.s - 400 <= v.e AND v.s - 400 <= n.e
+), w AS (
+  SELECT i.doc_id, i.k, i.s, i.e FROM n i JOIN v ON v.doc_id = i.doc_id AND i.s - 400 <= v.e AND v.s - 400 <= i.e AND (v.e <= i.s OR i.e <= v.s) WHERE i.k = 'ident'
+  UNION SELECT v.doc_id, v.k, v.s, v.e FROM v JOIN n ON n.doc_id = v.doc_id AND n.s - 400 <= v.e AND v.s - 400 <= n.e AND (v.e <= n.s OR n.e <= v.s) WHERE v.k = 'value'
+  UNION SELECT u.doc_id, u.k, u.s, u.e FROM p u JOIN n ON n.doc_id = u.doc_id AND n.s - 400 <= u.e AND u.s - 400 <= n.e AND (u.e <= n.s OR n.e <= u.s)
+    JOIN v ON v.doc_id = u.doc_id AND v.s - 400 <= u.e AND u.s - 400 <= v.e AND (u.e <= v.s OR v.e <= u.s) AND n.s - 400 <= v.e AND v.s - 400 <= n.e AND (v.e <= n.s OR n.e <= v.s) WHERE u.k = 'endpoint'
 ), r AS (
-  SELECT doc_id, k, s, e FROM p WHERE k IN ('assign', 'access', 'hex')
-  UNION ALL SELECT DISTINCT p.doc_id, k, s, e FROM p JOIN b ON b.doc_id = p.doc_id AND p.s - 400 <= b.hi AND b.lo <= p.e WHERE k NOT IN ('assign', 'access', 'hex')
+  SELECT doc_id, k, s, e FROM p WHERE k IN ('assign', 'access', 'hex') UNION ALL SELECT doc_id, k, s, e FROM w
 ), o AS (
   SELECT *, list_position(['assign', 'access', 'hex', 'ident', 'value', 'endpoint'], k) AS o, k || ':' || s || ':' || e AS x FROM r
 ), a AS (

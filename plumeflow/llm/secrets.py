@@ -9,14 +9,13 @@ Base spans (always reported): ``assign``, ``access`` and ``hex``.
 
 Linking.  Three kinds of weak candidates are worth nothing alone: ``ident``
 (an account or client name), ``value`` (a long run of base64 letters) and
-``endpoint`` (a URL).  Two parts are near where the gap between them is
-``scope`` code points at most, whatever their lengths and wherever they stand.  A weak identifier is reported when a
-secret (``assign``, ``hex`` or ``value``) is near, a value when an access
+``endpoint`` (a URL).  Two parts are near where they are disjoint and the gap between them is
+``scope`` code points at most, whatever their lengths and wherever they stand; a string is never a part that supports itself.  A weak
+identifier is reported when a secret (``assign``, ``hex`` or ``value``) is near, a value when an access
 identifier (``access`` or ``ident``) is, and an endpoint when an identifier
-and a secret are that are also near each other.  For that each part reaches
-from ``scope`` before its start to its end: parts are near where their reaches
-meet, and three are near each other where their reaches have a common point.
-Everything happens within a row, so nothing is shuffled and no text is copied.
+and a secret are that are also near each other.  The parts of a text are joined by one sort of their starts and
+ends and running extremes, which is linear in their number; texts without complementary parts take no part in it.
+Only spans are shuffled, never texts.
 
 Defined results.  A null text counts as empty: no spans, and the digest of
 the empty string.  Rows are independent; repeated rows get equal results.
@@ -25,8 +24,13 @@ Only the two named columns are read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .storage import settle
 
 #: The patterns of the contract, and those of weak candidates.
 KEYWORDS = "([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
@@ -73,39 +77,47 @@ def _long_enough(text: Column, pattern: str, group: int, least: int) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m: F.length(m) >= least)
 
 
-def _reach(part: Column, scope: int) -> Column:
-    """Two parts have a gap of ``scope`` code points at most where their reaches meet."""
-    return F.struct((part["s"] - scope).alias("lo"), part["e"].alias("hi"))
+def _named(spans: Column, kind: str) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("o"), x["e"].alias("e"), F.lit(kind).alias("k")))
 
 
-def _meet(a: Column, b: Column) -> Column:
-    return (a["lo"] <= b["hi"]) & (b["lo"] <= a["hi"])
+def _joined(spans: Column) -> Column:
+    return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", x["k"], x["s"].cast("string"), x["e"].cast("string"))), ",")
 
 
-def _reached(parts: Column, scope: int) -> Column:
-    """The union of the parts' reaches, as intervals in order."""
-    none = F.array().cast("array<struct<lo:int,hi:int>>")
-    return F.aggregate(
-        F.array_sort(F.transform(parts, lambda p: _reach(p, scope))),
-        F.struct(none.alias("out"), F.lit(0).alias("lo"), F.lit(-(1 << 30)).alias("hi")),
-        lambda a, x: F.when(x["lo"] <= a["hi"], F.struct(a["out"].alias("out"), a["lo"].alias("lo"), F.greatest(a["hi"], x["hi"]).alias("hi"))).otherwise(
-            F.struct(F.array_append(a["out"], F.struct(a["lo"].alias("lo"), a["hi"].alias("hi"))).alias("out"), x["lo"].alias("lo"), x["hi"].alias("hi"))
-        ),
-        lambda a: F.filter(F.array_append(a["out"], F.struct(a["lo"].alias("lo"), a["hi"].alias("hi"))), lambda x: x["hi"] >= 0),
+def _swept(parts: DataFrame, before: dict[str, Column], after: dict[str, Column]) -> DataFrame:
+    """parts with, for each name in ``before``, the largest value of the parts of its text that end where this one starts or earlier, and for each in ``after`` the least of those that start where it ends or later.
+
+    One sort of the starts and ends of a text gives all of them.
+    """
+    names = parts.columns
+    # at one place ends come before starts: parts that touch are disjoint
+    rows = parts.select("*", *(v.alias(f"_{k}") for k, v in {**before, **after}.items()), F.explode(F.array(F.lit(0), F.lit(1))).alias("_start"))
+    order = Window.partitionBy("place").orderBy(F.when(F.col("_start") == 0, F.col("e")).otherwise(F.col("s")), "_start")
+    back, on = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    swept = rows.select(
+        *names,
+        "_start",
+        *(F.max(F.when(F.col("_start") == 0, F.col(f"_{k}"))).over(back).alias(k) for k in before),
+        *(F.min(F.when(F.col("_start") == 1, F.col(f"_{k}"))).over(on).alias(k) for k in after),
     )
+    return swept.groupBy(*names).agg(*(F.max(F.when(F.col("_start") == 1, F.col(k))).alias(k) for k in before), *(F.max(F.when(F.col("_start") == 0, F.col(k))).alias(k) for k in after))
 
 
-def _common(left: Column, right: Column) -> Column:
-    """What lies in both of two unions."""
-    return F.flatten(F.transform(left, lambda a: F.transform(F.filter(right, lambda b: _meet(a, b)), lambda b: F.struct(F.greatest(a["lo"], b["lo"]).alias("lo"), F.least(a["hi"], b["hi"]).alias("hi")))))
+def _linked(parts: DataFrame, scope: int) -> DataFrame:
+    """The weak ones among parts (place, s, o, e, k) that complementary ones are near and disjoint to."""
+    name, secret = F.col("k").isin("access", "ident"), F.col("k").isin("assign", "hex", "value")
+    one = _swept(parts, {"name_before": F.when(name, F.col("e")), "secret_before": F.when(secret, F.col("e"))}, {"name_after": F.when(name, F.col("s")), "secret_after": F.when(secret, F.col("s"))})
+    # of the pairs that lie before an endpoint the one whose first part ends last, and of those after it the one whose second part starts first
+    pair_before = F.when(name, F.col("secret_before")).when(secret, F.col("name_before"))
+    pair_after = F.when(name, F.col("secret_after")).when(secret, F.col("name_after"))
+    two = _swept(one, {"pair_before": pair_before}, {"pair_after": pair_after})
 
+    def near(kind: str) -> Column:
+        return (F.col(f"{kind}_before") >= F.col("s") - scope) | (F.col(f"{kind}_after") <= F.col("e") + scope)
 
-def _named(spans: Column, kind: str) -> Column:
-    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("o"), x["e"].alias("e"), F.lit(kind).alias("k")))
-
-
-def _joined(spans: Column) -> Column:
-    return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", x["k"], x["s"].cast("string"), x["e"].cast("string"))), ",")
+    around = (F.col("secret_after") - F.col("name_before") <= scope) | (F.col("name_after") - F.col("secret_before") <= scope)
+    return two.where(F.when(F.col("k") == "ident", near("secret")).when(F.col("k") == "value", near("name")).when(F.col("k") == "endpoint", F.coalesce(near("pair"), F.lit(False)) | F.coalesce(around, F.lit(False))))
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 400) -> DataFrame:
@@ -121,12 +133,15 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         _spans(text, VALUE, None).alias("value"),
         _spans(text, ENDPOINT, None).alias("endpoint"),
     )
-    found = found.withColumns({"_names": _reached(F.concat("access", "ident"), scope), "_secrets": _reached(F.concat("assign", "hex", "value"), scope)})
-    found = found.withColumn("_full", _common(F.col("_names"), F.col("_secrets")))
-    for kind in ("ident", "value", "endpoint"):
-        found = found.withColumn(kind, F.filter(kind, lambda p: F.exists("_full", lambda x: _meet(_reach(p, scope), x))))
+    # spans only, no text; the place of a row is written with it
+    found = settle(found.withColumn("place", F.monotonically_increasing_id()), "spans")
+    some = [reduce(lambda a, b: a | b, (F.size(k) > 0 for k in kinds)) for kinds in (("access", "ident"), ("assign", "hex", "value"), ("ident", "value", "endpoint"))]
+    every = F.concat(*(_named(F.col(k), k) for k in KINDS))
+    parts = found.where(some[0] & some[1] & some[2]).select("place", F.explode(every).alias("p")).select("place", "p.s", "p.o", "p.e", "p.k")
+    linked = _linked(parts, scope).groupBy("place").agg(F.collect_list(F.struct("s", "o", "e", "k")).alias("weak"))
     base = F.concat(*(_named(F.col(k), k) for k in KINDS[:3]))
-    weak = F.concat(*(_named(F.col(k), k) for k in KINDS[3:]))
+    weak = F.coalesce("weak", F.array().cast("array<struct<s:int,o:int,e:int,k:string>>"))
+    found = found.join(linked, "place", "left")
     return found.select(
         "doc_id",
         *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]),

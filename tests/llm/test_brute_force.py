@@ -538,3 +538,45 @@ def test_pipeline_stages(spark):
             assert ids == set(rest) - gone
     out = corpus_pipeline.STAGES[-1][1](spark, kept, SF_SMALL)
     assert {r.doc_id for r in out.collect()} == {r.doc_id for r in kept.collect()}
+
+
+def plain_links(parts, scope=400):
+    """Weak parts that disjoint complementary ones are near, by looking at all pairs and triples."""
+    names, values = [p for p in parts if p[0] in ("access", "ident")], [p for p in parts if p[0] in ("assign", "hex", "value")]
+
+    def near(a, b):
+        return (a[2] <= b[1] and b[1] - a[2] <= scope) or (b[2] <= a[1] and a[1] - b[2] <= scope)
+
+    for p in parts:
+        if (
+            (p[0] == "ident" and any(near(p, v) for v in values))
+            or (p[0] == "value" and any(near(p, n) for n in names))
+            or (p[0] == "endpoint" and any(near(p, n) and near(p, v) and near(n, v) for n in names for v in values))
+        ):
+            yield p
+
+
+def test_links_of_disjoint_parts(spark):
+    kinds = list(secrets.KINDS)
+    random.seed(11)
+    texts = {t: sorted({(kinds[(k := random.randrange(6))], s := random.randrange(60), s + random.randint(1, 12)) for _ in range(random.randint(2, 9))}) for t in range(300)}
+    rows = spark.createDataFrame([(t, s, kinds.index(k), e, k) for t, parts in texts.items() for k, s, e in parts], "place long, s int, o int, e int, k string")
+    got = {}
+    for r in secrets._linked(rows, 6).collect():
+        got.setdefault(r.place, set()).add((r.k, r.s, r.e))
+    assert got == {t: found for t, parts in texts.items() if (found := set(plain_links(parts, 6)))}
+
+
+def test_a_string_does_not_support_itself(spark):
+    texts = ["AKIA" + "ABCDEFGHIJKLMNOPQRSTUVWX0123456789ABCDEFGHIJKLMN", "login = " + "Abcdefgh" * 5, "https://h.example.com/" + "Abcdefgh" * 6 + "?account=joe", "login = joe password = abcdef12 https://x.example.com"]
+    out = [secrets.secret_spans(spark.createDataFrame([(0, t)], "doc_id long, text string")).first() for t in texts]
+    assert [r.n_linked for r in out] == [0, 0, 2, 2] and "endpoint" not in out[2].spans and [r.n_access for r in out] == [1, 0, 0, 0]
+
+
+def test_very_many_matches_in_one_text(spark):
+    import time
+
+    text = "".join(f"login = user{i} and then password = secret{i:06d} at https://h{i}.example.com ; " for i in range(5_000))
+    began = time.perf_counter()
+    r = secrets.secret_spans(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r.n_assign, r.n_linked) == (5_000, 10_000) and time.perf_counter() - began < 30
