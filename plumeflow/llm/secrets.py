@@ -13,7 +13,7 @@ Linking.  Three kinds of weak candidates are worth nothing alone: ``ident``
 ``scope`` code points at most, whatever their lengths and wherever they stand; a string is never a part that supports itself.  A weak
 identifier is reported when a secret (``assign``, ``hex`` or ``value``) is near, a value when an access
 identifier (``access`` or ``ident``) is, and an endpoint when an identifier
-and a secret are that are also near each other.  The parts of a text are joined by one sort of their starts and
+and a secret are that are also near each other.  The parts of a text are joined by sorts of their starts and
 ends and running extremes, which is linear in their number; texts without complementary parts take no part in it.
 Only spans are shuffled, never texts.
 
@@ -44,14 +44,18 @@ KINDS = ("assign", "access", "hex", "ident", "value", "endpoint")
 LEAF = 128
 
 
-def _spans(text: Column, pattern: str, least: Column | None) -> Column:
-    """Spans (s, e, keep) of the leftmost non-overlapping matches; ``least`` tells for each match whether it is kept."""
+def _matches(text: Column, pattern: str, least: Column | None) -> Column:
+    """(g, m, k) of the leftmost non-overlapping matches: length of the gap before a match, its own length, and whether it is kept, which ``least`` tells."""
     gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
     found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.length(m))
     keeps = least if least is not None else F.transform(found, lambda m: F.lit(True))
-    n = F.size(found)
-    parts = F.arrays_zip(F.slice(gaps, 1, n).alias("g"), found.alias("m"), keeps.alias("k"))
-    leaves = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / LEAF).cast("int"), F.lit(0))), lambda i: F.slice(parts, i * LEAF + 1, LEAF))
+    zipped = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("g"), found.alias("m"), keeps.alias("k"))
+    return F.when(F.rlike(text, F.lit(pattern)), zipped).otherwise(F.array().cast("array<struct<g:int,m:int,k:boolean>>"))
+
+
+def _placed(parts: Column) -> Column:
+    """Spans (s, e, k) of the matches that are kept. parts has to be a column that is there already: it is looked up for each leaf."""
+    leaves = F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(parts) - 1) / LEAF).cast("int"), F.lit(0))), lambda i: F.slice(parts, i * LEAF + 1, LEAF))
     empty = F.array().cast("array<struct<s:int,e:int,k:boolean>>")
 
     def within(leaf: Column) -> Column:
@@ -70,7 +74,7 @@ def _spans(text: Column, pattern: str, least: Column | None) -> Column:
         ),
         lambda a: F.flatten(a["out"]),
     )
-    return F.filter(F.when(F.rlike(text, F.lit(pattern)), shifted).otherwise(empty), lambda x: x["k"])
+    return F.filter(shifted, lambda x: x["k"])
 
 
 def _long_enough(text: Column, pattern: str, group: int, least: int) -> Column:
@@ -88,13 +92,14 @@ def _joined(spans: Column) -> Column:
 def _swept(parts: DataFrame, before: dict[str, Column], after: dict[str, Column]) -> DataFrame:
     """parts with, for each name in ``before``, the largest value of the parts of its text that end where this one starts or earlier, and for each in ``after`` the least of those that start where it ends or later.
 
-    One sort of the starts and ends of a text gives all of them.
+    A sort of the starts and ends of a text in either direction gives all of them.
     """
     names = parts.columns
     # at one place ends come before starts: parts that touch are disjoint
     rows = parts.select("*", *(v.alias(f"_{k}") for k, v in {**before, **after}.items()), F.explode(F.array(F.lit(0), F.lit(1))).alias("_start"))
-    order = Window.partitionBy("place").orderBy(F.when(F.col("_start") == 0, F.col("e")).otherwise(F.col("s")), "_start")
-    back, on = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    at = F.when(F.col("_start") == 0, F.col("e")).otherwise(F.col("s"))
+    # frames that reach back only, in either order: one that reaches to the end is worked out anew for each row
+    back, on = (Window.partitionBy("place").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0) for order in ([at, F.asc("_start")], [at.desc(), F.desc("_start")]))
     swept = rows.select(
         *names,
         "_start",
@@ -125,14 +130,16 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.col("text")
     found = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select(
         "doc_id",
-        _spans(text, ASSIGN, _long_enough(text, ASSIGN, 2, 6)).alias("assign"),
+        _matches(text, ASSIGN, _long_enough(text, ASSIGN, 2, 6)).alias("assign"),
         # a run that is long enough is found whole, and a shorter one holds no match: the least length may be in the pattern
-        _spans(text, "AKIA[A-Z0-9]{16,}", None).alias("access"),
-        _spans(text, "[0-9a-f]{24,}", None).alias("hex"),
-        _spans(text, IDENT, _long_enough(text, IDENT, 2, 3)).alias("ident"),
-        _spans(text, VALUE, None).alias("value"),
-        _spans(text, ENDPOINT, None).alias("endpoint"),
+        _matches(text, "AKIA[A-Z0-9]{16,}", None).alias("access"),
+        _matches(text, "[0-9a-f]{24,}", None).alias("hex"),
+        _matches(text, IDENT, _long_enough(text, IDENT, 2, 3)).alias("ident"),
+        _matches(text, VALUE, None).alias("value"),
+        _matches(text, ENDPOINT, None).alias("endpoint"),
     )
+    # two references to a column keep Spark from working it out anew within each of them
+    found = found.select("doc_id", *(_placed(F.col(k)).alias(k) for k in KINDS))
     # spans only, no text; the place of a row is written with it
     found = settle(found.withColumn("place", F.monotonically_increasing_id()), "spans")
     some = [reduce(lambda a, b: a | b, (F.size(k) > 0 for k in kinds)) for kinds in (("access", "ident"), ("assign", "hex", "value"), ("ident", "value", "endpoint"))]
