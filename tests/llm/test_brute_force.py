@@ -213,7 +213,7 @@ def test_edit_distance():
         assert line_dedup.similar(a, b, 75) == (100 * (most - d) >= 75 * most)
 
 
-def lines_brute(rows, fuzzy_words=5, threshold=75):
+def lines_brute(rows, fuzzy_words=1, threshold=75):
     """Lines that go, as (doc, line), by comparing all pairs of lines: no pair is left out but by length and by how many of each letter differ."""
     norm = {}
     for d, text in rows:
