@@ -293,6 +293,46 @@ def test_recall_of_edited_lines(spark):
     assert len(gone) >= 0.9 * len(kind), {k: (sum(v), len(v)) for k, v in share.items()}
 
 
+def test_recall_by_kind_of_edit(spark):
+    """Letters changed in every so many words, words swapped, scripts without blanks, short lines: nine of ten of each kind are found."""
+    rng = random.Random(12)
+
+    def word():
+        return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+
+    def typo(w):
+        at = rng.randrange(len(w))
+        return w[:at] + rng.choice("0123456789") + w[at + 1 :]
+
+    def changed(kind, n, every):
+        if kind == "unspaced":
+            a = [chr(rng.randint(0x4E00, 0x5FFF)) for _ in range(n)]
+            b = list(a)
+            for at in rng.sample(range(n), every):
+                b[at] = "\u3042"
+            return "".join(a), "".join(b)
+        a = [word() for _ in range(n)]
+        if kind == "typo":
+            return " ".join(a), " ".join(typo(w) if i % every == every - 1 else w for i, w in enumerate(a))
+        swapped = set(rng.sample(range(n), every))
+        return " ".join(a), " ".join(word() if i in swapped else w for i, w in enumerate(a))
+
+    kinds = [("typo", 12, 3), ("typo", 20, 4), ("typo", 50, 6), ("typo", 20, 5), ("typo", 4, 4), ("typo", 3, 3), ("words", 20, 3), ("words", 30, 6), ("words", 50, 8), ("unspaced", 40, 2), ("unspaced", 20, 1)]
+    rows, kind = [], {}
+    for k in kinds:
+        for _ in range(40):
+            a, b = changed(*k)
+            n = max(len(a), len(b))
+            if 100 * (n - line_dedup.edit_distance(a, b)) >= 75 * n:
+                kind[len(rows) + 1] = k
+                rows += [(len(rows), a), (len(rows) + 1, b)]
+    gone = {r.doc_id for r in line_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r._cut}
+    assert gone <= set(kind)
+    for k in kinds:
+        hits = [d in gone for d, x in kind.items() if x == k]
+        assert len(hits) >= 20 and sum(hits) >= 0.9 * len(hits), (k, sum(hits), len(hits))
+
+
 def test_lines_in_a_very_frequent_block(spark):
     rng = random.Random(10)
     rows = [(i, "all of these lines begin alike and go on " + " ".join(f"q{rng.randint(0, 10**6)}" for _ in range(31))) for i in range(80)]
