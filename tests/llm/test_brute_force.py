@@ -242,6 +242,47 @@ def lines_brute(rows, fuzzy_words=1, threshold=75):
     return {p for p, t in norm.items() if first[group[t]] != p}, links
 
 
+def test_edit_distances_together():
+    r = random.Random(7)
+    for letters, longest in (("ab", 3), ("ab", 200), ("abcdefgh ", 700), ("가나다라마 aé😀", 150)):
+        pairs = []
+        for _ in range(60):
+            a = "".join(r.choice(letters) for _ in range(r.randint(1, longest)))
+            b = "".join(r.choice(letters) if r.random() < 0.2 else c for c in a if r.random() > 0.1) or a
+            if r.random() < 0.3:
+                b = r.choice([a + letters[0] * 64, letters[0] * len(a), "".join(r.choice(letters) for _ in range(r.randint(1, longest)))])
+            pairs.append((a, b))
+        allowed = [r.choice([0, len(a) // 4, len(a) // 2, len(a)]) for a, _ in pairs]
+        want = [line_dedup.edit_distance(a, b) <= k for (a, b), k in zip(pairs, allowed, strict=True)]
+        assert line_dedup.within([(a, b, k) for (a, b), k in zip(pairs, allowed, strict=True)]).tolist() == want
+        pairs += [("", ""), ("", "ab"), ("abc", "abc")]
+        assert line_dedup.all_similar(pairs, 75).tolist() == [line_dedup.similar(a, b, 75) for a, b in pairs]
+    assert line_dedup.all_similar([], 75).tolist() == []
+
+
+def test_signatures_do_not_depend_on_the_number_of_lines():
+    lines = [f"line {i} of a long text, {'with many words, ' * (i % 7)}the end {i * i}".encode() for i in range(200)]
+
+    def signed(texts):
+        data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+        size = np.array([len(x) for x in texts])
+        first = np.cumsum(size + 1) - size - 1
+        grams = line_dedup.gram_hashes(data)
+        line, key = line_dedup.blocks(data, grams, first, size)
+        return line_dedup.line_simhash(grams, first, size).tolist(), [set(key[line == i].tolist()) for i in range(len(texts))]
+
+    alone = [signed([x]) for x in lines]
+    sims, keys = signed(lines)
+    assert sims == [s[0] for s, _ in alone]
+    assert keys == [k[0] for _, k in alone]
+    before, line_dedup.LINES = line_dedup.LINES, 16
+    try:
+        assert signed(lines) == (sims, keys)
+    finally:
+        line_dedup.LINES = before
+    assert all(keys)
+
+
 @pytest.mark.parametrize("part", [1024, 8])
 def test_line_dedup(spark, part):
     rng = random.Random(8)
