@@ -6,6 +6,7 @@ import re
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -382,6 +383,37 @@ def test_lines_in_a_very_frequent_block(spark):
     assert gone == {100 + i for i in range(0, 80, 2)}
 
 
+@pytest.mark.parametrize("tile", [2048, 50])
+def test_no_pair_of_a_large_block_is_left_out(spark, monkeypatch, tile):
+    """Lines share runs of 12 bytes by a common phrase only, and so meet in large blocks alone; all that meet and are near enough are linked."""
+    monkeypatch.setattr(line_dedup, "TILE", tile)
+    rng = random.Random(14)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = []
+    for _ in range(250):
+        a = "".join(rng.choice(letters) for _ in range(130))
+        b = "".join(rng.choice("0123456789") if k % 11 == 5 else c for k, c in enumerate(a))
+        texts += [f"terms and conditions of use apply to all that is said here {x}" for x in (a, b)]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "th", "text"])
+    signed = pa.Table.from_batches(line_dedup._line_batches(1, 1)(iter([batch]))).to_pylist()
+    met = {}
+    for r in signed:
+        for key in r["blocks"]:
+            met.setdefault(key, []).append(r)
+    assert max(map(len, met.values())) > 200
+    links = set()
+    for rows in met.values():
+        for i, x in enumerate(rows):
+            for y in rows[:i]:
+                if ((x["sim"] ^ y["sim"]) & (2**64 - 1)).bit_count() <= line_dedup.RADIUS and line_dedup.similar(texts[x["doc_id"]], texts[y["doc_id"]], 75):
+                    links.add((y["doc_id"], x["doc_id"]))
+    group = roots(range(len(texts)), links)
+    want = {d for d in range(len(texts)) if group[d] != d}
+    assert len(want) > 50
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.deduplicated(df).collect() if r._cut} == want
+
+
 def test_best_bounds():
     rng = random.Random(6)
     for _ in range(40):
