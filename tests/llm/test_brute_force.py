@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumeflow.llm import chat, decontaminate, graph, line_dedup, near_dups, packing, quality, secrets, site_bayes, suffix_dedup, token_rollup
+from plumeflow.llm import chat, decontaminate, graph, line_dedup, near_dups, packing, quality, secrets, site_bayes, storage, suffix_dedup, token_rollup
 from plumeflow.llm.suffix_sort import suffix_array
 from plumeflow.llm.storage import shared_dir
 
@@ -414,6 +414,34 @@ def test_no_pair_of_a_large_block_is_left_out(spark, monkeypatch, tile):
     assert {r.doc_id for r in line_dedup.deduplicated(df).collect() if r._cut} == want
 
 
+def test_lines_that_share_blocks_are_compared_in_one_tile(monkeypatch):
+    seen = []
+    verify = line_dedup.all_similar
+    monkeypatch.setattr(line_dedup, "all_similar", lambda pairs, threshold: seen.extend(pairs) or verify(pairs, threshold))
+    texts = ["one line of some words", "one line of same words", "other words than all of these", "one line of some word"]
+    # all lines are in blocks 1 and 2; the third and the fourth are linked already
+    rows = [(key, 0, 0, 0, 0, len(t), 5 if k > 1 else None, [1] if key == 2 else [], bytes([k]) * 16, t) for key in (1, 2) for k, t in enumerate(texts)]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.string()]
+    batch = pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=[str(k) for k in range(10)])
+    for batches in ([batch], [batch.slice(k, 1) for k in range(len(rows))]):
+        seen.clear()
+        links = pa.Table.from_batches(line_dedup._tile_batches(75)(iter(batches))).to_pylist()
+        assert sorted(seen) == sorted((texts[a], texts[b]) for a, b in ((0, 1), (0, 2), (0, 3), (1, 2), (1, 3)))
+        assert {(x["a"][0], x["b"][0]) for x in links} == {(0, 1), (0, 3), (1, 3)}
+
+
+def test_shuffle_files_go_when_a_table_is_settled(spark):
+    def files():
+        env = spark._jvm.org.apache.spark.SparkEnv.get()
+        return {f.name for d in env.blockManager().diskBlockManager().localDirsString() for f in Path(d).rglob("shuffle_*.data")}
+
+    before = files()
+    table = storage.settle(spark.range(10_000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count(), "table")
+    assert not files() - before
+    assert {r["count"] for r in table.collect()} == {1428, 1429}
+    storage.drop(table)
+
+
 def test_best_bounds():
     rng = random.Random(6)
     for _ in range(40):
