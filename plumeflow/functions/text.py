@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 # Words without weight in titles, invisible code points, title keywords and their priority.
 STOP_WORDS = ("about", "after", "into", "that", "this", "what", "when", "where", "which", "with", "your")
 INVISIBLE = "​‌‍⁠﻿­"
+#: Space separators of Unicode (Zs), which SQL's trim takes away; Spark's takes U+0020 only.
+BLANKS = "\u0020\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 
 
 def collapse(x: Column) -> Column:
@@ -107,8 +109,9 @@ def remove_block(x: Column, start: str, *ends: str) -> Column:
 
 def limit_at_line(x: Column, n: int) -> Column:
     """ENR06: at most n code points, cut at the last line end within, and '...'."""
-    head = F.substring(x, 1, n)
-    return F.when(F.length(x) > n, F.concat(F.trim(F.regexp_replace(head, r"\n[^\n]*$", "")), F.lit("..."))).otherwise(x)
+    # \z, since $ would also match before a line end that ends the head
+    head = F.regexp_replace(F.substring(x, 1, n), r"\n[^\n]*\z", "")
+    return F.when(F.length(x) > n, F.concat(F.trim(head, F.lit(BLANKS)), F.lit("..."))).otherwise(x)
 
 
 def significant_terms(x: Column) -> Column:

@@ -32,6 +32,12 @@ def test_text_columns(spark):
     assert (r.b, r.a, r.n, r.r, r.w, r.t, r.c, r.l) == ("one", "two--three", "one--two--three", "a]c|d", "x", "abc...", True, "ab\ncd...")
 
 
+@pytest.mark.parametrize("text", ["ab\ncd\nef", "ab\ncde\nfg", "ab\nc\re\nfg", "ab\ncd\u2028\nfg", "ab\ncd\re", "ab\ncd\u2029efg", "\n\n\n\n\n\n\n\n", "\u3000a\u00a0\ncdefg", " a\t\u2003\ncdefg", "\u00a0abcdefgh", "abcdef\U0001f600x", None])
+def test_limit_at_line_is_that_of_sql(spark, duck, text):
+    sql = r"SELECT CASE WHEN length(x) > 7 THEN trim(regexp_replace(substring(x, 1, 7), '\n[^\n]*$', '')) || '...' ELSE x END FROM (SELECT ?::VARCHAR AS x)"
+    assert one(spark, x=tx.limit_at_line(F.lit(text).cast("string"), 7)).x == duck.execute(sql, [text]).fetchone()[0]
+
+
 def test_relevance(spark):
     ok = lambda t, c: one(spark, x=tx.relevant(F.lit(t), F.lit(c))).x
     assert ok("Spark streaming guide", "a guide to spark") and not ok("Spark streaming guide", "nothing here")
