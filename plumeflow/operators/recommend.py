@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -122,24 +123,33 @@ LISTED_ROWS = 200_000
 LIGHT = 500
 
 
-def _listed(scores: DataFrame, contents: DataFrame, most: int, fit: DataFrame | None = None) -> DataFrame:
-    """The newest contents of each category and source, as many as any user with ``most`` seen ones can need: (category_id, content_id, published_at, source_ord, place, _limit), and fit if it is given."""
-    listed = scores.join(contents.select("content_id", "published_at"), "content_id")
+#: Users whose first candidates are worked out at once.
+USERS = 2048
+
+
+def _listed(scores: DataFrame, contents: DataFrame, most: int, fit: DataFrame | None = None, times: int = WINDOWS[-1][1]) -> DataFrame:
+    """The newest contents of each category and source, as many as any user with ``most`` seen ones can need for ``times`` the source's limit: (category_id, content_id, published_at, source_ord, place, depth, _limit), and fit if it is given.
+
+    place counts rows, depth contents: rows of a content that repeats go together, and one that is seen hides them all.
+    """
+    some = scores.where(reduce(Column.__or__, (F.col(s[1]) > 0 for s in SOURCES)))
+    listed = some.join(contents.select("content_id", "published_at"), "content_id")
     if fit is not None:
         listed = listed.join(fit, ["content_id", "category_id"], "left").withColumn("fit", F.coalesce("fit", F.lit(True)))
     more = ["fit"] if fit is not None else []
-    each = F.explode(F.array(*(F.struct(F.lit(i + 1).alias("source_ord"), F.lit(s[2] * WINDOWS[-1][1]).alias("_limit"), (F.col(s[1]) > 0).alias("has")) for i, s in enumerate(SOURCES))))
+    each = F.explode(F.array(*(F.struct(F.lit(i + 1).alias("source_ord"), F.lit(s[2] * times).alias("_limit"), (F.col(s[1]) > 0).alias("has")) for i, s in enumerate(SOURCES))))
     listed = listed.select("category_id", "content_id", "published_at", *more, each.alias("s")).where("s.has").select("category_id", "content_id", "published_at", *more, "s.source_ord", "s._limit")
     # the first rows of 64 parts of a category hold the first rows of the category
     newest = [F.desc("published_at"), F.desc("content_id")]
     part = F.pmod(F.xxhash64("content_id"), F.lit(64))
     for keys in (["category_id", "source_ord", part], ["category_id", "source_ord"]):
-        listed = listed.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*newest))).where(F.col("place") <= F.col("_limit") + most)
+        window = Window.partitionBy(*keys).orderBy(*newest)
+        listed = listed.withColumns({"place": F.row_number().over(window), "depth": F.dense_rank().over(window)}).where(F.col("depth") <= F.col("_limit") + most)
     return listed
 
 
-def ranked_candidates(scores: DataFrame, contents: DataFrame, users: DataFrame, exposed: DataFrame, fit: DataFrame | None = None) -> DataFrame:
-    """REC01, EXT01-03, JON09: what each user has not seen, by source, newest first: (user_id, category_id, content_id, source_ord, rank, published_at), and fit if it is given.
+def ranked_candidates(scores: DataFrame, contents: DataFrame, users: DataFrame, exposed: DataFrame, fit: DataFrame | None = None, times: int = WINDOWS[-1][1]) -> DataFrame:
+    """REC01, EXT01-03, JON09: what each user has not seen, by source, newest first, up to ``times`` the source's limit: (user_id, category_id, content_id, source_ord, rank, published_at), and fit if it is given.
 
     A user's first rows are among the first (limit + seen) of the category, so only these are listed; the list, a few
     thousand rows, goes to the users, whose rows are dealt by user once: all that follows by user stays where it is.
@@ -147,16 +157,81 @@ def ranked_candidates(scores: DataFrame, contents: DataFrame, users: DataFrame,
     seen = exposed.join(users.select("user_id"), "user_id", "left_semi").groupBy("user_id").agg(F.collect_set("content_id").alias("_seen"))
     rows = users.select("user_id", "category_id").join(seen, "user_id", "left").withColumn("_n", F.coalesce(F.array_size("_seen"), F.lit(0))).repartition("user_id")
     most = seen.agg(F.coalesce(F.max(F.size("_seen")), F.lit(0))).first()[0]
-    listed = _listed(scores, contents, most, fit)
+    listed = _listed(scores, contents, most, fit, times)
     more = ["fit"] if fit is not None else []
     categories = scores.select("category_id").distinct().count()
-    small = categories * sum(s[2] * WINDOWS[-1][1] + most for s in SOURCES) <= LISTED_ROWS
-    bounded = rows.join(F.broadcast(listed) if small else listed, "category_id").where(F.col("place") <= F.col("_limit") + F.col("_n"))
+    small = categories * sum(s[2] * times + most for s in SOURCES) <= LISTED_ROWS
+    bounded = rows.join(F.broadcast(listed) if small else listed, "category_id").where(F.col("depth") <= F.col("_limit") + F.col("_n"))
     fresh = bounded.where(~F.coalesce(F.array_contains("_seen", F.col("content_id")), F.lit(False)))
-    rank = F.row_number().over(Window.partitionBy("user_id", "source_ord").orderBy("place"))
+    # not by place, which is that in one category's list: a user may have several
+    rank = F.row_number().over(Window.partitionBy("user_id", "source_ord").orderBy(F.desc("published_at"), F.desc("content_id")))
     return fresh.withColumn("rank", rank).where(F.col("rank") <= F.col("_limit")).select("user_id", "category_id", "content_id", "source_ord", "rank", "published_at", *more)
 
 
+def first_candidates(scores: DataFrame, contents: DataFrame, users: DataFrame, exposed: DataFrame) -> DataFrame:
+    """REC01: of ``ranked_candidates`` the rows up to each source's own limit: (user_id, content_id, source_ord, rank).
+
+    The lists of the categories, LISTED_ROWS rows at most in all, go to the users in Arrow batches. Only contents in a list can
+    be missing from a user's rows, so that only these are looked up, and no row is made or sorted that is not in the result.
+    Users who have seen more than LIGHT of them or have several rows, and all users where the lists are larger, are
+    worked out by ``ranked_candidates``.
+    """
+    lists = _listed(scores, contents, LIGHT, times=1).select("category_id", "source_ord", "place", "content_id").limit(LISTED_ROWS + 1).toArrow()
+
+    def ranked(some: DataFrame) -> DataFrame:
+        return ranked_candidates(scores, contents, some, exposed, times=1).select("user_id", "content_id", "source_ord", F.col("rank").cast("long").alias("rank"))
+
+    if lists.num_rows > LISTED_ROWS:
+        return ranked(users)
+    session = users.sparkSession
+    ids = session.createDataFrame(lists.select(["content_id"])).distinct()
+    seen = exposed.join(F.broadcast(ids), "content_id", "left_semi").groupBy("user_id").agg(F.collect_set("content_id").alias("_seen"))
+    tasks = int(session.conf.get("spark.sql.shuffle.partitions"))  # little to read, much to write: not to be coalesced
+    own = users.repartition(tasks, "user_id").groupBy("user_id").agg(F.min("category_id").alias("category_id"), F.count("*").alias("_of")).join(seen, "user_id", "left")
+    light = (F.col("_of") == 1) & (F.coalesce(F.array_size("_seen"), F.lit(0)) <= LIGHT)
+    schema = f"user_id {dict(users.dtypes)['user_id']}, content_id {dict(contents.dtypes)['content_id']}, source_ord int, rank long"
+    out = own.where(light).select("user_id", "category_id", "_seen").mapInArrow(_first_kernel(lists.sort_by("place")), schema)
+    heavy = own.where(~light).select(F.col("user_id").alias("_heavy"))
+    return out if heavy.isEmpty() else out.unionByName(ranked(users.join(heavy, F.col("user_id").eqNullSafe(F.col("_heavy")), "left_semi")))
+
+
+def _first_kernel(lists: pa.Table):
+    """Users in Arrow batches (user_id, category_id, _seen) to the first rows of their category's lists, sorted by place, that they have not seen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict = {}
+        for c in lists["category_id"].unique().drop_null().to_pylist():
+            for i, s in enumerate(SOURCES):
+                ids = lists.filter(pc.and_(pc.equal(lists["category_id"], c), pc.equal(lists["source_ord"], i + 1)))["content_id"].combine_chunks()
+                code = pc.index_in(ids, value_set=ids.unique()).to_numpy()
+                by.setdefault(c, []).append((i + 1, s[2], ids, code, np.bincount(code)))
+        for batch in batches:
+            for lo in range(0, batch.num_rows, USERS):
+                some = batch.slice(lo, USERS)
+                for c, sources in by.items():
+                    mine = some.filter(pc.equal(some.column("category_id"), c))
+                    if not mine.num_rows:
+                        continue
+                    user, gone = pc.list_parent_indices(mine.column("_seen")).to_numpy(), pc.list_flatten(mine.column("_seen"))
+                    for source, limit, ids, code, rows_of in sources:
+                        found = pc.index_in(gone, value_set=ids.unique())
+                        hit = found.is_valid().to_numpy(zero_copy_only=False)
+                        who, what = user[hit], found.drop_null().to_numpy()
+                        # rows that a user's seen ones take, at most
+                        width = limit + int(np.bincount(who, rows_of[what], minlength=1).max())
+                        hidden = np.zeros((mine.num_rows, len(rows_of)), bool)
+                        hidden[who, what] = True
+                        fresh = ~hidden[:, code[:width]]
+                        rank = fresh.cumsum(axis=1)
+                        who, at = np.nonzero(fresh & (rank <= limit))
+                        yield pa.RecordBatch.from_arrays(
+                            [mine.column("user_id").take(pa.array(who)), ids.take(pa.array(at)), pa.array(np.full(len(who), source, np.int32)), pa.array(rank[who, at])],
+                            names=["user_id", "content_id", "source_ord", "rank"],
+                        )
+
+    return run
+
+
 def pools(candidates: DataFrame, today: str, target: int = POOL_TARGET, most: int = POOL_MAX) -> DataFrame:
     """REC02/REC03/SET02/TOP02: each user's pool after adaptive expansion, in closed form. candidates: as ranked_candidates gives them, with fit.
 

@@ -447,14 +447,9 @@ CAND = """c0 AS (SELECT u.user_id, u.category_id, s.content_id, c.published_at,
 CAND_VIEWS = ("users", "category_score", "contents", "exposed")
 
 
-def _candidates(t: Tables) -> DataFrame:
-    return rec.ranked_candidates(fx.category_score(t), fx.contents(t), fx.users(t), fx.exposed(t), rec.fit_by_category(fx.category_score(t)))
-
-
 @query("rec01_candidates", CAND + " SELECT user_id, content_id, source_ord, rank FROM cand WHERE rank <= CASE source_ord WHEN 1 THEN 140 WHEN 2 THEN 100 ELSE 60 END", CAND_VIEWS)
 def rec01(t):
-    limit = F.element_at(F.array(F.lit(140), F.lit(100), F.lit(60)), F.col("source_ord"))
-    return _candidates(t).where(F.col("rank") <= limit).select("user_id", "content_id", "source_ord", F.col("rank").cast("long").alias("rank"))
+    return rec.first_candidates(fx.category_score(t), fx.contents(t), fx.users(t), fx.exposed(t))
 
 
 POOL = CAND + ", " + FITS + """, st AS (SELECT *, CASE WHEN rank <= l AND DATE '2024-01-31' - published_at <= 30 THEN 1 WHEN rank <= 2 * l AND DATE '2024-01-31' - published_at <= 90 THEN 2 WHEN rank <= 3 * l AND DATE '2024-01-31' - published_at <= 365 THEN 3 WHEN rank <= 4 * l THEN 4 END AS w

@@ -189,3 +189,41 @@ def test_pools_by_category(spark, monkeypatch, slices):
         want = rec.pools(rec.ranked_candidates(*given, fit), fx.AS_OF, target, most)
         got = rec.category_pools(*given, fit, fx.AS_OF, target, most)
         assert sorted(map(str, got.collect())) == sorted(map(str, want.select(*got.columns).collect()))
+
+
+def test_first_candidates(spark, monkeypatch, slices):
+    """Rows equal those of a plain loop, for users who have seen few or many, repeat, or have no id, and contents that repeat; no user's rows are sorted."""
+    if slices > 1:
+        pytest.skip("once is enough")
+    from plumeflow.operators import recommend as rec
+
+    monkeypatch.setattr(rec, "SOURCES", (("a", "total_score", 7, 1.0, 0.85), ("b", "keyword_score", 5, 1.0, 0.75), ("c", "provider_score", 3, 0.7, 0.55)))
+    r = random.Random(4)
+    contents = [(i, r.randint(0, 20)) for i in range(60)] + [(i, 20) for i in (50, 51, 52)]
+    contents += [x for x in contents if x[0] % 7 == 0 for _ in range(9)]
+    scores = [(i, c, float(r.randint(0, 1)), float(r.randint(0, 1)), float(r.randint(0, 1))) for i in range(60) for c in (1, 2)]
+    users = [(u, 1 + u % 3) for u in range(40)] + [(3, 2), (None, 1), (None, 1), (41, None)]
+    exposed = sorted({(u, r.randrange(60)) for u in range(40) for _ in range(r.choice([0, 1, 5, 50]))}) + [(1, 900), (None, 5), (99, 3)]
+    given = (
+        spark.createDataFrame(scores, "content_id long, category_id long, total_score double, keyword_score double, provider_score double"),
+        spark.createDataFrame(contents, "content_id long, day int").select("content_id", F.date_add(F.lit("2024-01-01").cast("date"), F.col("day")).alias("published_at")),
+        spark.createDataFrame(users, "user_id long, category_id long"),
+        spark.createDataFrame(exposed, "user_id long, content_id long"),
+    )
+    want = []
+    for user in dict.fromkeys(u for u, _ in users):
+        for k, (_, _, limit, *_) in enumerate(rec.SOURCES):
+            rows = [(d, i) for u, c in users if u == user for i, d in contents for s in scores if s[:2] == (i, c) and s[2 + k] > 0 and (user is None or (user, i) not in exposed)]
+            want += [(user, i, k + 1, n) for n, (_, i) in enumerate(sorted(rows, reverse=True)[:limit], 1)]
+    for light, listed in ((500, 200_000), (4, 200_000), (500, 10)):
+        monkeypatch.setattr(rec, "LIGHT", light)
+        monkeypatch.setattr(rec, "LISTED_ROWS", listed)
+        assert sorted(map(str, (tuple(x) for x in rec.first_candidates(*given).collect()))) == sorted(map(str, want))
+
+    from paths import SF
+
+    from plumeflow.plans import catalog
+
+    monkeypatch.undo()
+    plan = catalog.QUERIES["rec01_candidates"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
