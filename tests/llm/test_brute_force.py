@@ -383,6 +383,28 @@ def test_lines_in_a_very_frequent_block(spark):
     assert gone == {100 + i for i in range(0, 80, 2)}
 
 
+def test_pairs_of_letters_reject(monkeypatch):
+    """Texts of the same letters in another order get no distance; pairs that are similar do, whatever is edited."""
+    r = random.Random(15)
+    base = ["".join(r.sample("abcdefghijklmnopqrstuvwxyz" * 6, 156)) for _ in range(30)]
+    reached = []
+    undecided = line_dedup._undecided
+    monkeypatch.setattr(line_dedup, "_undecided", lambda *x: reached.append(x) or undecided(*x))
+    assert not line_dedup.all_similar([(a, b) for a in base for b in base if a < b], 75).any()
+    assert len(reached) < 20
+    for letters, longest in (("ab", 40), ("abcdefgh ", 300), ("가나다라마 aé😀", 150)):
+        texts = []
+        for _ in range(12):
+            a = "".join(r.choice(letters) for _ in range(r.randint(1, longest)))
+            for share in (0.05, 0.15, 0.3):
+                texts.append("".join(c if r.random() > share else r.choice(["", r.choice(letters), c + r.choice(letters)]) for c in a) or a)
+        pairs = [(a, b) for a in texts for b in texts]
+        want = [100 * (max(len(a), len(b)) - plain_distance(a, b)) >= 75 * max(len(a), len(b)) for a, b in pairs]
+        assert line_dedup.all_similar(pairs, 75).tolist() == want
+    monkeypatch.setattr(line_dedup, "PLACES", 200)
+    assert line_dedup.all_similar(pairs, 75).tolist() == want
+
+
 @pytest.mark.parametrize("tile", [2048, 50])
 def test_no_pair_of_a_large_block_is_left_out(spark, monkeypatch, tile):
     """Lines share runs of 12 bytes by a common phrase only, and so meet in large blocks alone; all that meet and are near enough are linked."""
